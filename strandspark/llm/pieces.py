@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class PieceModel:
     """A merge-type vocabulary with its segment table."""
 
-    def __init__(self, path: str, checked: bool = True, kept: int = 400_000):
+    def __init__(self, path: str, checked: bool = True, kept: int = 600_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,7 +63,7 @@ class PieceModel:
                 self.id[piece], self.score[piece] = i, sp.get_score(i)
                 self.surface[i] = piece.replace(SPACE, " ").encode()
                 joined.update(piece[k : k + 2] for k in range(len(piece) - 1))
-        self.bos, self.eos = sp.bos_id(), sp.eos_id()
+        self.begin, self.end = (array("I", [i]).tobytes() for i in (sp.bos_id(), sp.eos_id()))
         if any(x[1] == SPACE and x[0] != SPACE for x in joined):
             raise ValueError("pieces that go on after a space are not supported")
         if len(self.byte) != 256 or sp.encode("ﬁ  x")[:1] != [self.id[SPACE]]:
@@ -71,7 +72,9 @@ class PieceModel:
         self.cut = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
         if any("\n" in p for p in self.id):
             self.cut = re.compile(rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
-        self.table: dict[str, tuple[bytes, bytes]] = {}
+        #: Packed ids by segment; and the bytes of those that don't decode to themselves.
+        self.table: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment, by the agenda."""
@@ -124,34 +127,36 @@ class PieceModel:
 
     def learn(self, needed: set[str]) -> None:
         """Have all these segments in the table, new ones checked against the library."""
-        new = needed.difference(self.table)
+        new = list(needed.difference(self.table))
         if new and len(self.table) + len(new) > self.most:
             self.table.clear()
-            new = needed
+            self.odd.clear()
+            new = list(needed)
         for s in new:
             ids = self.merge(s)
-            self.table[s] = (b"".join(i.to_bytes(4, "little") for i in ids), b"".join(self.surface[i] for i in ids))
-        if self.checked and new:
-            whole = [s[1:] for s in new if s[0] == SPACE and len(s) > 1]
-            for s, ids in zip(whole, self.library.encode(whole, num_threads=1)):
-                if b"".join(i.to_bytes(4, "little") for i in ids) != self.table[SPACE + s][0]:
-                    raise AssertionError(f"the library encodes {s!r} otherwise")
-            texts = [self.table[SPACE + s][1][1:].decode(errors="replace") for s in whole]
-            for s, own, its in zip(whole, texts, self.library.decode([self.ids(SPACE + s) for s in whole], num_threads=1)):
-                if own != its:
-                    raise AssertionError(f"the library decodes {s!r} as {its!r}, not {own!r}")
-
-    def ids(self, segment: str) -> list[int]:
-        packed = self.table[segment][0]
-        return [int.from_bytes(packed[k : k + 4], "little") for k in range(0, len(packed), 4)]
-
-    def encode_packed(self, text: str) -> tuple[bytes, bytes]:
+            self.table[s] = array("I", ids).tobytes()
+            surface = b"".join([self.surface[i] for i in ids])
+            if surface != s.replace(SPACE, " ").encode():
+                self.odd[s] = surface
+        if self.checked and (whole := [s for s in new if s[0] == SPACE and len(s) > 1]):
+            # Segments are independent of each other, so one text of them all checks the batch.
+            text = "".join(whole)[1:].replace(SPACE, " ")
+            ids = self.library.encode(text)
+            if array("I", ids).tobytes() != b"".join([self.table[s] for s in whole]):
+                raise AssertionError("the library encodes otherwise: " + text[:200])
+            if self.decode(ids) != self.library.decode(ids):
+                raise AssertionError("the library decodes otherwise: " + text[:200])
+
+    def encode_packed(self, text: str, seg: list[str] | None = None) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit integers with begin and end, decoded UTF-8)."""
-        seg = self.segments(text)
-        self.learn(set(seg))
-        pairs = [self.table[s] for s in seg]
-        ids = b"".join([self.bos.to_bytes(4, "little"), *(p[0] for p in pairs), self.eos.to_bytes(4, "little")])
-        return ids, b"".join([p[1] for p in pairs])[1:].decode(errors="replace").encode()
+        if seg is None:
+            seg = self.segments(text)
+            self.learn(set(seg))
+        ids = b"".join([self.begin, *map(self.table.__getitem__, seg), self.end])
+        if not self.odd or self.odd.keys().isdisjoint(seg):  # every segment decodes to itself
+            return ids, text.replace(SPACE, " ").encode()
+        raw = b"".join([self.odd.get(s) or s.replace(SPACE, " ").encode() for s in seg])
+        return ids, raw[1:].decode(errors="replace").encode()
 
     def encode(self, text: str | None) -> list[int]:
         packed, _ = self.encode_packed(text or "")
@@ -182,10 +187,11 @@ def piece_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(c: dict[str, list]) -> pa.RecordBatch:
         m = model(path)
         texts = [t or "" for t in c["text"]]
-        m.learn(set().union(*(m.segments(t) for t in texts)))
+        cut = [m.segments(t) for t in texts]
+        m.learn(set().union(*cut))
         n, ids, out = [], [], []
-        for t in texts:
-            a, b = m.encode_packed(t)
+        for t, seg in zip(texts, cut):
+            a, b = m.encode_packed(t, seg)
             n.append(len(a) // 4)
             ids.append(hashlib.sha256(a).hexdigest())
             out.append(hashlib.sha256(b).hexdigest())
