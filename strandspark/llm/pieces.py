@@ -138,8 +138,8 @@ class PieceModel:
             surface = b"".join([self.surface[i] for i in ids])
             if surface != s.replace(SPACE, " ").encode():
                 self.odd[s] = surface
-        if self.checked and (whole := [s for s in new if s[0] == SPACE and len(s) > 1]):
-            # Segments are independent of each other, so one text of them all checks the batch.
+        if self.checked and (whole := [s for s in new if s[0] == SPACE and s.strip(SPACE)]):
+            # Segments that hold more than spaces are independent, so one text of them all checks the batch.
             text = "".join(whole)[1:].replace(SPACE, " ")
             ids = self.library.encode(text)
             if array("I", ids).tobytes() != b"".join([self.table[s] for s in whole]):
