@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_quality", "q_pieces", "q_language")
+MODULES = ("q_urls", "q_quality", "q_mixing", "q_pieces", "q_language")
 
 
 def _modules():
