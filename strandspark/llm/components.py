@@ -1,0 +1,51 @@
+"""Connected components of an edge table, by alternating large and small stars.
+
+Each round hangs every node on a smaller neighbour; rounds are logarithmic in the
+size of a component, and each is a few aggregations whose result is written to
+the shared folder. No component is ever in one task: minima are combined before
+the shuffle, and a node with very many edges is split by the join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandspark.runtime import forget, written
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """Rows (u, m): the smallest of a node and its neighbours ``v``."""
+    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = _least(down)
+    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of rows (u, v): root is the smallest id reachable.
+
+    Self-loops and repeated edges do no harm; no edges give an empty table.
+    """
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    state = _state(now)
+    while True:
+        after = written(_small_star(_large_star(now)), "edges")
+        forget(now)
+        now, before, state = after, state, _state(after)
+        if state == before:
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_urls", "q_quality", "q_mixing", "q_pieces", "q_language", "q_html")
+MODULES = ("q_urls", "q_quality", "q_simhash", "q_mixing", "q_pieces", "q_substrings", "q_language", "q_html")
 
 
 def _modules():
