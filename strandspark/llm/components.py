@@ -15,8 +15,10 @@ from strandspark.runtime import forget, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Rows (u, m): the smallest of a node and its neighbours ``v``."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    """Rows (u, m): the smallest of a node and its neighbours ``v``. A table of its own,
+    so that both sides of the join with it are plain shuffles, which Spark can split
+    where a node has very many edges."""
+    return written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

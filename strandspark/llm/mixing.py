@@ -27,7 +27,8 @@ from strandspark.runtime import written
 
 #: Slices of the seeded order; three hexadecimal digits.
 DIGITS = 3
-ORDER = ("order_key", "doc_id", "size")
+#: Rows of the plan (one per source) up to which it is broadcast.
+MAX_BROADCAST_SOURCES = 20_000
 
 
 def water_fill(sources: DataFrame, budget_share: float, max_epochs: float) -> DataFrame:
@@ -37,7 +38,7 @@ def water_fill(sources: DataFrame, budget_share: float, max_epochs: float) -> Da
     s = sources.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
     s = s.withColumns({"budget": F.sum("source_size").over(everything) * F.lit(float(budget_share)), "capped": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "weight_left": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))})
     s = s.withColumn("level", (F.col("budget") - F.col("capped")) / F.col("weight_left"))
-    s = s.withColumn("water", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
+    s = s.withColumn("water", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
     return s.withColumn("target", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("water") * F.col("weight")))).drop("budget", "capped", "weight_left", "level", "water", "cap")
 
 
@@ -47,27 +48,57 @@ def by_rank(weights: tuple[int, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...], budget_share: float, max_epochs: float, seed: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target and taken words of every document."""
+def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("order_key"))
-    sized = written(sized.withColumn("slice", F.substring("order_key", 1, DIGITS)), "mix-sizes")
-    slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    sources = slices.groupBy("source").agg(F.sum("words").alias("source_size"))
+    out = docs.withColumns({"mix_id": F.col(id_col), "mix_source": F.col(source_col), "mix_size": n_words(F.col(text_col)), "mix_key": key})
+    return out.withColumn("mix_slice", F.substring("mix_key", 1, DIGITS))
+
+
+def _plan(keyed: DataFrame, weights: tuple[int, ...], budget_share: float, max_epochs: float) -> DataFrame:
+    """One row per source: size, target, whole epochs, words of the fractional epoch,
+    the slice that it ends in and the words before that slice."""
+    slices = written(keyed.groupBy("mix_source", "mix_slice").agg(F.sum("mix_size").alias("words")), "mix-slices")
+    sources = slices.groupBy(F.col("mix_source").alias("source")).agg(F.sum("words").alias("source_size"))
     sources = water_fill(sources.withColumn("weight", by_rank(weights)), budget_share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sources = sources.withColumn("whole", F.floor(epochs)).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
-    sources = written(sources, "mix-sources")
-    upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sources = written(sources.drop("weight", "water"), "mix-sources")
+    upto = Window.partitionBy("mix_source").orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, -1)
     cuts = slices.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    cuts = cuts.join(sources.select(F.col("source").alias("s"), "extra"), F.col("source").eqNullSafe(F.col("s")), "inner").drop("s")
+    cuts = cuts.join(sources.select("source", "extra"), F.col("mix_source").eqNullSafe(F.col("source")), "inner").drop("source")
     cuts = cuts.where((F.col("before") < F.col("extra")) & (F.col("before") + F.col("words") >= F.col("extra")))
-    cuts = cuts.select(F.col("source").alias("s"), F.col("slice").alias("cut"), F.col("before").alias("cut_before"))
-    known = sources.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s")
-    own = sized.join(known, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    within = Window.partitionBy("source", "slice").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    inside = own.where(F.col("slice").eqNullSafe(F.col("cut"))).withColumn("upto", F.sum("size").over(within) + F.col("cut_before"))
-    inside = inside.withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("extra")).cast("long")).drop("upto")
-    outside = own.where(~F.col("slice").eqNullSafe(F.col("cut"))).withColumn("more", F.coalesce((F.col("extra") > 0) & (F.col("slice") < F.col("cut")), F.lit(False)).cast("long"))
-    taken = (F.col("size") * (F.col("whole") + F.col("more"))).cast("long")
-    return inside.unionByName(outside).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    cuts = cuts.select(F.col("mix_source").alias("s"), F.col("mix_slice").alias("cut"), F.col("before").alias("cut_before"))
+    plan = sources.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return written(plan.select(*[F.col(c).alias(f"mix_{c}" if c != "source" else "mix_s") for c in plan.columns]), "mix-plan")
+
+
+def _copies(keyed: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add ``mix_copies``: how often each row is taken."""
+    if plan.count() <= MAX_BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    own = keyed.join(plan, F.col("mix_source").eqNullSafe(F.col("mix_s")), "left").drop("mix_s")
+    cut = F.col("mix_slice").eqNullSafe(F.col("mix_cut"))
+    within = Window.partitionBy("mix_source", "mix_slice").orderBy("mix_key", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = own.where(cut).withColumn("mix_upto", F.sum("mix_size").over(within) + F.col("mix_cut_before"))
+    inside = inside.withColumn("mix_more", (F.col("mix_upto") - F.col("mix_size") / 2 <= F.col("mix_extra")).cast("long")).drop("mix_upto")
+    before = F.coalesce((F.col("mix_extra") > 0) & (F.col("mix_slice") < F.col("mix_cut")), F.lit(False))
+    outside = own.where(~cut).withColumn("mix_more", before.cast("long"))
+    return inside.unionByName(outside).withColumn("mix_copies", (F.col("mix_whole") + F.col("mix_more")).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...], budget_share: float, max_epochs: float, seed: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken words of every document."""
+    keyed = _keyed(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col).select("mix_id", "mix_source", "mix_size", "mix_key", "mix_slice")
+    keyed = written(keyed, "mix-sizes")
+    out = _copies(keyed, _plan(keyed, weights, budget_share, max_epochs))
+    return out.select(
+        F.col("mix_id").alias("doc_id"), F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"), F.col("mix_copies").alias("copies"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
+    )
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...], budget_share: float, max_epochs: float, seed: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents themselves, each as often as the mix takes it."""
+    keyed = _keyed(docs, seed, id_col, text_col, source_col)
+    out = _copies(keyed, _plan(keyed, weights, budget_share, max_epochs))
+    return out.where("mix_copies > 0").withColumn("mix_again", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)

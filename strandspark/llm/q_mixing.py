@@ -11,7 +11,7 @@ WEIGHTS, BUDGET, EPOCHS, SEED = (5, 2, 1), 1.5, 2.0, 20
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return mix(table(spark, sf_dir, "documents"), WEIGHTS, BUDGET, EPOCHS, SEED).drop("source")
+    return mix(table(spark, sf_dir, "documents"), WEIGHTS, BUDGET, EPOCHS, SEED).drop("source", "copies")
 
 
 def sql(docs: str) -> str:
@@ -28,7 +28,7 @@ s1 AS (
 s2 AS (
   SELECT *, (sum(source_size) OVER () * CAST({BUDGET} AS DOUBLE) - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
   FROM s1 WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s3 AS (SELECT *, min(CASE WHEN level * weight <= cap THEN level END) OVER () AS water FROM s2),
+s3 AS (SELECT *, max(CASE WHEN level * weight <= cap THEN level END) OVER () AS water FROM s2),
 s4 AS (SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS target FROM s3),
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM s4),
 s6 AS (SELECT *, target - whole * source_size AS extra FROM s5),

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.texts import map_texts, words
+from strandspark.llm.texts import ROWS, map_texts, words
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -124,3 +124,25 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=names)
 
     return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
+
+
+def keep_clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: LineRules = LineRules()) -> DataFrame:
+    """The kept documents with all their columns, without the lines that fail;
+    ``chars_col``, where there is one, is the new text's number of characters."""
+    boilerplate = re.compile(rules.boilerplate.encode(), re.I)
+    separators = frozenset(s.encode() for s in rules.separators)
+
+    def run(it):
+        for whole in it:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                k = b.schema.get_field_index(text_col)
+                texts = b.column(k).to_pylist()
+                rows = [judge(t, rules, boilerplate, separators) for t in texts]
+                b = b.set_column(k, b.schema.field(k), pa.array([r[9] for r in rows], pa.string()))
+                if (c := b.schema.get_field_index(chars_col)) >= 0:
+                    old = b.column(c).to_pylist()
+                    b = b.set_column(c, b.schema.field(c), pa.array([len(r[9]) if r[7] else n for r, n in zip(rows, old)], b.schema.field(c).type))
+                yield b.filter(pa.array([r[6] for r in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
