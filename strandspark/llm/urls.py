@@ -50,7 +50,7 @@ def _stir(x: np.ndarray) -> np.ndarray:
 
 def positions(h1: np.ndarray, h2: np.ndarray, level: int, k: int, m: int) -> list[np.ndarray]:
     """Bit positions of keys at a level; each level hashes afresh."""
-    a = _stir(h1 + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+    a = _stir(h1 + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     b = _stir(h2 ^ np.uint64(level)) | np.uint64(1)
     return [(a + np.uint64(j) * b) % np.uint64(m) for j in range(k)]
 
