@@ -10,11 +10,22 @@ from strandspark.functions import fields
 from strandspark.operators import cis_effect, compound, edges, gene_expression, haplotypes, observe, phasing, variants, vcf_annotate
 from strandspark.runtime import ship, written
 from strandspark.sources import readers, writers
+from strandspark.sources.bam import read_bam
+
+
+def read_alignments(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Reads of SAM text or BAM files, numbered by their place in ``paths``."""
+    out = None
+    for i, path in enumerate(paths):
+        one = read_bam(spark, [path]) if path.endswith(".bam") else readers.read_sam(spark, [path])
+        one = one.withColumn("bam", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def observations(spark: SparkSession, sams: list[str], sites: DataFrame, config: PhaseConfig) -> DataFrame:
     """Allele observations of all files, after the read filters and score cutoffs."""
-    reads = readers.read_sam(spark, sams)
+    reads = read_alignments(spark, sams)
     n = len(sams)
     ok = F.lit(False)
     for i, (mapq, paired, isize) in enumerate(zip(per_bam(config.mapq, n, "mapq"), per_bam(config.paired_end, n, "paired_end"), per_bam(config.isize, n, "isize"))):
