@@ -11,24 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.runtime import forget, written
+from strandspark.runtime import fewer, forget, written
 
 
-def _least(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, n: int) -> DataFrame:
     """Rows (u, m): the smallest of a node and its neighbours ``v``. A table of its own,
     so that both sides of the join with it are plain shuffles, which Spark can split
     where a node has very many edges."""
-    return written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return written(fewer(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n), "least")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return both.join(_least(both, n), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
+    least = _least(down, n)
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -36,7 +36,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def _open(edges: DataFrame) -> bool:
     """Some node still hangs on two others, or on one that hangs itself."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
-    nodes = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    nodes = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))  # repeated edges count as open: a round drops them
     return not nodes.where("up > 1 or up > 0 and down > 0").isEmpty()
 
 
@@ -45,9 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-loops and repeated edges do no harm; no edges give an empty table.
     """
-    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), "edges")
+    n = now.count()  # rounds never add edges
     while _open(now):
-        after = written(_small_star(_large_star(now)), "edges")
+        after = written(fewer(_small_star(_large_star(now, n), n), n), "edges")
         forget(now)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

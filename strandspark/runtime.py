@@ -12,14 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers.
+    """Prepare a session: bound Arrow batches, unless the session sets its own bound,
+    and make this package importable in the Python workers.
 
     Nothing is sent where the workers already see it (PYTHONPATH, or a working
     folder that holds the package); otherwise Spark distributes a zip of it.
     """
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, "2000")
     root = str(PACKAGE.parent)
     seen = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     app = spark.sparkContext.applicationId
@@ -57,6 +62,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fewer(df: DataFrame, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
+    """``df`` in as many partitions as its rows call for (an eighth of the shuffle
+    partitions where their number is not known), so that small tables are few files.
+    Partitions are read one after the other; no row moves, memory stays as it was."""
+    n = -(-rows // per_file) if rows is not None else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8
+    return df.coalesce(max(1, n))
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that nothing reads any more."""
     spark = df.sparkSession
