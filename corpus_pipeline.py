@@ -20,24 +20,27 @@ from strandspark.llm.q_simhash import DISTANCE, SHINGLE
 from strandspark.llm.quality import keep_clean
 from strandspark.llm.simhash import near_duplicates
 from strandspark.llm.substrings import remove_repeats
-from strandspark.runtime import ship, table, written
+from strandspark.runtime import fewer, ship, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that fail them."""
+    ship(spark)
     return keep_clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest id; documents
     without an id stay, and rows that repeat one id stay or go together."""
+    ship(spark)
     found = near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE)
-    gone = written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "near-duplicates")
+    gone = written(fewer(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that repeat."""
+    ship(spark)
     out = remove_repeats(docs)
     changed = F.col("sub_n_removed") > 0
     new = {"text": F.col("sub_kept_text"), "n_chars": F.when(changed, F.char_length("sub_kept_text").cast("long")).otherwise(F.col("n_chars"))}
@@ -46,11 +49,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as many times as the mix takes them."""
+    ship(spark)
     return mixed(docs, WEIGHTS, BUDGET, EPOCHS, SEED)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of each document's ids, and digest of the text decoded from them."""
+    ship(spark)
     return piece_digests(docs, vocabulary())
 
 
@@ -61,7 +66,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -61,6 +61,9 @@ NOISE = frozenset(
     "discussion widget toolbar pagination pager copyright disclaimer skip".split()
 )
 
+#: Words before such a word that make it a statement about the layout (``with-sidebar``).
+LAYOUT = frozenset("has have with no without hide show is".split())
+
 
 def _noisy(tag: str, attributes: str) -> bool:
     if tag in SKIPPED:
@@ -70,7 +73,8 @@ def _noisy(tag: str, attributes: str) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
-            if any(w.lower() in NOISE for w in WORDS.findall(value)):
+            w = [x.lower() for x in WORDS.findall(value)]
+            if any(x in NOISE and before not in LAYOUT for before, x in zip(["", *w], w)):
                 return True
         elif name == "role" and value.lower() in ROLES:
             return True

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandspark.llm.texts import n_words
-from strandspark.runtime import written
+from strandspark.runtime import fewer, written
 
 #: Slices of the seeded order; three hexadecimal digits.
 DIGITS = 3
@@ -57,7 +57,7 @@ def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
 def _plan(keyed: DataFrame, weights: tuple[int, ...], budget_share: float, max_epochs: float) -> DataFrame:
     """One row per source: size, target, whole epochs, words of the fractional epoch,
     the slice that it ends in and the words before that slice."""
-    slices = written(keyed.groupBy("mix_source", "mix_slice").agg(F.sum("mix_size").alias("words")), "mix-slices")
+    slices = written(fewer(keyed.groupBy("mix_source", "mix_slice").agg(F.sum("mix_size").alias("words"))), "mix-slices")
     sources = slices.groupBy(F.col("mix_source").alias("source")).agg(F.sum("words").alias("source_size"))
     sources = water_fill(sources.withColumn("weight", by_rank(weights)), budget_share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

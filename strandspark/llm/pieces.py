@@ -40,7 +40,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class PieceModel:
     """A merge-type vocabulary with its segment table."""
 
-    def __init__(self, path: str, checked: bool = True, kept: int = 400_000):
+    def __init__(self, path: str, checked: bool = True, kept: int = 200_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -69,17 +69,17 @@ class PieceModel:
         if len(self.byte) != 256 or sp.encode("ﬁ  x")[:1] != [self.id[SPACE]]:
             raise ValueError("only identity normalisation, dummy prefix and byte fallback are supported")
         #: Cuts before each run of spaces, and around line feeds, which no piece holds.
-        self.cut = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
+        self.cut = re.compile(r"\n| +[^ \n]*|[^ \n]+").findall
         if any("\n" in p for p in self.id):
-            self.cut = re.compile(rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+            self.cut = re.compile(r" +[^ ]*|[^ ]+").findall
         #: Packed ids by segment; and the bytes of those that don't decode to themselves.
         self.table: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
     def merge(self, segment: str) -> list[int]:
-        """Ids of one segment, by the agenda."""
+        """Ids of one segment (with plain spaces), by the agenda."""
         score = self.score
-        sym: list[str | None] = list(segment)
+        sym: list[str | None] = list(segment.replace(" ", SPACE))
         n = len(sym)
         if n == 1:
             return self._ids(sym)
@@ -123,24 +123,24 @@ class PieceModel:
         return out
 
     def segments(self, text: str) -> list[str]:
-        return self.cut(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.cut(" " + text.replace(SPACE, " ")) if text else []
 
     def learn(self, needed: set[str]) -> None:
         """Have all these segments in the table, new ones checked against the library."""
         new = list(needed.difference(self.table))
         if new and len(self.table) + len(new) > self.most:
-            self.table.clear()
-            self.odd.clear()
-            new = list(needed)
+            # What the texts at hand use stays: mostly the frequent segments.
+            self.table = {s: self.table[s] for s in needed.intersection(self.table)}
+            self.odd = {s: self.odd[s] for s in needed.intersection(self.odd)}
         for s in new:
             ids = self.merge(s)
             self.table[s] = array("I", ids).tobytes()
             surface = b"".join([self.surface[i] for i in ids])
-            if surface != s.replace(SPACE, " ").encode():
+            if surface != s.encode():
                 self.odd[s] = surface
-        if self.checked and (whole := [s for s in new if s[0] == SPACE and s.strip(SPACE)]):
+        if self.checked and (whole := [s for s in new if s[0] == " " and s.strip(" ")]):
             # Segments that hold more than spaces are independent, so one text of them all checks the batch.
-            text = "".join(whole)[1:].replace(SPACE, " ")
+            text = "".join(whole)[1:]
             ids = self.library.encode(text)
             if array("I", ids).tobytes() != b"".join([self.table[s] for s in whole]):
                 raise AssertionError("the library encodes otherwise: " + text[:200])
@@ -155,7 +155,7 @@ class PieceModel:
         ids = b"".join([self.begin, *map(self.table.__getitem__, seg), self.end])
         if not self.odd or self.odd.keys().isdisjoint(seg):  # every segment decodes to itself
             return ids, text.replace(SPACE, " ").encode()
-        raw = b"".join([self.odd.get(s) or s.replace(SPACE, " ").encode() for s in seg])
+        raw = b"".join([self.odd.get(s) or s.encode() for s in seg])
         return ids, raw[1:].decode(errors="replace").encode()
 
     def encode(self, text: str | None) -> list[int]:

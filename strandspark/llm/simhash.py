@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strandspark.llm.texts import map_texts
 from strandspark.operators.graph import components
-from strandspark.runtime import written
+from strandspark.runtime import fewer, written
 
 SEED = 42
 SEGMENTS = 4
@@ -111,8 +111,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id, n_links) of every document; n_links counts
     the other fingerprints within ``distance``."""
     own = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    edges = written(links(distinct.where("node is not null"), distance).distinct(), "links")
+    n = own.count()
+    distinct = written(fewer(own.groupBy("fp").agg(F.min("doc_id").alias("node")), n), "distinct-fingerprints")
+    edges = written(fewer(links(distinct.where("node is not null"), distance).distinct(), n), "links")
     root = components(edges)
     ends = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = distinct.join(root, "node", "left").join(ends, "node", "left")

@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.llm.texts import map_texts, words
-from strandspark.runtime import forget, written
+from strandspark.runtime import fewer, forget, written
 
 WINDOW = 35
 LEVELS = (9, 18)
 MAX_BITS = 1 << 28
+#: Documents for each file of the tables between the steps.
+DOCS_PER_FILE = 10_000
 #: Windows whose anchors are found at once.
 BLOCK = 1 << 14
 #: Bases of the rolling hashes: odd, so that they have inverses modulo 2**64.
@@ -152,6 +154,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(k, t, spans): per document key, the word spans (start, mask of window starts) that repeat."""
     spark = docs.sparkSession
     own = _own(docs, id_col, text_col)
+    n_docs = docs.count()
+    few = lambda df: fewer(df, n_docs, DOCS_PER_FILE)
     shared: list = []
 
     for level in range(len(levels)):
@@ -167,7 +171,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["key"])
 
         again = map_texts(own.select("text"), emit, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        again = written(again.select("key"), f"repeats-{levels[level]}")
+        again = written(few(again.select("key")), f"repeats-{levels[level]}")
         shared.append(spark.sparkContext.broadcast(bitmap_of(again, again.count())))
         forget(again)
 
@@ -201,13 +205,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = map_texts(own, runs, "k long, t int, start int, n int, off int, anchor long, whole long, each array<long>")
     found = written(found, "runs")
     run = ["anchor", "off", "n", "whole"]
-    distinct = written(found.groupBy(run).agg(F.count(F.lit(1)).alias("c"), F.first("each").alias("each")), "distinct-runs")
+    distinct = written(few(found.groupBy(run).agg(F.count(F.lit(1)).alias("c"), F.first("each").alias("each"))), "distinct-runs")
     windows = distinct.select("anchor", "c", F.explode("each").alias("h")).groupBy("anchor", "h").agg(F.sum("c").alias("c")).where("c > 1").select("anchor", "h")
     single = distinct.where("c = 1").select(*run, F.posexplode("each").alias("pos", "h")).join(windows, ["anchor", "h"])
     masks = single.groupBy(run).agg(F.bit_or(F.expr("shiftleft(1L, pos)")).alias("mask"))
     masks = masks.unionByName(distinct.where("c > 1").select(*run, F.expr("shiftleft(1L, n) - 1").alias("mask")))
     spans = found.select("k", "t", "start", *run).join(masks, run).groupBy("k", "t").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
-    return written(spans, "spans")
+    return written(few(spans), "spans")
 
 
 def removed(n: int, spans: list | None, window: int) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.runtime import forget, written
+from strandspark.runtime import fewer, forget, written
 
 PARTS = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
 
@@ -138,7 +138,7 @@ def build_cascade(universe: DataFrame, rate: float = 0.1, max_bytes: int = 64 <<
     """
     h1, h2 = hashes(F.col("key"))
     keys = universe.groupBy("key").agg(F.max("listed").alias("listed")).select(F.array(h1).alias("h1"), F.array(h2).alias("h2"), "listed")
-    keys = written(keys, "url-keys")
+    keys = written(fewer(keys), "url-keys")
     cascade = Cascade()
     while True:
         level = len(cascade.levels)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.runtime import shared_dir, written
+from strandspark.runtime import fewer, shared_dir, written
 
 #: Fixed values of the format.
 END = "\r\n\r\n"
@@ -94,7 +94,8 @@ def records(classified: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, per_file: int = 2000, **columns) -> None:
     """Archives of all pages under ``path``, each of at most ``per_file`` records."""
-    records(classify(pages, **columns)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    rows = fewer(records(classify(pages, **columns)), pages.count(), per_file)
+    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:

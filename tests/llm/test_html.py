@@ -17,6 +17,7 @@ WANT = ["A first paragraph, with words & more words, and so on. It has two sente
     "<article><h1>Head line</h1>" + "".join(f"<p><b>{p}" for p in PARAGRAPHS) + "</article>",
     "<main><div><h2>Head line</h2><div>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</div></div></main>",
     "<div class=post><h1>Head line</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</div>",
+    "<div class='page with-sidebar has_menu'><div class='text'><h1>Head line</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</div></div>",
     "<ARTICLE CLASS='entry'><H1>Head line</H1>" + "".join(f"<P>{p}" for p in PARAGRAPHS) + "</ARTICLE>",
 ])
 def test_article_of_a_page(body):
