@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over ``documents``, each calling one operator.
 
-quality rules -> SimHash near-dedup -> substring dedup -> source mix -> SentencePiece
+quality rules -> near-dedup -> substring dedup -> source mix -> SentencePiece
 
 Every stage takes what its predecessor left, as a written table. The first four
 return the columns of ``documents``; the last returns the digests of the tokens.
@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandspark.llm.mixing import mixed
+from strandspark.llm.near_copies import without_near_copies
 from strandspark.llm.pieces import piece_digests
 from strandspark.llm.q_mixing import BUDGET, EPOCHS, SEED, WEIGHTS
 from strandspark.llm.q_pieces import vocabulary
-from strandspark.llm.q_simhash import DISTANCE, SHINGLE
 from strandspark.llm.quality import keep_clean
-from strandspark.llm.simhash import near_duplicates
 from strandspark.llm.substrings import remove_repeats
-from strandspark.runtime import fewer, ship, table, written
+from strandspark.runtime import ship, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +29,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id; documents
-    without an id stay, and rows that repeat one id stay or go together."""
+    """Of each component of near copies (five-word similarity of 0.8 or more) the row
+    with the smallest id."""
     ship(spark)
-    found = near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE)
-    gone = written(fewer(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
