@@ -52,7 +52,7 @@ FROM {part}"""
 VIEWS["features"] = """SELECT DISTINCT CAST(s_nationkey AS STRING) AS contig, k * 25 AS start, k * 25 + 40 AS stop, concat('g', CAST(s_nationkey AS STRING), '.', CAST(k AS STRING)) AS name
 FROM {supplier} CROSS JOIN (SELECT DISTINCT CAST(floor(s_suppkey / 25) AS INT) AS k FROM {supplier}) f"""
 VIEWS["spans"] = "SELECT user_id AS span_id, event_type AS contig, CAST(min(event_id) AS BIGINT) AS start, CAST(max(event_id) AS BIGINT) AS stop FROM {events} GROUP BY user_id, event_type"
-VIEWS["points"] = "SELECT event_id, event_type AS contig, event_id AS spot, event_id + 1 AS next_spot FROM {events} WHERE event_id % 10 = 0"
+VIEWS["points"] = "SELECT event_id, event_type AS contig, event_id AS spot, event_id + 1 AS next_spot FROM {events}"
 #: Banned stretches of sites: every second hundred.
 VIEWS["bans"] = "SELECT DISTINCT CAST(s_nationkey AS STRING) AS contig, k * 20 AS start, k * 20 + 7 AS stop FROM {supplier} CROSS JOIN (SELECT DISTINCT CAST(floor(s_suppkey / 20) AS INT) AS k FROM {supplier}) f"
 VIEWS["bams"] = "SELECT CAST(c_custkey AS INT) AS bam, concat('/data/', CAST(c_custkey % 3 AS STRING), '/', c_mktsegment, CAST(c_custkey % 40 AS STRING), '.bam') AS path FROM {customer} WHERE c_custkey <= 60"
