@@ -68,7 +68,7 @@ VIEWS["cohort_pairs"] = "SELECT CAST(n_nationkey AS INT) AS xindex, concat('g',
 #: Genotyped coding variants of one sample, with genes and effects.
 VIEWS["coding"] = """SELECT p_brand AS gene, concat('n', p_brand) AS name, CAST(p_partkey AS STRING) AS variant_id, concat('rs', CAST(p_partkey AS STRING)) AS rsid, p_type AS effect, CAST(p_size AS DOUBLE) AS phred,
   CAST(p_partkey % 2 AS INT) AS a0, CAST(floor(p_partkey / 2) % 2 AS INT) AS a1, CASE WHEN p_partkey % 3 = 0 THEN CAST(floor(p_partkey / 40) AS INT) END AS block, CAST(p_partkey % 100 AS DOUBLE) / 100 AS af
-FROM {part} WHERE p_size <= 12"""
+FROM {part}"""
 
 TABLES = ("supplier", "lineitem", "part", "events", "customer", "nation", "orders")
 

@@ -7,3 +7,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_points(spark):
     assert view(spark, SF, "points").count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_coding(spark):
+    assert view(spark, SF, "coding").count() == spark.read.parquet(f"{SF}/part.parquet").count()
