@@ -55,7 +55,7 @@ VIEWS["spans"] = "SELECT user_id AS span_id, event_type AS contig, CAST(min(even
 VIEWS["points"] = "SELECT event_id, event_type AS contig, event_id AS spot, event_id + 1 AS next_spot FROM {events}"
 #: Banned stretches of sites: every second hundred.
 VIEWS["bans"] = "SELECT DISTINCT CAST(s_nationkey AS STRING) AS contig, k * 20 AS start, k * 20 + 7 AS stop FROM {supplier} CROSS JOIN (SELECT DISTINCT CAST(floor(s_suppkey / 20) AS INT) AS k FROM {supplier}) f"
-VIEWS["bams"] = "SELECT CAST(c_custkey AS INT) AS bam, concat('/data/', CAST(c_custkey % 3 AS STRING), '/', c_mktsegment, CAST(c_custkey % 40 AS STRING), '.bam') AS path FROM {customer} WHERE c_custkey <= 60"
+VIEWS["bams"] = "SELECT CAST(c_custkey AS INT) AS bam, concat('/data/', CAST(c_custkey % 3 AS STRING), '/', c_mktsegment, CAST(c_custkey % 40 AS STRING), '.bam') AS path FROM {customer}"
 #: Individuals of a cohort: genotype and haplotype counts of genes.
 VIEWS["cohort_counts"] = """SELECT CONCAT('g', CAST(c_nationkey AS STRING), '.1') AS gene, concat('S', CAST(c_custkey % 40 AS STRING)) AS sample,
   CAST(sum(CASE WHEN c_custkey % 3 = 0 THEN 7 ELSE 2 END) AS BIGINT) AS a, CAST(sum(CASE WHEN c_acctbal > 4000 THEN 5 ELSE 1 END) AS BIGINT) AS b

@@ -11,3 +11,7 @@ def test_points(spark):
 
 def test_coding(spark):
     assert view(spark, SF, "coding").count() == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+def test_bams(spark):
+    assert view(spark, SF, "bams").count() == spark.read.parquet(f"{SF}/customer.parquet").count()
