@@ -197,9 +197,8 @@ def cis_var_ranksum(spark, sf_dir):
 @query("cis_var_effects")
 def cis_var_effects(spark, sf_dir):
     """Full table with bootstrapped intervals: resampling, so without SQL."""
-    config = CisConfig(bs=2000)
     rows, pairs = cohort(spark, sf_dir)
-    return cis_effect.effects(rows, pairs, config)
+    return cis_effect.effects(rows, pairs, CisConfig())
 
 
 # --- compound pairs ----------------------------------------------------------------

@@ -15,3 +15,12 @@ def test_coding(spark):
 
 def test_bams(spark):
     assert view(spark, SF, "bams").count() == spark.read.parquet(f"{SF}/customer.parquet").count()
+
+
+def test_resamples(spark, monkeypatch):
+    from strandspark.plans import study_queries
+
+    seen = []
+    monkeypatch.setattr(study_queries.cis_effect, "effects", lambda rows, pairs, config: seen.append(config.bs) or rows)
+    study_queries.cis_var_effects(spark, SF)
+    assert seen == [10_000]
