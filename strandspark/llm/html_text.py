@@ -4,7 +4,7 @@ A page is cut into text blocks, each with the path of block-level elements that
 leads to it. Per path, text length and punctuation are averaged over its blocks;
 both series are smoothed in page order, fused into one score, and paths over a
 threshold of the page's own spread hold content. The container of those blocks
-(an article or main element, else the parent that holds most of them) then gives
+(article or main elements, else all parents that hold some of them) then gives
 the text, with its headings and short paragraphs, so that nothing of the article
 is lost. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and comments are left out by element, role and class words.
@@ -215,15 +215,20 @@ def main_text(page: str | None, share: float = 0.25) -> str:
     chosen = [b for b in found if score[b[0]] >= least]
     weight: dict[int, int] = defaultdict(int)
     holders = [b for b in chosen if b[2] >= 0]
-    if sum(len(b[3]) for b in holders) >= share * sum(len(b[3]) for b in chosen):
+    holds = sum(len(b[3]) for b in holders) >= share * sum(len(b[3]) for b in chosen)
+    if holds:
         for b in holders:
             weight[b[2]] += len(b[3])
     else:
         for b in chosen:
             weight[b[1][-2] if len(b[1]) > 1 else (b[1][-1] if b[1] else -1)] += len(b[3])
     most = max(weight.values())
-    keep = {k for k, v in weight.items() if v >= share * most}
-    return "\n\n".join(b[3] for b in found if keep.intersection(b[1]) or -1 in keep and not b[1])
+    main = {k for k, v in weight.items() if v >= share * most}
+    # a smaller container is kept too; of one around other containers only its own chosen blocks
+    around = {i for b in chosen for i in b[1][: -2 if len(b[1]) > 1 else None]} if not holds else set()
+    keep = {k for k in weight if k in main or k not in around}
+    loose = {id(b) for b in chosen if not holds and len(b[1]) > 1 and b[1][-2] in weight}
+    return "\n\n".join(b[3] for b in found if keep.intersection(b[1]) or id(b) in loose or -1 in keep and not b[1])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -61,3 +61,12 @@ def test_articles_of_whole_table(spark):
         cut = (" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", inner))
         want[r["page_id"]] = "\n\n".join(b for b in cut if b)
     assert {r["page_id"]: r["text"] for r in query(spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("tag", ["section", "div", "article"])
+def test_short_section_beside_a_long_one(tag):
+    long, short = "Many words, in a long sentence, go on here. " * 12, "A short section, of one sentence."
+    parts = [("One", [long.strip()] * 4), ("Two", [short]), ("Three", [long.strip()])]
+    inner = "".join(f"<{tag}><h2>{h}</h2>{''.join(f'<p>{p}</p>' for p in ps)}</{tag}>" for h, ps in parts)
+    want = "\n\n".join(x for h, ps in parts for x in (h, *ps))
+    assert main_text(FRAME.format(body=inner if tag == "article" else f"<div>{inner}</div>")) == want
