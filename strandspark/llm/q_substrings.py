@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm.substrings import WINDOW, remove_repeats
+from strandspark.llm.substrings import WINDOW, repeat_digests
 from strandspark.runtime import ship, table
 
 NAME = "op7_substring_dedup"
@@ -11,8 +11,8 @@ NAME = "op7_substring_dedup"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("sub_n_words").alias("n_words"), F.col("sub_n_removed").alias("n_removed"), F.sha2("sub_kept_words", 256).alias("kept_sha256"))
+    out = repeat_digests(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
 def sql(docs: str) -> str:

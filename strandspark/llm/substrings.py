@@ -1,9 +1,9 @@
 """Exact substring deduplication by level-wise doubling.
 
 A window of ``window`` words (35) is removed where its word sequence starts at
-more than one place of the corpus. Windows are found by growing repeats: word
-sequences repeated at one length (9) alone are extended to twice that length
-(18), and those repeated there to the full window, until none is left.
+more than one place of the corpus. Windows are found by growing repeats: what is
+repeated at one length (9 words) alone is looked at at twice that length (18), and
+so on up to the window itself; the doubling ends as soon as nothing survives.
 
 At each length a window is stood for by its anchor, the sequence of that length
 with the smallest hash inside it: equal windows have equal anchors at equal
@@ -12,33 +12,41 @@ anchors' hashes (map-side combined; only hashes are shuffled) and passes the
 repeated ones on as a bitmap of bounded size (``MAX_BITS``). The bitmap may let a
 few single anchors through, never hides a repeated one, and thereby only thins
 the last level, which is exact: it compares 128 bits of hash of the full windows.
+Where a corpus has more repeats than the bitmap has room for, the last level
+counts more runs; every step stays linear in the input.
 
-The last level first compares whole runs of windows with one anchor, and single
-windows only where a run is not repeated as a whole. Skew: a sequence that very
-many documents share is combined before each shuffle; runs meet their verdicts in
-joins that Spark can split. The text itself is shuffled once, to meet its spans.
+The last level first counts whole runs of windows with one anchor. Only where an
+anchor has several runs, one of them single, are its windows counted one by one.
+Skew: a sequence that very many documents share is combined before each shuffle;
+runs meet their verdicts in joins that Spark can split. The text itself is
+shuffled once, to meet its spans: by a key of 128 bits of its id and text, so rows
+with the same key have the same text and therefore the same spans, kept once.
 
 Defined results: null and empty texts have no words; texts shorter than a window
-lose nothing; repeated rows are documents of their own, so they remove each other;
-other columns are not looked at; an empty table gives an empty result.
+lose nothing; very long texts are whole (hashed at once, anchors found in blocks);
+repeated rows are documents of their own, so they remove each other, whatever their
+ids; ids may be null; an empty table gives an empty result. Input columns with the
+names of result columns are replaced, all others go through unseen.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.texts import map_texts, words
+from strandspark.llm.texts import ROWS, free_name, map_texts, words
 from strandspark.runtime import fewer, forget, written
 
 WINDOW = 35
-LEVELS = (9, 18)
+#: Length of the first level; each further one is twice as long, up to the window.
+FIRST = 9
 MAX_BITS = 1 << 28
 #: Documents for each file of the tables between the steps.
 DOCS_PER_FILE = 10_000
@@ -88,6 +96,16 @@ def word_hashes(w: list[bytes]) -> np.ndarray:
     return np.array([digest(x) for x in w], np.uint64)
 
 
+def lengths(window: int, first: int = FIRST) -> tuple[int, ...]:
+    """The levels before the window itself."""
+    out = [min(first, window)]
+    while 2 * out[-1] < window:
+        out.append(2 * out[-1])
+    if window - out[-1] > 62:
+        raise ValueError("a run of windows with one anchor has to fit into 63 bits")
+    return tuple(out)
+
+
 def anchors(h: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
     """For each start in ``at``, the leftmost position of the smallest of ``h[at : at + reach]``."""
     view = sliding_window_view(h, reach)
@@ -145,17 +163,30 @@ def candidates(w: np.ndarray, window: int, levels: tuple[int, ...], bitmaps: lis
     return at, q, h
 
 
-def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, and a key: the id and a hash that tells texts of a repeated id apart."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k"), F.coalesce(F.hash(text_col), F.lit(0)).alias("t"), F.col(text_col).alias("text"))
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of a row's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+
 
+def _filter(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
+    """Rows whose ``column`` the bitmap may hold."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """(k, t, spans): per document key, the word spans (start, mask of window starts) that repeat."""
+    def run(it):
+        for b in it:
+            yield b.filter(pa.array(holds(shared.value, b.column(b.schema.get_field_index(column)).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, first: int = FIRST) -> DataFrame | None:
+    """(key, spans) of the texts with repeats: word spans (start, mask of window starts).
+    None where no window repeats."""
     spark = docs.sparkSession
-    own = _own(docs, id_col, text_col)
+    own = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     n_docs = docs.count()
     few = lambda df: fewer(df, n_docs, DOCS_PER_FILE)
+    levels = lengths(window, first)
     shared: list = []
 
     for level in range(len(levels)):
@@ -172,15 +203,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         again = map_texts(own.select("text"), emit, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         again = written(few(again.select("key")), f"repeats-{levels[level]}")
-        shared.append(spark.sparkContext.broadcast(bitmap_of(again, again.count())))
+        if not (n := again.count()):
+            return None
+        shared.append(spark.sparkContext.broadcast(bitmap_of(again, n)))
         forget(again)
 
     maps = tuple(shared)
 
     def runs(c: dict[str, list]) -> pa.RecordBatch:
-        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+        cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+        keys: list[np.ndarray] = []
         lists: list[np.ndarray] = []
-        for k, t, text in zip(c["k"], c["t"], c["text"]):
+        for key, text in zip(c["key"], c["text"]):
             b = words(text)
             if len(b) < window:
                 continue
@@ -192,25 +226,34 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             n = np.diff(np.append(new, len(at)))
             a, anchor = at[new], q[new]
             roll = Rolling(w, BASES[1])
-            for col, v in zip(cols, (np.full(len(new), k), np.full(len(new), t), a, n, anchor - a, h[anchor].view(np.int64), roll.of(a, n - 1 + window).view(np.int64))):
+            keys.append(np.tile(np.frombuffer(key, np.uint8), len(new)))
+            for col, v in zip(cols, (a, n, anchor - a, h[anchor].view(np.int64), roll.of(a, n - 1 + window).view(np.int64))):
                 col.append(v)
             lists.append(roll.of(at, window).view(np.int64))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        arrays = [pa.array(np.concatenate(v).astype(z.to_pandas_dtype()) if v else [], z) for v, z in zip(cols, kinds)]
-        offsets = np.concatenate([[0], *[np.cumsum(np.concatenate(cols[3]))]]) if lists else np.zeros(1)
-        flat = pa.array(np.concatenate(lists) if lists else [], pa.int64())
-        arrays.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat))
-        return pa.RecordBatch.from_arrays(arrays, names=["k", "t", "start", "n", "off", "anchor", "whole", "each"])
-
-    found = map_texts(own, runs, "k long, t int, start int, n int, off int, anchor long, whole long, each array<long>")
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint8)
+        arrays = [pa.Array.from_buffers(pa.binary(), len(flat) // 16, [None, pa.py_buffer(np.arange(0, len(flat) + 1, 16, np.int32)), pa.py_buffer(flat)])]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        arrays += [pa.array(np.concatenate(v).astype(z.to_pandas_dtype()) if v else [], z) for v, z in zip(cols, kinds)]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(cols[1]))]) if lists else np.zeros(1)
+        arrays.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(lists) if lists else [], pa.int64())))
+        return pa.RecordBatch.from_arrays(arrays, names=["key", "start", "n", "off", "anchor", "whole", "each"])
+
+    found = map_texts(own, runs, "key binary, start int, n int, off int, anchor long, whole long, each array<long>")
     found = written(found, "runs")
     run = ["anchor", "off", "n", "whole"]
-    distinct = written(few(found.groupBy(run).agg(F.count(F.lit(1)).alias("c"), F.first("each").alias("each"))), "distinct-runs")
-    windows = distinct.select("anchor", "c", F.explode("each").alias("h")).groupBy("anchor", "h").agg(F.sum("c").alias("c")).where("c > 1").select("anchor", "h")
-    single = distinct.where("c = 1").select(*run, F.posexplode("each").alias("pos", "h")).join(windows, ["anchor", "h"])
-    masks = single.groupBy(run).agg(F.bit_or(F.expr("shiftleft(1L, pos)")).alias("mask"))
-    masks = masks.unionByName(distinct.where("c > 1").select(*run, F.expr("shiftleft(1L, n) - 1").alias("mask")))
-    spans = found.select("k", "t", "start", *run).join(masks, run).groupBy("k", "t").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+    counted = written(few(found.groupBy(run).agg(F.count(F.lit(1)).alias("c"))), "counted-runs")
+    opened = counted.groupBy("anchor").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 and kinds > 1")
+    opened = written(few(opened.select(F.col("anchor").alias("key"))), "open-anchors")
+    masks = counted.where("c > 1").select(*run, F.expr("shiftleft(1L, n) - 1").alias("mask"))
+    if n_open := opened.count():
+        # equal windows have equal anchors, so all places of a window are among an open anchor's runs
+        each = _filter(found.select(*run, "each"), "anchor", bitmap_of(opened, n_open))
+        each = written(few(each.join(opened, each["anchor"] == opened["key"], "left_semi").groupBy(run).agg(F.count(F.lit(1)).alias("c"), F.first("each").alias("each"))), "open-runs")
+        windows = each.select("anchor", "c", F.explode("each").alias("h")).groupBy("anchor", "h").agg(F.sum("c").alias("c")).where("c > 1").select("anchor", "h")
+        single = each.where("c = 1").select(*run, F.posexplode("each").alias("pos", "h")).join(windows, ["anchor", "h"], "left_semi")
+        masks = masks.unionByName(single.groupBy(run).agg(F.bit_or(F.expr("shiftleft(1L, pos)")).alias("mask")))
+    masks = written(few(masks), "masks")
+    spans = found.select("key", "start", *run).join(masks, run).groupBy("key").agg(F.collect_set(F.struct("start", "mask")).alias("spans"))
     return written(few(spans), "spans")
 
 
@@ -237,33 +280,83 @@ def without(text: str, gone: np.ndarray) -> str:
     return b"".join(parts).decode()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def _cut(docs: DataFrame, spans: DataFrame | None, id_col: str, text_col: str, build: Callable, schema: str) -> DataFrame:
+    """``build(batch, texts, marks)`` of the rows with their spans: marks are arrays of
+    lost words, or None where nothing is lost."""
+    mark, key = free_name(docs.columns, "spans"), free_name(docs.columns, "key")
+    if spans is None:
+        joined = docs.withColumn(mark, F.lit(None).cast("array<struct<start:int,mask:bigint>>"))
+    else:
+        own = docs.withColumn(key, row_key(id_col, text_col))
+        joined = own.join(spans.select(F.col("key").alias("__span_key"), F.col("spans").alias(mark)), F.col(key) == F.col("__span_key"), "left").select(*docs.columns, mark)
+
+    def run(it):
+        for whole in it:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                yield build(b.remove_column(b.schema.get_field_index(mark)), b.column(b.schema.get_field_index(text_col)).to_pylist(), b.column(b.schema.get_field_index(mark)).to_pylist())
+
+    return joined.mapInArrow(run, schema)
+
+
+def _lost(text: str | None, spans: list | None, window: int) -> tuple[list[bytes], np.ndarray | None]:
+    w = words(text)
+    return w, removed(len(w), spans, window) if spans else None
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, first: int = FIRST) -> DataFrame:
     """The documents with n_words, n_removed, kept_words (kept words joined by one
     space) and kept_text (the text with its own white space) in new columns
     ``sub_n_words``, ``sub_n_removed``, ``sub_kept_words``, ``sub_kept_text``."""
-    spans = repeated_spans(docs, id_col, text_col, window, levels)
-    spans = spans.select(F.col("k").alias("sub_k"), F.col("t").alias("sub_t"), F.col("spans").alias("sub_spans"))
-    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) == F.col("sub_k")) & (F.coalesce(F.hash(text_col), F.lit(0)) == F.col("sub_t"))
-    joined = docs.join(spans, key, "left").drop("sub_k", "sub_t")
-
-    def cut(it):
-        for whole in it:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-                marks = b.column(b.schema.get_field_index("sub_spans")).to_pylist()
-                n, lost, kept, left = [], [], [], []
-                for text, s in zip(texts, marks):
-                    w = words(text)
-                    gone = removed(len(w), s, window) if s else None
-                    n.append(len(w))
-                    lost.append(int(gone.sum()) if s else 0)
-                    kept.append((b" ".join([x for x, g in zip(w, gone) if not g]) if s else b" ".join(w)).decode())
-                    left.append(without(text, gone) if lost[-1] else text)
-                b = b.remove_column(b.schema.get_field_index("sub_spans"))
-                for name, v, kind in (("sub_n_words", n, pa.int64()), ("sub_n_removed", lost, pa.int64()), ("sub_kept_words", kept, pa.string()), ("sub_kept_text", left, pa.string())):
-                    b = b.append_column(name, pa.array(v, kind))
-                yield b
+    names = ("sub_n_words", "sub_n_removed", "sub_kept_words", "sub_kept_text")
+    docs = docs.select(*[c for c in docs.columns if c not in names])
+
+    def build(b: pa.RecordBatch, texts: list, marks: list) -> pa.RecordBatch:
+        n, lost, kept, left = [], [], [], []
+        for text, s in zip(texts, marks):
+            w, gone = _lost(text, s, window)
+            n.append(len(w))
+            lost.append(0 if gone is None else int(gone.sum()))
+            kept.append((b" ".join(w) if gone is None else b" ".join([x for x, g in zip(w, gone) if not g])).decode())
+            left.append(without(text, gone) if lost[-1] else text)
+        for name, v, kind in zip(names, (n, lost, kept, left), (pa.int64(), pa.int64(), pa.string(), pa.string())):
+            b = b.append_column(name, pa.array(v, kind))
+        return b
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return joined.mapInArrow(cut, fields + ", sub_n_words long, sub_n_removed long, sub_kept_words string, sub_kept_text string")
+    spans = repeated_spans(docs, id_col, text_col, window, first)
+    return _cut(docs, spans, id_col, text_col, build, fields + ", sub_n_words long, sub_n_removed long, sub_kept_words string, sub_kept_text string")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", window: int = WINDOW, first: int = FIRST) -> DataFrame:
+    """The documents with the columns that they have, and texts without repeated windows;
+    ``chars_col``, where there is one, is the new text's number of characters."""
+
+    def build(b: pa.RecordBatch, texts: list, marks: list) -> pa.RecordBatch:
+        cut = {}
+        for i, (text, s) in enumerate(zip(texts, marks)):
+            if s and (gone := _lost(text, s, window)[1]).any():
+                cut[i] = without(text, gone)
+        if cut:
+            k = b.schema.get_field_index(text_col)
+            b = b.set_column(k, b.schema.field(k), pa.array([cut.get(i, t) for i, t in enumerate(texts)], b.schema.field(k).type))
+            if (k := b.schema.get_field_index(chars_col)) >= 0:
+                old = b.column(k).to_pylist()
+                b = b.set_column(k, b.schema.field(k), pa.array([len(cut[i]) if i in cut else n for i, n in enumerate(old)], b.schema.field(k).type))
+        return b
+
+    return _cut(docs, repeated_spans(docs, id_col, text_col, window, first), id_col, text_col, build, docs.schema)
+
+
+def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, first: int = FIRST) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_words): what :func:`remove_repeats` finds, without
+    the texts themselves."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def build(b: pa.RecordBatch, texts: list, marks: list) -> pa.RecordBatch:
+        rows = [_lost(t, s, window) for t, s in zip(texts, marks)]
+        kept = [(b" ".join(w) if gone is None else b" ".join([x for x, g in zip(w, gone) if not g])).decode() for w, gone in rows]
+        n, lost = [len(w) for w, _ in rows], [0 if gone is None else int(gone.sum()) for _, gone in rows]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_words"])
+
+    return _cut(own, repeated_spans(own, "doc_id", "text", window, first), "doc_id", "text", build, f"doc_id {dict(own.dtypes)['doc_id']}, n_words long, n_removed long, kept_words string")

@@ -37,3 +37,11 @@ def batches(it: Iterator[pa.RecordBatch], f: Callable[[list[dict[str, list]]], p
 
 def map_texts(df: DataFrame, f: Callable[[dict[str, list]], pa.RecordBatch], schema: str, rows: int = ROWS) -> DataFrame:
     return df.mapInArrow(lambda it: batches(it, f, rows), schema)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as make it differ from all columns."""
+    have = {c.lower() for c in columns}
+    while (name := "_" + name).lower() in have:
+        pass
+    return name
