@@ -10,7 +10,6 @@ Where a stage changes a text, ``n_chars`` follows it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandspark.llm.mixing import mixed
 from strandspark.llm.near_copies import without_near_copies
@@ -18,7 +17,7 @@ from strandspark.llm.pieces import piece_digests
 from strandspark.llm.q_mixing import BUDGET, EPOCHS, SEED, WEIGHTS
 from strandspark.llm.q_pieces import vocabulary
 from strandspark.llm.quality import keep_clean
-from strandspark.llm.substrings import remove_repeats
+from strandspark.llm.substrings import without_repeats
 from strandspark.runtime import ship, table, written
 
 
@@ -38,10 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that repeat."""
     ship(spark)
-    out = remove_repeats(docs)
-    changed = F.col("sub_n_removed") > 0
-    new = {"text": F.col("sub_kept_text"), "n_chars": F.when(changed, F.char_length("sub_kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return out.withColumns(new).select(*docs.columns)
+    return without_repeats(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
