@@ -1,9 +1,8 @@
 """Query and SQL of the URL filter."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from strandspark.llm.urls import Rule, filter_urls
+from strandspark.llm.urls import Rule, filter_urls, flagged_hosts
 from strandspark.runtime import ship, table
 
 NAME = "op1_url_filter"
@@ -16,14 +15,21 @@ RULES = [
     Rule("allow", "com", "/fr/"),
     Rule("block", "com", "/de/"),
 ]
-#: Words of a host's labels that put the host and its subdomains on the list.
-TERMS = ("adult", "bets", "casino", "escort", "poker", "porn", "sex", "warez", "xxx")
-LISTED = rf"^([^/]*[-])?({'|'.join(TERMS)})([-][^/.]*)?[.][^/]*/$"
+#: Words of a host's labels that put the host and its subdomains on the list, by subject.
+SUBJECTS = {
+    "adult": ("adult", "escort", "porn", "sex", "xxx"),
+    "gambling": ("bet", "bets", "betting", "casino", "gambling", "jackpot", "lottery", "poker", "roulette", "slots"),
+    "drugs": ("cialis", "pill", "pills", "viagra"),
+    "spam and malware": ("crack", "cracks", "keygen", "linkfarm", "malware", "phishing", "spam", "torrent", "warez"),
+    "advertising": ("ads", "adserver", "adtech", "doubleclick", "popunder", "tracker", "tracking"),
+}
+TERMS = tuple(t for terms in SUBJECTS.values() for t in terms)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return filter_urls(table(spark, sf_dir, "pages"), RULES, F.col("key").rlike(LISTED))
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, RULES, flagged_hosts(pages, TERMS))
 
 
 SQL = rf"""
@@ -37,6 +43,6 @@ best AS (
   FROM h LEFT JOIN rules ON (h.host = rhost OR ends_with(h.host, '.' || rhost)) AND starts_with(h.path, rpath)
   GROUP BY h.page_id, h.host, h.path)
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN action
-  WHEN starts_with(path, '/') AND regexp_matches(host, '(^|[.-])({"|".join(TERMS)})(-[^.]*)?[.]') THEN 'block' ELSE 'allow' END AS verdict
+  WHEN regexp_matches(host, '(^|[.-])({"|".join(TERMS)})(-[^.]*)?[.]') THEN 'block' ELSE 'allow' END AS verdict
 FROM best
 """

@@ -1,19 +1,24 @@
 """URL filters by a Bloom filter cascade.
 
-The keys of a URL are its host's suffixes joined with the path prefixes that the
-rules distinguish. Over the corpus's complete universe of keys, level 1 of the
-cascade encodes the listed keys, level 2 those other keys that level 1 lets pass,
-level 3 the listed keys that level 2 lets pass, and so on until nothing passes.
-Walking the levels then answers membership exactly for every key of the universe,
-without a join.
-
-Bit arrays are built by a map-side combined aggregation and sent to the executors
-as one broadcast; a cascade over ``max_bytes`` is refused, and membership comes
-from a semi-join on the key instead.
-
-Defined results: a null url, or one without ``://``, has an empty host and path,
-no rule and the default verdict; repeated rows are judged each; an empty table
-gives an empty result; an empty list lets everything pass.
+Rules and list entries are a host with its subdomains and a path prefix. The keys of
+a URL are those suffixes of its host and prefixes of its path that an entry could
+have, by the pairs of sizes (labels, characters) that entries do have. Over the
+corpus's complete universe of keys, level 1 of the cascade encodes the listed keys,
+level 2 those other keys that level 1 lets pass, level 3 the listed keys that level 2
+lets pass, and so on until nothing passes. Walking the levels then answers membership
+exactly for every key of the universe, without a join.
+
+Level 1 lets about as many other keys pass as there are listed ones, so a cascade
+takes some bits per listed key whatever the size of the corpus. It is cut by key hash into
+shards of at most about ``max_bytes``; each is a broadcast of its own, and the URLs
+meet one after the other. Bit arrays are built by a map-side combined aggregation.
+
+Defined results: a null url, or one without ``://``, has an empty host and path, no
+rule and the default verdict; an empty path fits a rule only if the rule's path is
+empty, and the list as ``/`` does; very long urls are taken whole, and have no more
+keys than short ones; repeated rows are judged each; an empty table gives an empty
+result; an empty list lets everything pass; a rule goes before the list. Other
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -28,6 +33,9 @@ from pyspark.sql import functions as F
 
 from strandspark.runtime import fewer, forget, written
 
+#: Share of the keys that a level after the first lets pass wrongly.
+RATE = 0.1
+
 PARTS = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
 
 
@@ -130,31 +138,52 @@ def _bits(keys: DataFrame, n: int, level: int, rate: float) -> tuple[np.ndarray,
     return out, k
 
 
-def build_cascade(universe: DataFrame, rate: float = 0.1, max_bytes: int = 64 << 20) -> Cascade | None:
-    """Cascade over rows (key, listed); None where it would be over ``max_bytes``.
-
-    Keys may repeat; each counts once. False positives shrink by ``rate`` a level,
-    so levels are few; the level after which nothing is left is the last.
-    """
-    h1, h2 = hashes(F.col("key"))
-    keys = universe.groupBy("key").agg(F.max("listed").alias("listed")).select(F.array(h1).alias("h1"), F.array(h2).alias("h2"), "listed")
-    keys = written(fewer(keys), "url-keys")
+def _cascade(keys: DataFrame, n_listed: int, n_others: int) -> Cascade:
+    """Cascade over distinct rows (h1, h2, listed), both hashes as arrays of one."""
     cascade = Cascade()
     while True:
         level = len(cascade.levels)
         left = _test(keys, cascade, "passed", False).where((F.element_at("passed", 1) == level) & (F.col("listed") == (level % 2 == 0)))
         left = left.select(F.element_at("h1", 1).alias("h1"), F.element_at("h2", 1).alias("h2"))
-        n = left.count()
-        if not n:
-            break
-        if cascade.n_bytes + n * np.log2(1 / rate) / np.log(2) / 8 > max_bytes:
-            forget(keys)
-            return None
-        cascade.levels.append(_bits(left, n, level, rate))
+        if not (n := left.count()):
+            return cascade
+        cascade.levels.append(_bits(left, n, level, RATE if level else min(RATE, max(n_listed, 1) / max(n_others, 1))))
         if level > 60:
             raise RuntimeError("two keys of different kind have the same hashes")
+
+
+def shard_of(h2: Column, n: int) -> Column:
+    return F.pmod(F.shiftright(h2, 7), F.lit(n))
+
+
+def build_cascades(universe: DataFrame, most: int, max_bytes: int = 64 << 20) -> list[Cascade]:
+    """Cascades over rows (key, listed), of which there are at most ``most`` different
+    keys; a key's place is :func:`shard_of` its second hash. Keys may repeat."""
+    h1, h2 = hashes(F.col("key"))
+    keys = universe.groupBy("key").agg(F.max("listed").alias("listed")).select(h1.alias("a"), h2.alias("b"), "listed")
+    keys = written(fewer(keys, most), "url-keys")
+    n = keys.agg(F.count_if("listed").alias("listed"), F.count_if(~F.col("listed")).alias("others")).first()
+    bits = n["listed"] * 1.45 * (3 * np.log2(1 / RATE) + max(0.0, np.log2((n["others"] + 1) / (n["listed"] + 1))))
+    shards = max(1, -(-int(bits / 8) // max_bytes))
+    out = []
+    for i in range(shards):
+        own = keys if shards == 1 else keys.where(shard_of(F.col("b"), shards) == i)
+        out.append(_cascade(own.select(F.array("a").alias("h1"), F.array("b").alias("h2"), "listed"), n["listed"] // shards, n["others"] // shards))
     forget(keys)
-    return cascade
+    return out
+
+
+def _found(urls: DataFrame, cascades: list[Cascade]) -> DataFrame:
+    """``urls`` with ``found``: those of its array ``keys`` that the cascades hold."""
+    n = len(cascades)
+    out = urls.withColumn("found", F.expr("cast(array() as array<string>)"))
+    for i, c in enumerate(cascades):
+        own = out.withColumn("own", F.filter("keys", lambda k: shard_of(hashes(k)[1], n) == i) if n > 1 else F.col("keys"))
+        tested = _test(own.withColumns({"h1": F.transform("own", lambda k: hashes(k)[0]), "h2": F.transform("own", lambda k: hashes(k)[1])}), c, "member", True)
+        out = tested.withColumn("found", F.concat("found", F.expr("transform(filter(arrays_zip(own, member), x -> x.member), x -> x.own)"))).drop("own", "h1", "h2", "member")
+        if i + 1 < n:
+            out = written(out, "judged-urls")  # only one shard is in a worker's memory
+    return out
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -163,39 +192,46 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
-def url_keys(lengths: list[int]) -> Column:
-    """Keys of a row (host, path): suffixes of the host by path prefixes of these lengths."""
-    parts = "split(host, '[.]')"
-    return F.expr(f"""if(host = '', cast(array() as array<string>), flatten(transform(
-        transform(sequence(1, size({parts})), i -> array_join(slice({parts}, i, size({parts}) - i + 1), '.')),
-        s -> transform(filter(array({", ".join(map(str, lengths))}), n -> n <= char_length(path)),
-                       n -> concat(s, substring(path, 1, n))))))""")
+def entry_sizes(host: Column, path: Column) -> Column:
+    return F.struct(F.size(F.split(host, "[.]")).alias("labels"), F.char_length(path).alias("chars"))
+
+
+def url_keys(sizes: list[tuple[int, int]], mark: str, path: str) -> Column:
+    """Keys of a row (host, ``path``): by each (labels, characters) that host and path have."""
+    own = [
+        F.when((F.col("n_labels") >= labels) & (F.char_length(path) >= chars), F.concat(F.lit(mark), F.substring_index("host", ".", -labels), F.substring(path, 1, chars)))
+        for labels, chars in sizes
+    ]
+    return F.array_compact(F.array(*own)) if own else F.expr("cast(array() as array<string>)")
+
+
+def flagged_hosts(pages: DataFrame, terms: tuple[str, ...], url_col: str = "url") -> DataFrame:
+    """List entries (host, path): of each host of the corpus the shortest suffix whose first
+    label holds one of ``terms``, alone or between hyphens. A last label is never listed."""
+    host = url_parts(F.col(url_col))[0]
+    labels = pages.select(host.alias("host")).distinct().withColumn("labels", F.split("host", "[.]"))
+    marks = F.transform("labels", lambda x: F.arrays_overlap(F.split(x, "-"), F.array(*map(F.lit, terms))))
+    last = labels.withColumn("n", F.size("labels")).withColumn("at", F.array_max(F.transform(marks, lambda m, i: F.when(m & (i < F.size("labels") - 1), i))))
+    return last.where("at is not null").select(F.array_join(F.slice("labels", F.col("at") + 1, F.col("n") - F.col("at")), ".").alias("host"), F.lit("/").alias("path")).distinct()
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], listed: Column | DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_bytes: int = 64 << 20) -> DataFrame:
-    """Judge each url: the longest rule that fits, else block if one of its keys is
-    listed, else ``default``. ``listed`` is a condition on ``key``, or a table of keys."""
+def filter_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_bytes: int = 64 << 20) -> DataFrame:
+    """Judge each url: the longest rule that fits, else block if an entry of ``listed``
+    (host, path) fits, else ``default``. Paths of entries begin with ``/``."""
     host, path = url_parts(F.col(url_col))
-    lengths = sorted({len(r.path) for r in rules} | {1})
-    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("keys", url_keys(lengths))
-    ruled = [r.key for r in rules]
-    universe = urls.select(F.explode("keys").alias("key")).distinct()
-    if isinstance(listed, DataFrame):
-        universe = universe.join(listed.select("key", F.lit(True).alias("on_list")).distinct(), "key", "left")
-    else:
-        universe = universe.withColumn("on_list", listed)
-    universe = universe.select("key", (F.coalesce(F.col("on_list"), F.lit(False)) | F.col("key").isin(ruled)).alias("listed"))
-    cascade = build_cascade(universe, max_bytes=max_bytes)
-    if cascade is not None:
-        tested = _test(urls.withColumns({"h1": F.transform("keys", lambda k: hashes(k)[0]), "h2": F.transform("keys", lambda k: hashes(k)[1])}), cascade, "member", True)
-        found = tested.withColumn("found", F.expr("transform(filter(arrays_zip(keys, member), x -> x.member), x -> x.keys)"))
-    else:
-        one = urls.withColumn("row", F.monotonically_increasing_id())
-        hits = one.select("row", F.explode("keys").alias("key")).join(universe.where("listed").select("key"), "key", "left_semi")
-        found = one.join(hits.groupBy("row").agg(F.collect_list("key").alias("found")), "row", "left")
-        found = found.withColumn("found", F.coalesce("found", F.expr("cast(array() as array<string>)")))
-    fits = F.filter("found", lambda k: k.isin(ruled))
-    best = F.array_max(F.transform(fits, lambda k: F.struct(F.char_length(k).alias("n"), k.alias("key"))))["key"]
+    listed = written(listed.select("host", "path").where("host is not null and path is not null"), "url-list")
+    of_list = [(r["s"]["labels"], r["s"]["chars"]) for r in listed.select(entry_sizes(F.col("host"), F.col("path")).alias("s")).distinct().orderBy("s").collect()]
+    of_rules = sorted({(r.host.count(".") + 1, len(r.path)) for r in rules})
+    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    urls = urls.withColumns({"n_labels": F.when(F.col("host") == "", 0).otherwise(F.size(F.split("host", "[.]"))), "list_path": F.when(F.col("path") == "", "/").otherwise(F.col("path"))})
+    urls = urls.withColumn("keys", F.concat(url_keys(of_rules, "r:", "path"), url_keys(of_list, "l:", "list_path"))).drop("n_labels", "list_path")
+    ruled = [f"r:{r.key}" for r in rules]
+    most = pages.count() * max(1, len(of_list) + len(of_rules))
+    marked = urls.select(F.explode("keys").alias("key")).select("key", F.col("key").isin(ruled).alias("listed"), F.lit(True).alias("seen"))
+    marked = marked.unionByName(listed.select(F.concat(F.lit("l:"), "host", "path").alias("key"), F.lit(True).alias("listed"), F.lit(False).alias("seen")))
+    universe = marked.groupBy("key").agg(F.max("listed").alias("listed"), F.max("seen").alias("seen")).where("seen").drop("seen")
+    found = _found(urls, build_cascades(universe, most, max_bytes))
+    best = F.array_max(F.transform(F.filter("found", lambda k: k.startswith("r:")), lambda k: F.struct(F.char_length(k).alias("n"), F.substring(k, 3, 1 << 30).alias("key"))))["key"]
     actions = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.action)]) if rules else F.lit(None)
     out = found.withColumn("rule", best if rules else F.lit(None).cast("string"))
     verdict = F.when(F.col("rule").isNotNull(), F.try_element_at(actions, F.col("rule")) if rules else F.lit(None)).when(F.size("found") > 0, F.lit("block")).otherwise(F.lit(default))
