@@ -210,8 +210,8 @@ def flagged_hosts(pages: DataFrame, terms: tuple[str, ...], url_col: str = "url"
     label holds one of ``terms``, alone or between hyphens. A last label is never listed."""
     host = url_parts(F.col(url_col))[0]
     labels = pages.select(host.alias("host")).distinct().withColumn("labels", F.split("host", "[.]"))
-    marks = F.transform("labels", lambda x: F.arrays_overlap(F.split(x, "-"), F.array(*map(F.lit, terms))))
-    last = labels.withColumn("n", F.size("labels")).withColumn("at", F.array_max(F.transform(marks, lambda m, i: F.when(m & (i < F.size("labels") - 1), i))))
+    marks = F.transform(F.slice("labels", 1, F.size("labels") - 1), lambda x, i: F.when(F.arrays_overlap(F.split(x, "-"), F.array(*map(F.lit, terms))), i))
+    last = labels.withColumns({"n": F.size("labels"), "at": F.array_max(marks)})
     return last.where("at is not null").select(F.array_join(F.slice("labels", F.col("at") + 1, F.col("n") - F.col("at")), ".").alias("host"), F.lit("/").alias("path")).distinct()
 
 
