@@ -1,31 +1,38 @@
 """WARC archives: writing with payload deduplication, reading, and the merged index.
 
 Writing: pages with equal payloads are one group; its largest page id is stored as
-a response, the others as revisits that refer to it. Records are laid out
-JVM-side and written as gzipped text files in which the record separator ends each
-record; files hold a bounded number of records. Reading parses each file by
-Content-Length and checks stored payloads against their digests.
-
-Index: each archive file gives a capture run, sorted by URL key and timestamp and
-written as a table. The key space is then cut into ranges of bounded size, and in
-every range the runs that reach into it are merged by a k-way loser tree, so that
-the partitions, in order, hold all captures by URL key and time.
+a response, the others as revisits that refer to it. Records are laid out JVM-side;
+each becomes a gzip member of its own, and members fill files of at most about
+``file_bytes`` (one larger record is a file of its own). The writer ends each file
+with an empty member. Reading goes member by member, parses by Content-Length and
+checks stored payloads against their digests; the index holds each member's offset, from
+which the record can be read alone.
+
+Index, by an external merge: every reading task sorts its captures by URL key and
+timestamp and writes them as a run, a file in the shared folder. The key space is then cut
+into ranges of bounded size, and in every range the slices of the runs that reach
+into it are merged by a k-way loser tree over one small buffer per slice, so that the
+partitions, in order, hold all captures by URL key and time. Nothing is sorted a second
+time: slices are the stretches that arrive in order.
 
 Defined results: a null html is an empty payload; a null url is recorded as
 ``urn:page:<id>``; a null page id is never a group's response unless the group has no
-other; repeated rows with the largest id are all responses; an empty table gives
-an empty result; other columns are not looked at. The largest group is never in one
-task: its largest id is combined before the shuffle, and Spark can split the join.
+other; repeated rows with the largest id are all responses; very long pages are
+whole; an empty table gives an empty result; other columns are not looked at. The
+largest group is never in one task: its largest id is combined before the shuffle,
+and Spark can split the join. Captures of one URL may be in several ranges.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +47,12 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 #: Captures of the synthetic crawl: seconds after this time, by page id.
 EPOCH = 1_577_836_800
 
+#: Bytes of a file of records, and the gzip member without content that ends each file.
+FILE_BYTES = 16 << 20
+NOTHING = gzip.compress(b"", mtime=0)
+#: Keys of a run that a merge has in hand, and rows of a batch of its result.
+BUFFER, ROWS_OUT = 512, 10_000
+
 INDEX = "urlkey string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 
 
@@ -92,36 +105,63 @@ def records(classified: DataFrame) -> DataFrame:
     return classified.select(F.concat(*head, block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, per_file: int = 2000, **columns) -> None:
-    """Archives of all pages under ``path``, each of at most ``per_file`` records."""
-    rows = fewer(records(classify(pages, **columns)), pages.count(), per_file)
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
-
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, per_task: int = 2000, **columns) -> None:
+    """Archives of all pages under ``path``."""
 
-def parse(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of the records of an archive's uncompressed bytes."""
+    def pack(it):
+        held, size = [], 0
+        for b in it:
+            for value in b.column(0):
+                member = gzip.compress(value.as_py().encode() + END.encode(), 6, mtime=0)
+                if held and size + len(member) > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+    files = fewer(records(classify(pages, **columns)), pages.count(), per_task).mapInArrow(pack, "value binary")
+    # the text writer puts a row's bytes as they are, then its separator
+    writer = files.select(F.col("value").cast("string")).write.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1")
+    writer.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+
+
+def members(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of an archive's members that have content."""
     at = 0
     while at < len(raw):
-        stop = raw.index(b"\r\n\r\n", at)
-        first, *lines = raw[at:stop].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no record at {at}")
-        headers = dict(x.split(": ", 1) for x in lines)
-        start = stop + 4
-        end = start + int(headers["Content-Length"])
-        if raw[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at {at} does not end where its length says")
-        yield at, headers, raw[start:end]
-        at = end + 4
-
-
-def inflate(raw: bytes) -> bytes:
-    out = []
-    while raw:
         d = zlib.decompressobj(31)
-        out.append(d.decompress(raw) + d.flush())
-        raw = d.unused_data
-    return b"".join(out)
+        content = d.decompress(memoryview(raw)[at : at + (64 << 10)])
+        end = at + (64 << 10)
+        parts = [content]
+        while not d.eof and end < len(raw):
+            parts.append(d.decompress(memoryview(raw)[end : end + (64 << 10)]))
+            end += 64 << 10
+        if not d.eof:
+            raise ValueError(f"the member at {at} is cut off")
+        if content := b"".join(parts):
+            yield at, content
+        at = min(end, len(raw)) - len(d.unused_data)
+
+
+def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers, block) of a record."""
+    stop = record.index(b"\r\n\r\n")
+    first, *lines = record[:stop].decode().split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError("not a record")
+    headers = dict(x.split(": ", 1) for x in lines)
+    start = stop + 4
+    end = start + int(headers["Content-Length"])
+    if record[end:] != b"\r\n\r\n":
+        raise ValueError("the record does not end where its length says")
+    return headers, record[start:end]
+
+
+def record_at(raw: bytes, offset: int) -> tuple[dict[str, str], bytes]:
+    """The record whose member begins at ``offset``; nothing before it is read."""
+    return parse(next(members(memoryview(raw)[offset:]))[1])
 
 
 def url_key(uri: str) -> str:
@@ -141,7 +181,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in it:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
                 rows = []
-                for at, h, block in parse(inflate(content.as_py())):
+                for at, record in members(content.as_buffer()):
+                    h, block = parse(record)
                     digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
                     if kind == "response":
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
@@ -157,24 +198,46 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, INDEX)
 
 
+class Run:
+    """A sorted stretch ``[at, stop)`` of a column of keys, of which a buffer at a time is in hand."""
+
+    def __init__(self, keys: pa.Array, at: int, stop: int):
+        self.keys, self.at, self.stop = keys, at, stop
+        self.buffer: list[bytes] = []
+        self.next = 0
+        self.key: bytes | None = None
+        self._fill()
+
+    def _fill(self) -> None:
+        self.buffer = self.keys.slice(self.at, min(BUFFER, self.stop - self.at)).to_pylist()
+        self.next = 0
+        self.key = self.buffer[0] if self.buffer else None
+
+    def pop(self) -> int:
+        """The place of the key that was first; the following one is first now."""
+        out, self.at, self.next = self.at, self.at + 1, self.next + 1
+        if self.next < len(self.buffer):
+            self.key = self.buffer[self.next]
+        else:
+            self._fill()
+        return out
+
+
 class LoserTree:
     """Merges k sorted runs: each inner node keeps the loser of its match, so the next
     smallest key costs one match per level on the path of the last winner's run."""
 
-    def __init__(self, runs: list[list]):
-        self.runs, self.at = runs, [0] * len(runs)
-        self.k = max(1, len(runs))
+    def __init__(self, runs: list[Run]):
+        self.runs, self.k = runs, max(1, len(runs))
         self.losers = [-1] * self.k
         for i in range(len(runs)):
             self._enter(i)
 
     def _less(self, a: int, b: int) -> bool:
-        """Run a's head goes before run b's; finished runs go last."""
-        if self.at[a] >= len(self.runs[a]):
-            return False
-        if self.at[b] >= len(self.runs[b]):
-            return True
-        x, y = self.runs[a][self.at[a]], self.runs[b][self.at[b]]
+        """Run a's first key goes before run b's; finished runs go last."""
+        x, y = self.runs[a].key, self.runs[b].key
+        if x is None or y is None:
+            return x is not None
         return x < y or x == y and a < b
 
     def _enter(self, i: int) -> None:
@@ -190,14 +253,10 @@ class LoserTree:
             node //= 2
         self.losers[0] = i
 
-    def __iter__(self) -> Iterator[tuple[int, int]]:
-        """(run, position in it), in the order of keys."""
-        left = sum(map(len, self.runs))
-        while left:
-            i = self.losers[0]
-            yield i, self.at[i]
-            self.at[i] += 1
-            left -= 1
+    def __iter__(self) -> Iterator[int]:
+        """Places of the keys, in the order of keys."""
+        while self.runs and self.runs[i := self.losers[0]].key is not None:
+            yield self.runs[i].pop()
             node = (i + self.k) // 2
             while node > 0:
                 if self._less(self.losers[node], i):
@@ -206,30 +265,48 @@ class LoserTree:
             self.losers[0] = i
 
 
+def stretches(keys: pa.ChunkedArray) -> list[tuple[int, int]]:
+    """(from, to) of the longest stretches in order; one batch's keys at a time."""
+    cuts, at, last = [0], 0, None
+    for chunk in keys.chunks:
+        for k in range(0, len(chunk), 10 * BUFFER):
+            own = chunk.slice(k, 10 * BUFFER).to_numpy(zero_copy_only=False)
+            if last is not None and own[0] < last:
+                cuts.append(at)
+            cuts.extend((np.flatnonzero(own[1:] < own[:-1]) + 1 + at).tolist())
+            at, last = at + len(own), own[-1]
+    return list(zip(cuts, [*cuts[1:], at])) if at else []
+
+
+def merged(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted stretches, in the order of the binary column ``key``."""
+    if not (held := [b for b in batches if b.num_rows]):
+        return
+    t = pa.Table.from_batches(held)
+    runs = stretches(t[key])
+    t = t.combine_chunks()
+    keys = t[key].chunk(0)
+    places: list[int] = []
+    for place in LoserTree([Run(keys, a, b) for a, b in runs]):
+        places.append(place)
+        if len(places) == ROWS_OUT:
+            yield from t.take(pa.array(places, pa.int64())).combine_chunks().to_batches()
+            places = []
+    if places:
+        yield from t.take(pa.array(places, pa.int64())).combine_chunks().to_batches()
+
+
+def order_key() -> Column:
+    """Bytes that sort as URL key, capture time, page id (none first), file and offset do."""
+    number = lambda c: F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat_ws("\0", "urlkey", "captured", F.coalesce(number("page_id"), F.lit("")), "archive", number("offset")).cast("binary")
+
+
 def merge_index(index: DataFrame, per_range: int = 100_000) -> DataFrame:
     """All index rows in the order of URL key and capture time, partition by partition."""
-    order = ["urlkey", "captured", "page_id", "archive", "offset"]
-    runs = written(index.sortWithinPartitions("archive", *order[:3], "offset"), "capture-runs")
-    n = runs.count()
-    names = runs.columns
-
-    def merge(it):
-        batches = list(it)
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches)
-        keys = list(zip(*(t[c].to_pylist() for c in ("urlkey", "captured")), (-(1 << 63) if x is None else x for x in t["page_id"].to_pylist()), t["offset"].to_pylist(), range(len(t))))
-        by_run: dict[str, list] = {}
-        for run, key in zip(t["archive"].to_pylist(), keys):
-            by_run.setdefault(run, []).append(key)
-        for run in by_run.values():
-            run.sort()  # arrives in order but where a shuffle mixed its blocks; sorted runs cost one pass
-        ordered = [by_run[r] for r in sorted(by_run)]
-        picked = [ordered[i][at][-1] for i, at in LoserTree(ordered)]
-        yield from t.take(pa.array(picked, pa.int64())).combine_chunks().to_batches(max_chunksize=10_000)
-
-    ranges = runs.repartitionByRange(max(1, -(-n // per_range)), *[F.col(c) for c in order])
-    return ranges.select(*names).mapInArrow(merge, INDEX)
+    runs = written(index.withColumn("order_key", order_key()).sortWithinPartitions("order_key"), "capture-runs")
+    ranges = runs.repartitionByRange(max(1, -(-runs.count() // per_range)), "order_key")
+    return ranges.mapInArrow(lambda it: merged(it, "order_key"), runs.schema).select(*index.columns)
 
 
 def capture_histories(pages: DataFrame, path: str | None = None, least_bytes: int = 0, **columns) -> DataFrame:
