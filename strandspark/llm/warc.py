@@ -47,8 +47,8 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 #: Captures of the synthetic crawl: seconds after this time, by page id.
 EPOCH = 1_577_836_800
 
-#: Bytes of a file of records, and the gzip member without content that ends each file.
-FILE_BYTES = 16 << 20
+#: Bytes of a file of records, level of its compression, and the gzip member without content that ends each file.
+FILE_BYTES, LEVEL = 16 << 20, 3
 NOTHING = gzip.compress(b"", mtime=0)
 #: Keys of a run that a merge has in hand, and rows of a batch of its result.
 BUFFER, ROWS_OUT = 512, 10_000
@@ -112,7 +112,7 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, pe
         held, size = [], 0
         for b in it:
             for value in b.column(0):
-                member = gzip.compress(value.as_py().encode() + END.encode(), 6, mtime=0)
+                member = gzip.compress(value.as_py().encode() + END.encode(), LEVEL, mtime=0)
                 if held and size + len(member) > file_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
                     held, size = [], 0
