@@ -2,7 +2,7 @@
 
 A document's fingerprint has a bit where over half of its shingle hashes have it.
 Exact copies share a fingerprint, so links are sought among distinct fingerprints
-only, each standing for its documents by the smallest id.
+only, and components are of fingerprints, whether their documents have ids or not.
 
 Filter: the 64 bits lie on a ring of ``SEGMENTS`` segments. If two fingerprints
 differ in at most ``t`` bits, some segment starts a chain whose cumulative
@@ -12,10 +12,11 @@ one half of the next segment is equal too and narrows the key. Joined pairs then
 have to keep the chain's budgets before the full Hamming distance is taken.
 
 Defined results: a text without a word has fingerprint 0 and links like any
-other; a text shorter than a shingle is one shingle; a null id
-is nobody's component id, and a fingerprint that only null ids have gets a null
-component; repeated rows are
-returned each; an empty table gives an empty one; other columns are not looked at.
+other; a text shorter than a shingle is one shingle; very long texts are hashed
+whole, in blocks; documents without an id link and are linked through like any other,
+but their ids are nobody's: a component without any id has a null component id;
+repeated rows are returned each; an empty table gives an empty one; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -112,11 +113,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the other fingerprints within ``distance``."""
     own = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     n = own.count()
-    distinct = written(fewer(own.groupBy("fp").agg(F.min("doc_id").alias("node")), n), "distinct-fingerprints")
-    edges = written(fewer(links(distinct.where("node is not null"), distance).distinct(), n), "links")
-    root = components(edges)
-    ends = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = distinct.join(root, "node", "left").join(ends, "node", "left")
-    known = known.select("fp", F.coalesce("root", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = own.join(known, "fp")
+    distinct = written(fewer(own.groupBy("fp").agg(F.min("doc_id").alias("least")), n), "distinct-fingerprints")
+    edges = written(fewer(links(distinct.select(F.col("fp").alias("node"), "fp"), distance).distinct(), n), "links")
+    linked = components(edges).select(F.col("node").alias("fp"), "root")
+    ends = edges.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = written(fewer(linked.join(ends, "fp").join(distinct, "fp"), n), "linked-fingerprints")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = linked.join(least, "root").select("fp", "component_id", "n_links")
+    alone = distinct.join(known, "fp", "left_anti").select("fp", F.col("least").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    out = own.join(known.unionByName(alone), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")

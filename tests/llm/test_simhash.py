@@ -19,15 +19,16 @@ def brute_fingerprint(text):
 
 
 def brute_components(pairs):
-    """pairs: (doc_id, fingerprint); smallest id reachable over links of 3 bits or fewer."""
-    fps = sorted({f for i, f in pairs if i is not None})
-    least = {f: min(i for i, g in pairs if g == f and i is not None) for f in fps}
+    """pairs: (doc_id, fingerprint); smallest id reachable over links of 3 bits or fewer,
+    through fingerprints without ids too."""
+    fps = sorted({f for _, f in pairs})
+    least = {f: min((i for i, g in pairs if g == f and i is not None), default=None) for f in fps}
     changed = True
     while changed:
         changed = False
         for f in fps:
             for g in fps:
-                if (f ^ g).bit_count() <= 3 and least[g] < least[f]:
+                if (f ^ g).bit_count() <= 3 and least[g] is not None and (least[f] is None or least[g] < least[f]):
                     least[f], changed = least[g], True
     return least
 
@@ -77,6 +78,19 @@ def test_filter_loses_no_pair(spark):
     assert SEGMENTS * WIDTH == 64
 
 
+def test_links_through_documents_without_ids(spark, monkeypatch):
+    """0 - 7 - 63: the middle one has no id; it still links its neighbours."""
+    import strandspark.llm.simhash as S
+
+    rows = [(5, 0), (9, 0), (None, 7), (2, 63), (None, 63 << 40), (None, 63 << 40), (None, 7 << 40), (3, (1 << 63) - 1)]
+    monkeypatch.setattr(S, "fingerprints", lambda *a: spark.createDataFrame(rows, "doc_id long, fp long"))
+    got = near_duplicates(spark.range(0).selectExpr("id AS doc_id", "'' AS text")).collect()
+    least = brute_components(rows)
+    assert sorted(((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in got), key=str) == sorted(((i, f, least[f]) for i, f in rows), key=str)
+    assert {r["component_id"] for r in got if r["doc_id"] in (5, 9, 2)} == {2}
+    assert {r["n_links"] for r in got if int(r["fingerprint"], 16) == 7} == {2}
+
+
 def test_empty_and_limits(no_docs, spark):
     assert near_duplicates(no_docs).collect() == []
     with pytest.raises(ValueError):
