@@ -5,19 +5,22 @@ character n-grams (one to three characters), and a text gets the language whose
 codeword has the least loss-weighted distance to the bits' margins. A text whose
 two best codewords are close is flagged as ambiguous.
 
-The fit takes a bounded sample of labelled rows (``max_rows``; per language the
-rows with the smallest hash of each of ``max_rows / languages`` hash buckets),
-whose feature vectors the driver gathers; prediction reads every whole text in
-one pass without a shuffle.
-
-Defined results: null texts and texts without a letter give ``und`` and score 0;
-with no labelled row every text does; a null label is not learned from; repeated
-rows are predicted each; other columns are not looked at.
+The fit takes a bounded sample of labelled rows: of at most ``max_languages``
+languages (those with most rows; ties: first in code point order) one row, the one with the
+smallest hash, of each of ``max_rows / languages`` hash buckets. Their feature vectors, no
+more than ``max_rows`` whatever the table, go to the driver; prediction reads every
+whole text in one pass without a shuffle.
+
+Defined results: null texts and texts without a letter (digits, marks, fractions and
+numerals like ``\u2167`` are none) give ``und`` and score 0; with no labelled row every
+text does; a null label or id is not learned from; very long texts are read whole, in
+blocks; repeated rows are predicted each and learned from once; of equally near codewords
+the first language in code point order; an empty table gives an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 
 from strandspark.llm.texts import map_texts
 
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 #: Multipliers of the n-gram hash, one per character of the n-gram.
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
@@ -39,6 +41,7 @@ BLOCK = 1 << 20
 class LanguageConfig:
     dims: int = 4096
     max_rows: int = 2048
+    max_languages: int = 256
     #: Code bits beyond one per language.
     extra_bits: int = 6
     steps: int = 300
@@ -98,7 +101,7 @@ class LanguageModel:
         return p.argmax(1), p
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, True
         x = features(text, self.config.dims)
         best, p = self.decode((np.append(x, np.float32(1)) @ self.weights)[None].astype(np.float64))
@@ -130,21 +133,22 @@ def train(x: np.ndarray, y: list[str], config: LanguageConfig) -> LanguageModel:
 def fit(docs: DataFrame, trainable: Column, config: LanguageConfig = LanguageConfig()) -> LanguageModel:
     """Fit on the rows of (doc_id, text, lang) for which ``trainable`` holds."""
     own = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    n = own.select(F.approx_count_distinct("lang").alias("n")).first()["n"]
-    per = max(8, config.max_rows // max(1, n))
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(per))
-    picked = own.groupBy("lang", bucket.alias("b")).agg(F.min_by("doc_id", F.xxhash64(F.lit(config.seed), "doc_id")).alias("doc_id"))
-    ids = [r["doc_id"] for r in picked.select("doc_id").collect()]
+    own = own.select("text", "lang", F.xxhash64(F.lit(config.seed), "doc_id", "text").alias("key"))
+    rows = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(config.max_languages).collect()
+    languages = [r["lang"] for r in rows]
+    per = max(1, config.max_rows // max(1, len(languages)))
+    own = own.where(F.col("lang").isin(languages)).withColumn("bucket", F.pmod(F.shiftright("key", 20), F.lit(per)))
+    picked = [r["key"] for r in own.groupBy("lang", "bucket").agg(F.min("key").alias("key")).select("key").distinct().collect()]
     dims = config.dims
 
     def run(c: dict[str, list]) -> pa.RecordBatch:
         vec = [features(t, dims).astype(np.float32).tobytes() for t in c["text"]]
-        return pa.RecordBatch.from_arrays([pa.array(c["doc_id"], pa.int64()), pa.array(c["lang"], pa.string()), pa.array(vec, pa.binary())], names=["doc_id", "lang", "vec"])
+        return pa.RecordBatch.from_arrays([pa.array(c["key"], pa.int64()), pa.array(c["lang"], pa.string()), pa.array(c["bucket"], pa.int64()), pa.array(vec, pa.binary())], names=["key", "lang", "bucket", "vec"])
 
-    chosen = own.where(F.col("doc_id").isin(ids)) if len(ids) <= 4 * config.max_rows else own.join(picked.select("doc_id"), "doc_id", "left_semi")
-    rows = sorted(map_texts(chosen.select("doc_id", "text", "lang"), run, "doc_id long, lang string, vec binary").collect(), key=lambda r: (r["doc_id"], r["lang"], bytes(r["vec"])))
-    x = np.stack([np.frombuffer(r["vec"], np.float32) for r in rows]) if rows else np.zeros((0, dims), np.float32)
-    return train(x, [r["lang"] for r in rows], config)
+    seen = map_texts(own.where(F.col("key").isin(picked)), run, "key long, lang string, bucket long, vec binary")
+    chosen = sorted(tuple(r) for r in seen.groupBy("lang", "bucket").agg(F.min_by("vec", "key").alias("vec")).collect())
+    x = np.stack([np.frombuffer(v, np.float32) for _, _, v in chosen]) if chosen else np.zeros((0, dims), np.float32)
+    return train(x, [lang for lang, _, _ in chosen], config)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
