@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandspark.llm.neighbours import IndexConfig, nearest
+from strandspark.llm.neighbours import CentroidGraph, IndexConfig, nearest
 from strandspark.llm.q_neighbours import query
 
 
@@ -38,21 +38,69 @@ def test_few_and_none(spark):
     assert nearest(df.limit(1), F.col("vec_id") % 100 == 0, 10).collect() == []
 
 
-def test_recall(spark):
-    sf = "/root/testdata/check_s"
-    import os
+def recall(rows, got, queries, k=10):
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    hit = total = 0
+    for i in np.flatnonzero(queries(ids)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        best = set(ids[np.lexsort((ids, d))[:k]].tolist())
+        assert len(got[ids[i]]) == k
+        hit, total = hit + len(best & set(got[ids[i]])), total + k
+    return hit / total
 
-    sf = sf if os.path.isdir(sf) else "/root/testdata/sf0.1"
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
-    ids, x = e.vec_id.to_numpy(), np.stack(e.embedding.to_numpy()).astype(float)
+
+def by_query(df):
     got = {}
-    for r in query(spark, sf).collect():
+    for r in df.collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return got
+
+
+def test_recall(spark):
+    """At the query's own settings, on the largest small table there is."""
+    import os
+
+    sf = "/root/testdata/check_s" if os.path.isdir("/root/testdata/check_s") else "/root/testdata/sf0.1"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    assert recall(rows, by_query(query(spark, sf)), lambda ids: ids % 100 == 0) >= 0.95
+
+
+def test_recall_and_pruning_of_clustered_vectors(spark):
+    """Many lists in many cells: few are read, and nearly all neighbours found."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[rng.integers(0, 60, 6000)] + 0.25 * rng.normal(size=(6000, 16))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = nearest(df, F.col("vec_id") % 100 == 0, 10, config=IndexConfig(per_list=50, part=64, cell_part=500))
+    assert recall(rows, by_query(got), lambda ids: ids % 100 == 0) >= 0.9
+
+
+def test_a_third_of_all_vectors_are_equal(spark):
+    """They share one list; its parts meet its queries in blocks."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 4)).round(1)
+    rows = [(i, (x[0] if i % 3 == 0 else x[i]).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(tuple(r) for r in nearest(df, F.col("vec_id") % 10 == 0, 10, config=IndexConfig(per_list=40, part=8, cell_part=50, ratio=50.0)).collect())
+    want = []
+    for q in range(0, 900, 10):
+        d = sorted((float(np.sqrt(((np.array(rows[q][1]) - np.array(v)) ** 2).sum())), i) for i, v in rows if i != q)
+        want += [(q, r, i, s) for r, (s, i) in enumerate(d[:10], 1)]
+    assert [t[:3] for t in got] == [t[:3] for t in sorted(want)]
+
+
+def test_graph_finds_the_nearest_centroids():
+    rng = np.random.default_rng(7)
+    c = rng.normal(size=(300, 8))
+    g = CentroidGraph.build(c, IndexConfig(ratio=1.3), np.full(300, 5))
     hit = total = 0
-    for i in np.flatnonzero(ids % 100 == 0):
-        d = np.sqrt(((x - x[i]) ** 2).sum(1))
-        d[i] = np.inf
-        best = set(ids[np.lexsort((ids, d))[:10]].tolist())
-        assert len(got[ids[i]]) == 10
-        hit, total = hit + len(best & set(got[ids[i]])), total + 10
-    assert hit / total >= 0.95
+    for q in rng.normal(size=(50, 8)):
+        found, best = g.search(q, 20)
+        d = np.sqrt(((c - q) ** 2).sum(1))
+        assert len(found) >= 4 and [x for x, _ in found] == sorted(x for x, _ in found) and best >= d.min() - 1e-9
+        want = set(np.flatnonzero(d <= 1.3 * d.min()).tolist())
+        hit, total = hit + len(want & {i for _, i in found}), total + len(want)
+    assert hit / total > 0.95
