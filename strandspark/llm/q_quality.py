@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandspark.llm.quality import LineRules, clean_lines
+from strandspark.llm.quality import MARKS, LineRules, clean_lines
 from strandspark.runtime import ship, table
 
 NAME = "op2_quality_rules"
@@ -16,6 +16,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 R = LineRules()
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = ", ".join(f"'{s}'" for s in R.separators)
+BOILERPLATE = R.boilerplate.replace("'", "''")
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '{WORD}') AS ws FROM d),
@@ -24,13 +25,17 @@ base AS (
     CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM w),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
-lw AS (SELECT r, line, pos, regexp_extract_all(line, '{WORD}') AS ws FROM lines),
+lw AS (SELECT r, line, pos, regexp_extract_all(line, '{WORD}') AS ws, len(regexp_extract_all(regexp_replace(line, '(?s)^.*[{MARKS}]', ''), '{WORD}')) AS left_open FROM lines),
+near AS (SELECT line, lag(line) OVER w AS before, lead(line) OVER w AS after FROM lw WHERE len(ws) > 0 WINDOW w AS (PARTITION BY r ORDER BY pos)),
+common AS (
+  SELECT line FROM (SELECT DISTINCT * FROM near) GROUP BY line
+  HAVING count(*) >= {R.common_least} AND 100 * count(*) >= {R.common_percent} * (SELECT count(*) FROM documents)),
 ll AS (
   SELECT r, len(ws) AS n, row_number() OVER (PARTITION BY r, line ORDER BY pos) > 1 AS dup,
     100 * len(list_filter(ws, lambda x: x IN ({SEPARATORS}))) > {R.max_separator_percent} * len(ws)
     OR 100 * len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&<>]|!!|\?\?'))) > {R.max_noisy_percent} * len(ws)
-    OR (len(ws) >= {R.long_line} AND NOT regexp_matches(line, '[.!?…]'))
-    OR regexp_matches(line, '(?i){R.boilerplate}') AS fails
+    OR (len(ws) >= {R.open_line} AND (left_open = len(ws) OR left_open >= {R.long_line}))
+    OR regexp_matches(line, '(?i){BOILERPLATE}') OR line IN (SELECT line FROM common) AS fails
   FROM lw WHERE len(ws) > 0),
 per AS (
   SELECT r, count(*) FILTER (dup) AS n_dup_lines, count(*) FILTER (fails) AS n_lines_removed,

@@ -4,10 +4,20 @@ Every line is judged by three rules -- punctuation, navigation, boilerplate --
 failing lines are removed, and a document that loses too many of its words that
 way is rejected, as is one that fails the base signals.
 
+Punctuation: a line has to end its sentences; a short one may be a heading, and the
+last sentence of a long one may be cut off. Words must not be noise. Navigation: a line
+may not consist of separators to a good part. Boilerplate: fixed phrases in the
+corpus's languages, and what the corpus itself shows to be boilerplate: lines that
+stand in many documents, each time between other lines. Neighbours are counted instead of
+documents, so the lines of a text that has very many copies are not mistaken for
+boilerplate. There can only be few such lines (all lines of the corpus divided by
+``common_percent`` of its documents); their hashes are all that reaches the driver.
+
 Defined results: a null or empty text has no words, all counts 0, fails the base
-test and is not kept; repeated rows are judged one by one; other columns of the
-input, whatever their names, are not looked at; an empty table gives an empty one.
-One pass over the input, no shuffle.
+test and is not kept; very long texts and lines are judged whole; repeated rows are
+judged one by one; other columns of the input, whatever their names, are not looked
+at; an empty table gives an empty one. Two passes over the input; only hashes of
+lines are shuffled, combined before.
 """
 
 from __future__ import annotations
@@ -16,10 +26,11 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.texts import ROWS, map_texts, words
+from strandspark.llm.texts import ROWS, WORD, map_texts, words
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -37,18 +48,29 @@ class LineRules:
     max_loss_percent: int = 30
     #: Words with symbols or repeated exclamation marks, from which a line fails.
     max_noisy_percent: int = 30
-    #: A line of at least this many words must have a sentence mark somewhere.
+    #: A line without a sentence mark may have fewer words than this ...
+    open_line: int = 10
+    #: ... and the words after the last mark of a line fewer than this.
     long_line: int = 40
     #: Separators of menus and breadcrumbs, and their share of a line's words.
-    separators: tuple[str, ...] = ("|", "»", ">", "•", "::", "/")
+    separators: tuple[str, ...] = ("|", "»", ">", "•", "::", "/", "·", "›", "→")
     max_separator_percent: int = 20
+    #: A line with as many different neighbours as this percentage of documents is boilerplate,
+    #: from this number of them on.
+    common_percent: int = 2
+    common_least: int = 20
     boilerplate: str = (
         r"all rights reserved|licensed under|released under the|terms of (?:use|service)|privacy policy|"
         r"cookie policy|we use cookies|accept cookies|copyright (?:©|\(c\))|powered by|click here|"
-        r"sign up for|subscribe to our|log in to|enable javascript"
+        r"sign up for|subscribe to our|log in to|enable javascript|"
+        r"alle rechte vorbehalten|nutzungsbedingungen|cookies akzeptieren|"
+        r"tous droits r|conditions d'utilisation|accepter les cookies|"
+        r"todos los derechos reservados|aviso legal|aceptar las cookies"
     )
 
 
+#: What ends a sentence.
+MARKS = ".!?…。！？؟।"
 NOISY = re.compile(rb"[#*$%&<>]|!!|\?\?")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
@@ -71,20 +93,53 @@ def repeated_words(w: list[bytes]) -> int:
     return sum(hit)
 
 
-def line_fails(line: bytes, w: list[bytes], rules: LineRules, boilerplate: re.Pattern[bytes], separators: frozenset[bytes]) -> bool:
-    n = len(w)
-    if b"|" in line or b">" in line or b"/" in line or b":" in line or b"\xc2\xbb" in line or b"\xe2\x80\xa2" in line:
-        if 100 * sum(x in separators for x in w) > rules.max_separator_percent * n:
+class Judge:
+    """The rules, ready for use on the executors."""
+
+    def __init__(self, rules: LineRules, common: frozenset[int] = frozenset()):
+        self.rules, self.common = rules, common
+        self.boilerplate = re.compile(rules.boilerplate.encode(), re.I)
+        self.separators = frozenset(s.encode() for s in rules.separators)
+        self.may_separate = re.compile(b"|".join(re.escape(s) for s in sorted(self.separators)))
+        self.marks = [m.encode() for m in MARKS]
+
+    def open_words(self, line: bytes, n: int) -> int:
+        """Words after the last sentence mark of a line of ``n`` words."""
+        if line[-1:] in (b".", b"!", b"?"):
+            return 0
+        end = max((at + len(m) for m in self.marks if (at := line.rfind(m)) >= 0), default=0)
+        return len(line[end:].split()) if end else n
+
+    def fails(self, line: bytes, w: list[bytes]) -> bool:
+        n, rules = len(w), self.rules
+        if self.common and xxhash.xxh64_intdigest(line, LINE_SEED) in self.common:
+            return True
+        if self.may_separate.search(line) and 100 * sum(x in self.separators for x in w) > rules.max_separator_percent * n:
             return True
-    if NOISY.search(line) and 100 * sum(NOISY.search(x) is not None for x in w) > rules.max_noisy_percent * n:
-        return True
-    if n >= rules.long_line and not (b"." in line or b"!" in line or b"?" in line or b"\xe2\x80\xa6" in line):
-        return True
-    return boilerplate.search(line) is not None
+        if NOISY.search(line) and 100 * sum(NOISY.search(x) is not None for x in w) > rules.max_noisy_percent * n:
+            return True
+        if n >= rules.open_line and (left := self.open_words(line, n)) and (left == n or left >= rules.long_line):
+            return True
+        return self.boilerplate.search(line) is not None
+
+
+#: The seed of Spark's XXH64.
+LINE_SEED = 42
+
+
+def common_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> frozenset[int]:
+    """Hashes of the lines that the corpus shows to be boilerplate (see the module)."""
+    text = F.col(text_col)
+    h = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(x))
+    before, after = F.concat(F.array(F.lit(None).cast("long")), F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0)))), F.concat(F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), F.array(F.lit(None).cast("long")))
+    lines = docs.where(text.isNotNull()).select(F.explode(F.arrays_zip(h.alias("line"), before.alias("before"), after.alias("after"))).alias("x")).select("x.line", F.xxhash64("x.before", F.lit(0), "x.after").alias("between"))
+    least = max(rules.common_least, -(-rules.common_percent * docs.count() // 100))
+    found = lines.distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return frozenset(r["line"] % (1 << 64) for r in found.select("line").collect())
 
 
-def judge(text: str | None, rules: LineRules, boilerplate: re.Pattern[bytes], separators: frozenset[bytes]) -> tuple:
-    text = text or ""
+def judge(text: str | None, by: Judge) -> tuple:
+    text, rules = text or "", by.rules
     w = words(text)
     n = len(w)
     chars = len(text) - sum(text.count(c) for c in " \t\n\v\f\r")
@@ -99,7 +154,7 @@ def judge(text: str | None, rules: LineRules, boilerplate: re.Pattern[bytes], se
                 dup += 1
             else:
                 seen.add(line)
-            if line_fails(raw, lw, rules, boilerplate, separators):
+            if by.fails(raw, lw):
                 lost += len(lw)
                 lost_lines += 1
                 continue
@@ -112,14 +167,13 @@ def judge(text: str | None, rules: LineRules, boilerplate: re.Pattern[bytes], se
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """Signals, verdict and cleaned text of each document (see the module)."""
-    boilerplate = re.compile(rules.boilerplate.encode(), re.I)
-    separators = frozenset(s.encode() for s in rules.separators)
+    by = docs.sparkSession.sparkContext.broadcast(Judge(rules, common_lines(docs, text_col, rules)))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     types = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}
     kinds = [types[x.split()[1]] for x in SCHEMA.split(", ")]
 
     def run(c: dict[str, list]) -> pa.RecordBatch:
-        rows = [judge(t, rules, boilerplate, separators) for t in c["text"]]
+        rows = [judge(t, by.value) for t in c["text"]]
         cols = [c["doc_id"], *(list(x) for x in zip(*rows))] if rows else [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=names)
 
@@ -129,8 +183,7 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: LineRules = LineRules()) -> DataFrame:
     """The kept documents with all their columns, without the lines that fail;
     ``chars_col``, where there is one, is the new text's number of characters."""
-    boilerplate = re.compile(rules.boilerplate.encode(), re.I)
-    separators = frozenset(s.encode() for s in rules.separators)
+    by = docs.sparkSession.sparkContext.broadcast(Judge(rules, common_lines(docs, text_col, rules)))
 
     def run(it):
         for whole in it:
@@ -138,7 +191,7 @@ def keep_clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_char
                 b = whole.slice(at, ROWS)
                 k = b.schema.get_field_index(text_col)
                 texts = b.column(k).to_pylist()
-                rows = [judge(t, rules, boilerplate, separators) for t in texts]
+                rows = [judge(t, by.value) for t in texts]
                 b = b.set_column(k, b.schema.field(k), pa.array([r[9] for r in rows], pa.string()))
                 if (c := b.schema.get_field_index(chars_col)) >= 0:
                     old = b.column(c).to_pylist()

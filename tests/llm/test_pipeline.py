@@ -9,9 +9,10 @@ from strandspark.llm.mixing import mix
 from strandspark.llm.pieces import PieceModel
 from strandspark.llm.q_mixing import BUDGET, EPOCHS, SEED, WEIGHTS
 from strandspark.llm.q_pieces import vocabulary
-from strandspark.llm.quality import LineRules, judge
+from strandspark.llm.quality import LINE_SEED, Judge, LineRules, judge
 from strandspark.llm.substrings import without
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute_kept
+from tests.llm.test_quality import brute_common
 from tests.llm.test_substrings import WORD
 
 
@@ -31,19 +32,19 @@ def plain_substrings(texts):
 
 
 def test_run(spark):
-    import re
+    import xxhash
 
     sf = "/root/testdata/sf0.001"
-    rules = LineRules()
-    boiler, seps = re.compile(rules.boilerplate.encode(), re.I), frozenset(s.encode() for s in rules.separators)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    by = Judge(LineRules(), frozenset(xxhash.xxh64_intdigest(x.encode(), LINE_SEED) for x in brute_common([r["text"] for r in rows])))
     docs = []
-    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
-        j = judge(r["text"], rules, boiler, seps)
+    for r in rows:
+        j = judge(r["text"], by)
         if j[6]:
             docs.append((r["doc_id"], j[9], r["source"]))
-    pairs = [(i, brute_fingerprint(t)) for i, t, _ in docs]
-    least = brute_components(pairs)
-    docs = [d for d, (i, f) in zip(docs, pairs) if least[f] == i]
+    stay = set(brute_kept([(i, t) for i, t, _ in docs])[0])
+    assert len({i for i, _, _ in docs}) == len(docs)
+    docs = [d for d in docs if d[0] in stay]
     docs = [(i, t, s) for (i, _, s), t in zip(docs, plain_substrings([t for _, t, _ in docs]))]
     copies = {r["doc_id"]: r["copies"] for r in mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), WEIGHTS, BUDGET, EPOCHS, SEED).collect()}
     library = PieceModel(vocabulary()).library

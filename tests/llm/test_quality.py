@@ -1,7 +1,11 @@
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
-from strandspark.llm.quality import LineRules, clean_lines, keep_clean
+import pytest
+import xxhash
+
+from strandspark.llm.quality import LINE_SEED, Judge, LineRules, clean_lines, common_lines, judge, keep_clean
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -47,3 +51,58 @@ def test_keep_clean_keeps_columns_and_clean_texts(docs, rows):
 
 def test_empty(no_docs):
     assert clean_lines(no_docs).collect() == [] and keep_clean(no_docs).collect() == []
+
+
+def brute_common(texts, rules=LineRules()):
+    between = defaultdict(set)
+    for t in texts:
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        for before, x, after in zip([None, *lines], lines, [*lines[1:], None]):
+            between[x].add((before, after))
+    return {x for x, v in between.items() if len(v) >= rules.common_least and 100 * len(v) >= rules.common_percent * len(texts)}
+
+
+def test_common_lines_against_brute_force(spark):
+    """A line of many documents is boilerplate; the lines of a text with many copies, exact
+    or near, are not."""
+    r = random.Random(3)
+    line = lambda n: " ".join(r.choices(["ab", "cd", "ef", "gh"], k=n)) + "."
+    texts = ["\n".join([line(9), "Footer of all.", " \t", line(8)]) for _ in range(60)]
+    copied = "\n".join(line(9) for _ in range(6))
+    texts += [copied] * 200 + [copied.replace("ab", "xy", i % 7) for i in range(100)]
+    texts += [None, "", "\n\n", "Footer of all."] + ["x.\nHead\n" * (i + 1) for i in range(19)]
+    df = spark.createDataFrame([(t, 1, "z") for t in texts], "text string, line int, between string").repartition(4)
+    want = brute_common(texts)
+    assert common_lines(df) == {xxhash.xxh64_intdigest(x.encode(), LINE_SEED) for x in want}
+    assert "Footer of all." in want and not want & set(copied.split("\n"))
+    assert common_lines(df.limit(0)) == frozenset()
+
+
+def test_whole_table_of_common_lines(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_common([r["text"] for r in docs.select("text").collect()])
+    assert want and common_lines(docs) == {xxhash.xxh64_intdigest(x.encode(), LINE_SEED) for x in want}
+
+
+W = "one two three four five six seven eight nine"
+
+
+@pytest.mark.parametrize("line,fails", [
+    (W + " ten", True), (W, False), (W + " ten.", False), (W + " ten.\r", False), (W + " ten\u2026", False), (W + "\uff01 " + "tail " * 39, False), (W + ". " + "tail " * 40, True),
+    ("Home | About us | Contact", True), ("Home \u203a Shop \u203a Shoes", True), ("a and/or b", False), ("WOW!! BUY!! now!!", True), ("Cost is $5 in all of the shops here.", False),
+    ("Alle Rechte vorbehalten.", True), ("Tous droits r\u00e9serv\u00e9s", True), ("(c) the footer", True), ("the footer", False),
+])
+def test_rules_of_lines(line, fails):
+    by = Judge(LineRules(), frozenset({xxhash.xxh64_intdigest("(c) the footer".encode(), LINE_SEED)}))
+    assert by.fails(line.encode(), line.encode().split()) == fails
+
+
+def test_removed_lines_and_loss():
+    by = Judge(LineRules())
+    good = "This line is a sentence, and it ends. " * 6
+    text = "\n".join([good.strip(), "Home | About | Contact", good.strip() + " ", "Powered by x"])
+    n, *_, failed, kept, lines, lost, cleaned = judge(text, by)
+    assert (failed, lines, lost) == (True, 2, 8) and cleaned == good.strip() + "\n" + good.strip() + " "  # the same sentence, over and over
+    words = [f"w{i}" for i in range(70)]
+    half = " ".join(words) + ".\n" + " ".join(f"v{i}" for i in range(70))
+    assert judge(half, by)[5:9] == (False, False, 1, 70) and judge(" ".join(words) + ".\n" + " ".join(words[:20]), by)[5:7] == (False, True)
