@@ -13,8 +13,9 @@ into is found, and only documents of that slice are ordered.
 
 Defined results: a null text has size 0; documents without a source form one
 source, the last; an empty table gives an empty result; repeated rows are
-documents of their own (equal ones are alike, so reruns agree); other columns
-are not looked at. DataFrame operations only.
+documents of their own (equal ones are alike, so reruns agree); very long texts are
+sized whole; other columns, whatever their names, go through unseen. One row per source
+is ordered in one place, never the documents. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -54,10 +55,10 @@ def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
     return out.withColumn("mix_slice", F.substring("mix_key", 1, DIGITS))
 
 
-def _plan(keyed: DataFrame, weights: tuple[int, ...], budget_share: float, max_epochs: float) -> DataFrame:
-    """One row per source: size, target, whole epochs, words of the fractional epoch,
+def _plan(keyed: DataFrame, n: int, weights: tuple[int, ...], budget_share: float, max_epochs: float) -> DataFrame:
+    """One row per source of ``n`` documents: size, target, whole epochs, words of the fractional epoch,
     the slice that it ends in and the words before that slice."""
-    slices = written(fewer(keyed.groupBy("mix_source", "mix_slice").agg(F.sum("mix_size").alias("words"))), "mix-slices")
+    slices = written(fewer(keyed.groupBy("mix_source", "mix_slice").agg(F.sum("mix_size").alias("words")), n), "mix-slices")
     sources = slices.groupBy(F.col("mix_source").alias("source")).agg(F.sum("words").alias("source_size"))
     sources = water_fill(sources.withColumn("weight", by_rank(weights)), budget_share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -90,7 +91,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...], budget_share: float, max_epoc
     """doc_id, source, size, source_size, target, copies and taken words of every document."""
     keyed = _keyed(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col).select("mix_id", "mix_source", "mix_size", "mix_key", "mix_slice")
     keyed = written(keyed, "mix-sizes")
-    out = _copies(keyed, _plan(keyed, weights, budget_share, max_epochs))
+    out = _copies(keyed, _plan(keyed, keyed.count(), weights, budget_share, max_epochs))
     return out.select(
         F.col("mix_id").alias("doc_id"), F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"), F.col("mix_copies").alias("copies"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
@@ -99,6 +100,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...], budget_share: float, max_epoc
 
 def mixed(docs: DataFrame, weights: tuple[int, ...], budget_share: float, max_epochs: float, seed: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
-    keyed = _keyed(docs, seed, id_col, text_col, source_col)
-    out = _copies(keyed, _plan(keyed, weights, budget_share, max_epochs))
-    return out.where("mix_copies > 0").withColumn("mix_again", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # out of the way of the operator's own columns
+    keyed = _keyed(docs.select(id_col, text_col, source_col, row.alias("mix_row")), seed, id_col, text_col, source_col)
+    keyed = keyed.select("mix_id", "mix_source", "mix_size", "mix_key", "mix_slice", "mix_row")
+    out = _copies(keyed, _plan(keyed, docs.count(), weights, budget_share, max_epochs))
+    return out.where("mix_copies > 0").select(F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))), "mix_row").select("mix_row.*")

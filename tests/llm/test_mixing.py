@@ -55,3 +55,16 @@ def test_edge_tables(spark):
     assert {(r["doc_id"], r["taken"], r["target"]) for r in mix(nothing, (5, 2, 1), 1.5, 2.0, 7).collect()} == {(1, 0, 0.0), (2, 0, 0.0)}
     same = spark.createDataFrame([(1, "a b c", "s")] * 3, "doc_id long, text string, source string")
     assert sorted(r["taken"] for r in mix(same, (5, 2, 1), 1.5, 2.0, 7).collect()) in ([3, 3, 6], [3, 6, 6])
+
+
+def test_columns_with_the_operators_own_names(spark):
+    df = spark.createDataFrame([(i, "a b c " * (i + 1), "s", 7, "k", i) for i in range(20)], "doc_id long, text string, source string, mix_id int, mix_key string, `mix_row` int")
+    got = mixed(df, (5, 2, 1), 1.5, 2.0, 7)
+    assert got.columns == df.columns
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows and all(r["mix_id"] == 7 and r["mix_key"] == "k" and r["mix_row"] == i for i, r in rows.items())
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "x y", "a"), (3, None, "b")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["size"] for r in mix(df, (5, 2, 1), 1.5, 2.0, 7).collect()} == {1: 300_000, 2: 2, 3: 0}
