@@ -1,16 +1,18 @@
 """One row of each group of near copies: five-word shingle similarity of 0.8 or more.
 
-Pairs of that similarity lie up to 12 bits apart in SimHash fingerprints, a distance
-that no selective key covers. Candidates are texts that share a band of minhashes
-instead: with 32 bands of 5 a pair of similarity 0.8 shares none with a probability
+The form of the SimHash operator for a similarity instead of a number of bits. Pairs of
+similarity 0.8 lie up to 12 bits apart in 64-bit fingerprints, a distance that no
+selective key covers, so fingerprints are longer, and candidates are texts that share
+a band of minhashes instead: with 32 bands of 5 a pair of similarity 0.8 shares none with a probability
 of 0.672 ** 32, or 3 in a million, and closer pairs with less. Every candidate is
 then checked on its whole shingle sets (as 64-bit hashes). Texts are known by a
 64-bit hash.
 
 Only components count, so a group of n copies need not be n * n comparisons: a
 band's texts are compared with two of their own first, and after that only those of
-a band that are still in different components with one another, where 512 bits of
-minhashes differ in at most 90 (at similarity 0.8: 51 expected, spread under 7).
+a band that are still in different components with one another, where the 512 bits of
+their fingerprints differ in at most 90 (at similarity 0.8: 51 expected, spread under 7).
+Pigeonring chains of their segments prune candidates before all bits are counted.
 
 Defined results: a text shorter than a shingle is one shingle, and texts without a
 word are copies of each other; null is the empty text. Of a component the row with
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.simhash import LOWER
+from strandspark.llm.simhash import LOWER, chain_viable
 from strandspark.llm.texts import map_texts
 from strandspark.operators.graph import components
 from strandspark.runtime import fewer, written
@@ -36,6 +38,8 @@ BANDS, DEPTH = 32, 5
 #: Minhashes in all, the 64-bit words of their bits, and the most bits by which a candidate differs.
 HASHES = 512
 WORDS, APART = HASHES // 64, 90
+#: Segments of the chains that prune candidates before all bits are counted.
+CHAIN = 2
 SEED = 7
 #: Shingles sketched at once.
 BLOCK = 1 << 12
@@ -97,34 +101,35 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.when(close, 9 * F.size(F.array_intersect("a", "b")) >= 4 * n).otherwise(False)).select("u", "v")
 
 
-def _open(shared: DataFrame, edges: DataFrame) -> DataFrame:
+def _open(shared: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """(key, node, root) of the bands whose texts are in more than one component."""
     rooted = shared.join(components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted-bands")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return rooted.join(written(fewer(mixed), "open-bands"), "key")
+    return rooted.join(written(fewer(mixed, n), "open-bands"), "key")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
 
-def copy_links(texts: DataFrame) -> DataFrame:
-    """Links (u, v) whose components are those of all pairs of alike texts, from rows
+def copy_links(texts: DataFrame, n: int) -> DataFrame:
+    """Links (u, v) whose components are those of all pairs of alike texts, from ``n`` rows
     (node, text), of which a node may have several of the same text."""
     sketches = written(_sketches(texts), "sketches")
     keyed = sketches.select(F.explode("keys").alias("key"), "node")
     ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    shared = written(keyed.join(written(fewer(ends), "bands"), "key").distinct(), "shared-bands")
-    used = written(fewer(shared.select("node").distinct()), "shared-nodes")
-    bits = written(fewer(sketches.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", *[F.col("bits")[k].alias(f"b{k}") for k in range(WORDS)])), "shared-bits")
+    shared = written(keyed.join(written(fewer(ends, n), "bands"), "key").distinct(), "shared-bands")
+    used = written(fewer(shared.select("node").distinct(), n), "shared-nodes")
+    bits = written(fewer(sketches.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", *[F.col("bits")[k].alias(f"b{k}") for k in range(WORDS)]), n), "shared-bits")
     sets = written(_sets(texts.join(used, "node", "left_semi").dropDuplicates(["node"])), "shared-sets")
-    tried = written(fewer(_ordered(shared.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")))), "first-pairs")
+    tried = written(fewer(_ordered(shared.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v"))), n), "first-pairs")
     edges = written(_verified(tried, sets), "first-links")
-    left = written(_open(shared.select("key", "node"), edges).join(bits, "node"), "open-texts")
+    left = written(_open(shared.select("key", "node"), edges, n).join(bits, "node"), "open-texts")
     a, b = (left.select("key", F.struct("node", "root", *bits.columns[1:]).alias(x)) for x in "ab")
-    apart = sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(WORDS)), F.lit(0))
-    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (apart <= APART))
+    parts = [F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(WORDS)]
+    close = chain_viable(parts, APART, CHAIN) & (sum(parts, F.lit(0)) <= APART)
+    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & close)
     pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
     more = written(_verified(written(pairs, "further-pairs"), sets), "further-links")
     return edges.unionByName(more)
@@ -133,15 +138,16 @@ def copy_links(texts: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of alike texts, with all its columns."""
     key = text_key(F.col(text_col))
-    root = components(copy_links(docs.select(key.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))))
-    rows = written(fewer(docs.groupBy(F.col(id_col).alias("id"), key.alias("node")).agg(F.count(F.lit(1)).alias("n"))), "row-keys")
+    n = docs.count()
+    root = components(copy_links(docs.select(key.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), n))
+    rows = written(fewer(docs.groupBy(F.col(id_col).alias("id"), key.alias("node")).agg(F.count(F.lit(1)).alias("n")), n), "row-keys")
     rows = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = written(fewer(rows), "rooted-rows")
+    rows = written(fewer(rows, n), "rooted-rows")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "node")).alias("best"))
-    judged = rows.join(written(fewer(best), "kept-rows"), "root")
+    judged = rows.join(written(fewer(best, n), "kept-rows"), "root")
     stays = (F.col("best.node") == F.col("node")) & F.col("best.id").eqNullSafe(F.col("id"))
     # rows that go, and rows that stay once of several
-    named = written(fewer(judged.where(~stays | (F.col("n") > 1)).select("id", F.col("node").alias("key"), stays.alias("once"))), "judged-rows")
+    named = written(fewer(judged.where(~stays | (F.col("n") > 1)).select("id", F.col("node").alias("key"), stays.alias("once")), n), "judged-rows")
     own = docs.withColumn("__key", key)
     at = F.col(id_col).eqNullSafe(named["id"]) & (F.col("__key") == named["key"])
     once = own.join(named.where("once"), at, "left_semi").groupBy(id_col, "__key").agg(F.first(F.struct(*docs.columns)).alias("row"))

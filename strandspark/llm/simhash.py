@@ -83,15 +83,16 @@ def chain_keys(fp: Column) -> Column:
     return F.array(*[k.cast("long") for k in keys])
 
 
-def chain_viable(x: Column, distance: int) -> Column:
-    """Some chain of segments of the difference ``x`` keeps every budget."""
-    bits = [F.bit_count(_segment(x, i)) for i in range(SEGMENTS)]
+def chain_viable(bits: list[Column], distance: int, longest: int | None = None) -> Column:
+    """Some chain of segments on the ring keeps every budget: ``bits`` are the segments'
+    differences, ``longest`` the segments of a chain (default: all)."""
+    n = len(bits)
     out = F.lit(False)
-    for i in range(SEGMENTS):
+    for i in range(n):
         total, ok = F.lit(0), F.lit(True)
-        for k in range(SEGMENTS):
-            total = total + bits[(i + k) % SEGMENTS]
-            ok = ok & (total <= (k + 1) * distance // SEGMENTS)
+        for k in range(longest or n):
+            total = total + bits[(i + k) % n]
+            ok = ok & (total <= (k + 1) * distance // n)
         out = out | ok
     return out
 
@@ -104,7 +105,7 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     keyed = distinct.select("node", "fp", F.explode(chain_keys(F.col("fp"))).alias("key"))
     a, b = keyed.select("key", F.col("node").alias("u"), F.col("fp").alias("a")), keyed.select("key", F.col("node").alias("v"), F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = a.join(b, "key").where((F.col("u") > F.col("v")) & chain_viable(x, distance))
+    pairs = a.join(b, "key").where((F.col("u") > F.col("v")) & chain_viable([F.bit_count(_segment(x, i)) for i in range(SEGMENTS)], distance))
     return pairs.where(F.bit_count(x) <= distance).select("u", "v")
 
 

@@ -61,7 +61,7 @@ def test_filter_loses_no_pair(spark):
     """Every difference of up to three bits has a viable chain and an equal key."""
     from pyspark.sql import functions as F
 
-    from strandspark.llm.simhash import chain_keys
+    from strandspark.llm.simhash import _segment, chain_keys
 
     rng = np.random.default_rng(3)
     rows = []
@@ -73,7 +73,7 @@ def test_filter_loses_no_pair(spark):
         rows.append(tuple(x - (1 << 64) if x >= 1 << 63 else x for x in (a, b)))
     df = spark.createDataFrame(rows, "a long, b long")
     x = F.col("a").bitwiseXOR(F.col("b"))
-    ok = chain_viable(x, 3) & F.arrays_overlap(chain_keys(F.col("a")), chain_keys(F.col("b")))
+    ok = chain_viable([F.bit_count(_segment(x, i)) for i in range(SEGMENTS)], 3) & F.arrays_overlap(chain_keys(F.col("a")), chain_keys(F.col("b")))
     assert df.where(~ok).count() == 0
     assert SEGMENTS * WIDTH == 64
 
@@ -95,3 +95,12 @@ def test_empty_and_limits(no_docs, spark):
     assert near_duplicates(no_docs).collect() == []
     with pytest.raises(ValueError):
         near_duplicates(no_docs, distance=4)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 64), min_size=8, max_size=8), st.integers(1, 8))
+def test_ring_has_a_chain_within_budgets(parts, longest):
+    """Whatever the segments' differences, their sum leaves some chain of any length viable."""
+    total = sum(parts)
+    n = len(parts)
+    assert any(all(sum(parts[(i + j) % n] for j in range(k + 1)) <= (k + 1) * total // n for k in range(longest)) for i in range(n))
