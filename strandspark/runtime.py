@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -41,10 +42,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests, local runs) one is made.
+    Where a session on one machine names none (tests, local runs) one is made; on a
+    cluster that is an error, as executors don't share the driver's disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -62,12 +66,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fewer(df: DataFrame, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
-    """``df`` in as many partitions as its rows call for (an eighth of the shuffle
-    partitions where their number is not known), so that small tables are few files.
-    Partitions are read one after the other; no row moves, memory stays as it was."""
-    n = -(-rows // per_file) if rows is not None else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8
-    return df.coalesce(max(1, n))
+def fewer(df: DataFrame, rows: int, per_file: int = 100_000) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in as many partitions as these call for, so that
+    small tables are few files and large ones keep theirs. Partitions are read one after
+    the other; no row moves, memory stays as it was."""
+    return df.coalesce(max(1, -(-rows // per_file)))
 
 
 def forget(df: DataFrame) -> None:
