@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from strandspark.llm.near_copies import sketch, without_near_copies
 
@@ -63,6 +65,26 @@ def test_whole_table(spark):
     assert sorted(got) == brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()])[0]
 
 
+def apart(a, b):
+    """Minhashes whose four bits differ, one by one."""
+    x, y = (np.stack([np.unpackbits(np.ascontiguousarray(v[k::4]).view(np.uint8)) for k in range(4)]) for v in (a, b))
+    return sum(bool((x[:, i] != y[:, i]).any()) for i in range(x.shape[1]))
+
+
+def test_places_are_counted_the_same_in_columns(spark):
+    from pyspark.sql import functions as F
+
+    from strandspark.llm.near_copies import differing
+
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(-(1 << 63), 1 << 63, (300, 4), np.int64) for _ in range(2))
+    b[::2] = a[::2]
+    b[::2, rng.integers(0, 4)] ^= np.int64(1) << rng.integers(0, 63, 150)
+    df = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in zip(a, b)], "a array<long>, b array<long>")
+    got = df.select("a", "b", differing([F.col("a")[k] for k in range(4)], [F.col("b")[k] for k in range(4)]).alias("n")).collect()
+    assert all(r["n"] == apart(np.array(r["a"]), np.array(r["b"])) for r in got) and {r["n"] for r in got} > {1}
+
+
 def test_filters_keep_close_pairs():
     """Pairs of similarity 0.8 share a band and stay within the bits that may differ."""
     from strandspark.llm.near_copies import APART, shingles
@@ -76,7 +98,7 @@ def test_filters_keep_close_pairs():
             near += 1
             (ka, ba), (kb, bb) = sketch(a), sketch(b)
             assert (ka == kb).any()
-            assert sum((int(p) ^ int(q)).bit_count() if (int(p) ^ int(q)) >= 0 else ((int(p) ^ int(q)) + (1 << 64)).bit_count() for p, q in zip(ba, bb)) <= APART
+            assert apart(ba, bb) <= APART
     assert near > 100
 
 
@@ -93,3 +115,17 @@ def test_one_row_of_repeated_and_missing_ids(spark):
         got = without_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
         assert sorted((x["doc_id"] for x in got), key=str) == sorted([1, 3, None, 4, 5, 7, 8], key=str)
         assert {x["text"] for x in got if x["doc_id"] == 5} == {rows[8][1]}
+
+
+def test_group_of_near_copies_of_one_text(spark):
+    """Most link through the central text; those that don't are still compared with all others."""
+    r = random.Random(6)
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    texts = [edited(r, base, r.choice([1, 1, 2, 2, 3, 4, 5, 9])) for _ in range(150)]
+    far = [edited(r, base, 5).split() for _ in range(6)]  # groups of their own, away from the centre
+    texts += [edited(r, f, 1) for f in far for _ in range(4)]
+    pairs = list(enumerate(texts))
+    r.shuffle(pairs)
+    got = [x["doc_id"] for x in without_near_copies(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)).collect()]
+    want, n = brute_kept(pairs)
+    assert sorted(got) == want and 5 < n < 150
