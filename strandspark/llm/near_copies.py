@@ -12,8 +12,10 @@ Only components count, so a group of n copies need not be n * n comparisons: the
 of a band are first compared with its central text only, the one whose bands hold most
 texts -- in a group of near copies that is the least edited one. After that only those of a
 band that are still in different components are compared with one another, and of these
-those whose fingerprints, four bits of each of 512 minhashes, differ in at most 136 places
-(at similarity 0.8: 96 expected, spread 8.8; at 0.65 they differ in 168).
+those whose fingerprints, two bits of each of 512 minhashes, differ in at most 113 places
+(at similarity 0.8: 77 expected, spread 8.1; at 0.65 they differ in 134), and whose sets can
+be alike at all: a shingle that no other of the texts left has is in no intersection.
+Texts are never shuffled: a bitmap of bounded size picks those whose sets are needed.
 
 Defined results: a text shorter than a shingle is one shingle, and texts without a
 word are copies of each other; null is the empty text. Of a component the row with
@@ -30,15 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.llm.simhash import LOWER
+from strandspark.llm.substrings import keep_held, bitmap_of, holds
 from strandspark.llm.texts import map_texts
 from strandspark.operators.graph import components
 from strandspark.runtime import fewer, written
 
 SHINGLE = 5
 BANDS, DEPTH = 32, 5
-#: Minhashes in all, the 64-bit words of four bits of each, and the most of them in which a candidate differs.
+#: Minhashes in all, the 64-bit words of two bits of each, and the most of them in which a candidate differs.
 HASHES = 512
-WORDS, APART = HASHES // 16, 136
+WORDS, APART = HASHES // 32, 113
 SEED = 7
 #: Shingles sketched at once.
 BLOCK = 1 << 12
@@ -55,8 +58,8 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def sketch(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """A key of each band of minhashes, and four bits of each of all minhashes: for 64 of
-    them the words of their first, second, third and fourth bits, and so on."""
+    """A key of each band of minhashes, and two bits of each of all minhashes: for 64 of
+    them the words of their first and of their second bits, and so on."""
     x = shingles(text).astype(np.uint32)
     least = np.full(HASHES, (1 << 32) - 1, np.uint32)
     for k in range(0, len(x), BLOCK):
@@ -65,17 +68,14 @@ def sketch(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for part in least[: BANDS * DEPTH].reshape(BANDS, DEPTH).T:
         key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    four = (least * np.uint32(0x9E3779B1)) >> np.uint32(28)
-    planes = [np.packbits((four >> np.uint32(k) & np.uint32(1)).astype(np.uint8)).view(np.int64) for k in range(4)]
+    two = (least * np.uint32(0x9E3779B1)) >> np.uint32(30)
+    planes = [np.packbits((two >> np.uint32(k) & np.uint32(1)).astype(np.uint8)).view(np.int64) for k in range(2)]
     return key.view(np.int64), np.stack(planes, 1).ravel()
 
 
 def differing(a: list[Column], b: list[Column]) -> Column:
-    """In how many of 64 minhashes two texts differ: words of the first, second, third and fourth bits."""
-    out = None
-    for x, y in zip(a, b):
-        out = x.bitwiseXOR(y) if out is None else out.bitwiseOR(x.bitwiseXOR(y))
-    return F.bit_count(out)
+    """In how many of 64 minhashes two texts differ: words of the first and the second bits."""
+    return F.bit_count(a[0].bitwiseXOR(b[0]).bitwiseOR(a[1].bitwiseXOR(b[1])))
 
 
 def text_key(text: Column) -> Column:
@@ -95,11 +95,35 @@ def _sketches(texts: DataFrame) -> DataFrame:
     return map_texts(texts, run, "node long, keys array<long>, bits array<long>")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, grams) of the texts of ``nodes``, each once."""
+    nodes = written(fewer(nodes.select(F.col("node").alias("key")).distinct(), n), "set-nodes")
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap_of(nodes, nodes.count()))
+
     def run(c: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c["node"], pa.int64()), _lists([shingles(t).view(np.int64) for t in c["text"]])], names=["node", "grams"])
+        ok = holds(wanted.value, np.array(c["node"], np.int64).view(np.uint64))
+        own = {}
+        for node, text, k in zip(c["node"], c["text"], ok):
+            if k and node not in own:
+                own[node] = shingles(text).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), _lists(list(own.values()))], names=["node", "grams"])
+
+    return written(map_texts(texts, run, "node long, grams array<long>").dropDuplicates(["node"]), "sets")
+
+
+def _close(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Those of rows (u, v) whose fingerprints differ in few enough places."""
+    both = pairs.join(_named(bits, "a"), F.col("u") == F.col("a_node")).join(_named(bits, "b"), F.col("v") == F.col("b_node"))
+    return both.where(_near()).select("u", "v")
+
+
+def _named(df: DataFrame, side: str) -> DataFrame:
+    return df.toDF(*[f"{side}_{c}" for c in df.columns])
+
 
-    return map_texts(texts, run, "node long, grams array<long>")
+def _near() -> Column:
+    words = lambda side, k: [F.col(f"{side}_b{k + j}") for j in range(2)]
+    return sum((differing(words("a", k), words("b", k)) for k in range(0, WORDS, 2)), F.lit(0)) <= APART
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -134,17 +158,24 @@ def copy_links(texts: DataFrame, n: int) -> DataFrame:
     sizes = written(fewer(shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")), n), "band-sizes")
     used = written(fewer(shared.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight")), n), "shared-nodes")
     centre = written(fewer(shared.join(used, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre")), n), "central-nodes")
-    bits = written(fewer(sketches.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", *[F.col("bits")[k].alias(f"b{k}") for k in range(WORDS)]), n, 20_000), "shared-bits")
-    sets = written(_sets(texts.join(used, "node", "left_semi").dropDuplicates(["node"])), "shared-sets")
+    words = [F.col("bits")[k].alias(f"b{k}") for k in range(WORDS)]
+    bits = keep_held(sketches.select("node", *words, "keys"), "node", bitmap_of(used.select(F.col("node").alias("key")), used.count()))
+    bits = written(fewer(bits.join(used, "node", "left_semi").dropDuplicates(["node"]), n, 20_000), "shared-bits")
     tried = written(fewer(_ordered(shared.join(centre, "key").select(F.col("node").alias("u"), F.col("centre").alias("v"))), n), "first-pairs")
-    edges = written(_verified(tried, sets), "first-links")
-    left = written(_open(shared, edges, n).join(bits, "node"), "open-texts")
+    first = written(fewer(_close(tried, bits), n), "first-close-pairs")
+    edges = written(_verified(first, _sets(texts, first.select(F.explode(F.array("u", "v")).alias("node")), n)), "first-links")
+
+    left = written(_open(shared, edges, n), "open-texts")
+    sets = _sets(texts, left, n)
+    alone = sets.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    sizes = sets.select("node", F.size("grams").alias("size")).join(alone, "node", "left").select("node", "size", F.expr("size - coalesce(own, 0)").alias("common")).where("5 * common >= 4 * size")
+    left = written(left.join(sizes, "node").join(bits, "node"), "open-texts")
     # texts out of their band's main component meet all of the band; any two others are in one component
-    a = left.where("root <> main").select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", *bits.columns[1:])])
-    b = left.select(F.col("key").alias("b_key"), (F.col("root") == F.col("main")).alias("b_main"), *[F.col(c).alias(f"b_{c}") for c in ("node", "root", *bits.columns[1:])])
-    words = lambda side, k: [F.col(f"{side}_b{k + j}") for j in range(4)]
-    close = sum((differing(words("a", k), words("b", k)) for k in range(0, WORDS, 4)), F.lit(0)) <= APART
-    pairs = a.join(b, (a["key"] == b["b_key"]) & (F.col("a_root") != F.col("b_root")) & (F.col("b_main") | (F.col("a_node") > F.col("b_node"))) & close)
+    a, b = _named(left.where("root <> main"), "a"), _named(left, "b")
+    can = 9 * F.least("a_common", "b_common") >= 4 * (F.col("a_size") + F.col("b_size"))
+    once = ~F.arrays_overlap(F.slice("a_keys", F.lit(1), F.array_position("a_keys", F.col("a_key")).cast("int") - 1), F.col("b_keys"))  # in the first band that both are in
+    other = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("b_main")) | (F.col("a_node") > F.col("b_node")))
+    pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & other & can & _near() & once)
     pairs = _ordered(pairs.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))).join(tried, ["u", "v"], "left_anti")
     more = written(_verified(written(pairs, "further-pairs"), sets), "further-links")
     return edges.unionByName(more)

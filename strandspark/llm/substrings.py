@@ -168,7 +168,7 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
 
 
-def _filter(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
+def keep_held(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
     """Rows whose ``column`` the bitmap may hold."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     masks = counted.where("c > 1").select(*run, F.expr("shiftleft(1L, n) - 1").alias("mask"))
     if n_open := opened.count():
         # equal windows have equal anchors, so all places of a window are among an open anchor's runs
-        each = _filter(found.select(*run, "each"), "anchor", bitmap_of(opened, n_open))
+        each = keep_held(found.select(*run, "each"), "anchor", bitmap_of(opened, n_open))
         each = written(few(each.join(opened, each["anchor"] == opened["key"], "left_semi").groupBy(run).agg(F.count(F.lit(1)).alias("c"), F.first("each").alias("each"))), "open-runs")
         windows = each.select("anchor", "c", F.explode("each").alias("h")).groupBy("anchor", "h").agg(F.sum("c").alias("c")).where("c > 1").select("anchor", "h")
         single = each.where("c = 1").select(*run, F.posexplode("each").alias("pos", "h")).join(windows, ["anchor", "h"], "left_semi")

@@ -66,8 +66,8 @@ def test_whole_table(spark):
 
 
 def apart(a, b):
-    """Minhashes whose four bits differ, one by one."""
-    x, y = (np.stack([np.unpackbits(np.ascontiguousarray(v[k::4]).view(np.uint8)) for k in range(4)]) for v in (a, b))
+    """Minhashes whose two bits differ, one by one."""
+    x, y = (np.stack([np.unpackbits(np.ascontiguousarray(v[k::2]).view(np.uint8)) for k in range(2)]) for v in (a, b))
     return sum(bool((x[:, i] != y[:, i]).any()) for i in range(x.shape[1]))
 
 
@@ -77,11 +77,11 @@ def test_places_are_counted_the_same_in_columns(spark):
     from strandspark.llm.near_copies import differing
 
     rng = np.random.default_rng(1)
-    a, b = (rng.integers(-(1 << 63), 1 << 63, (300, 4), np.int64) for _ in range(2))
+    a, b = (rng.integers(-(1 << 63), 1 << 63, (300, 2), np.int64) for _ in range(2))
     b[::2] = a[::2]
-    b[::2, rng.integers(0, 4)] ^= np.int64(1) << rng.integers(0, 63, 150)
+    b[::2, rng.integers(0, 2)] ^= np.int64(1) << rng.integers(0, 63, 150)
     df = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in zip(a, b)], "a array<long>, b array<long>")
-    got = df.select("a", "b", differing([F.col("a")[k] for k in range(4)], [F.col("b")[k] for k in range(4)]).alias("n")).collect()
+    got = df.select("a", "b", differing([F.col("a")[k] for k in range(2)], [F.col("b")[k] for k in range(2)]).alias("n")).collect()
     assert all(r["n"] == apart(np.array(r["a"]), np.array(r["b"])) for r in got) and {r["n"] for r in got} > {1}
 
 
