@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strandspark.llm.simhash import LOWER
 from strandspark.llm.substrings import keep_held, bitmap_of, holds
-from strandspark.llm.texts import map_texts
+from strandspark.llm.texts import free_name, map_texts
 from strandspark.operators.graph import components
 from strandspark.runtime import fewer, written
 
@@ -194,7 +194,11 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stays = (F.col("best.node") == F.col("node")) & F.col("best.id").eqNullSafe(F.col("id"))
     # rows that go, and rows that stay once of several
     named = written(fewer(judged.where(~stays | (F.col("n") > 1)).select("id", F.col("node").alias("key"), stays.alias("once")), n), "judged-rows")
-    own = docs.withColumn("__key", key)
-    at = F.col(id_col).eqNullSafe(named["id"]) & (F.col("__key") == named["key"])
-    once = own.join(named.where("once"), at, "left_semi").groupBy(id_col, "__key").agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return own.join(named, at, "left_anti").select(*docs.columns).unionByName(once.select("row.*"))
+    # texts that no such row has stay where they are; the bitmap may let a few more join
+    name = free_name(docs.columns, "key")
+    held = bitmap_of(named.select("key"), named.count())
+    own = docs.withColumn(name, key)
+    rest, own = keep_held(own, name, held, False), keep_held(own, name, held)
+    at = F.col(id_col).eqNullSafe(named["id"]) & (F.col(name) == named["key"])
+    once = own.join(named.where("once"), at, "left_semi").groupBy(id_col, name).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return rest.select(*docs.columns).unionByName(own.join(named, at, "left_anti").select(*docs.columns)).unionByName(once.select("row.*"))

@@ -168,13 +168,13 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
 
 
-def keep_held(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
-    """Rows whose ``column`` the bitmap may hold."""
+def keep_held(df: DataFrame, column: str, bitmap: np.ndarray, held: bool = True) -> DataFrame:
+    """Rows whose ``column`` the bitmap may hold, or those whose it does not."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(it):
         for b in it:
-            yield b.filter(pa.array(holds(shared.value, b.column(b.schema.get_field_index(column)).to_numpy(zero_copy_only=False).view(np.uint64))))
+            yield b.filter(pa.array(holds(shared.value, b.column(b.schema.get_field_index(column)).to_numpy(zero_copy_only=False).view(np.uint64)) == held))
 
     return df.mapInArrow(run, df.schema)
 
