@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_urls", "q_quality", "q_simhash", "q_mixing", "q_pieces", "q_warc", "q_substrings", "q_neighbours", "q_language", "q_html", "q_positions")
+MODULES = ("q_urls", "q_quality", "q_simhash", "q_mixing", "q_pieces", "q_warc", "q_substrings", "q_neighbours", "q_language", "q_html", "q_positions", "q_codes", "q_whitening")
 
 
 def _modules():
