@@ -47,7 +47,7 @@ def effects(rows: DataFrame, pairs: DataFrame, config: CisConfig = CisConfig())
     The statistics of one pair need its individuals together -- one per sample of the
     cohort, so groups are small. Seeds come from the pair: reruns agree.
     """
-    schema = "xindex int, gene string, var_id string, var_chr string, var_pos long, var_het_n long, var_hom_n long, het_hom_pvalue double, "
+    schema = "xindex long, gene string, var_id string, var_chr string, var_pos long, var_het_n long, var_hom_n long, het_hom_pvalue double, "
     schema += ", ".join(f"{e}_low double, {e}_median double, {e}_high double" + (", het_p double" if e == "het" else "") for e in EFFECTS)
     schema += ", " + ", ".join(f"{k} string" for k in ("het_afcs", "hom_afcs", "het_ref_counts", "het_alt_counts", "hom_0_counts", "hom_1_counts", "het_samples", "hom_samples"))
     times, seed = config.bs, config.seed

@@ -64,7 +64,7 @@ VIEWS["cohort_gt"] = """SELECT CAST(n_nationkey AS STRING) AS contig, n_nationke
   CASE (i * 7 + n_nationkey) % 6 WHEN 0 THEN '0|1' WHEN 1 THEN '1|0' WHEN 2 THEN '0|0' WHEN 3 THEN '1|1' WHEN 4 THEN '0/1' ELSE '0|1' END AS gt
 FROM {nation} CROSS JOIN (SELECT DISTINCT c_custkey % 40 AS i FROM {customer}) x"""
 VIEWS["cohort_map"] = "SELECT DISTINCT concat('I', CAST(c_custkey % 40 AS STRING)) AS vcf_sample, concat('S', CAST(c_custkey % 40 AS STRING)) AS bed_sample FROM {customer}"
-VIEWS["cohort_pairs"] = "SELECT CAST(n_nationkey AS INT) AS xindex, concat('g', CAST(n_nationkey AS STRING), '.1') AS gene_id, concat('v', CAST(n_nationkey AS STRING)) AS var_id, CAST(n_nationkey AS STRING) AS var_contig, n_nationkey * 100 AS var_pos, 'A' AS var_ref, 'C' AS var_alt FROM {nation}"
+VIEWS["cohort_pairs"] = "SELECT CAST(n_nationkey AS BIGINT) AS xindex, concat('g', CAST(n_nationkey AS STRING), '.1') AS gene_id, concat('v', CAST(n_nationkey AS STRING)) AS var_id, CAST(n_nationkey AS STRING) AS var_contig, n_nationkey * 100 AS var_pos, 'A' AS var_ref, 'C' AS var_alt FROM {nation}"
 #: Genotyped coding variants of one sample, with genes and effects.
 VIEWS["coding"] = """SELECT p_brand AS gene, concat('n', p_brand) AS name, CAST(p_partkey AS STRING) AS variant_id, concat('rs', CAST(p_partkey AS STRING)) AS rsid, p_type AS effect, CAST(p_size AS DOUBLE) AS phred,
   CAST(p_partkey % 2 AS INT) AS a0, CAST(floor(p_partkey / 2) % 2 AS INT) AS a1, CASE WHEN p_partkey % 3 = 0 THEN CAST(floor(p_partkey / 40) AS INT) END AS block, CAST(p_partkey % 100 AS DOUBLE) / 100 AS af

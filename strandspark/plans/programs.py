@@ -10,28 +10,34 @@ from strandspark.functions import fields
 from strandspark.operators import cis_effect, compound, edges, gene_expression, haplotypes, observe, phasing, variants, vcf_annotate
 from strandspark.runtime import ship, written
 from strandspark.sources import readers, writers
-from strandspark.sources.bam import read_bam
+from strandspark.sources.bam import index_of, read_bam
+from strandspark.sources.bgzf import windows_of
 
 
-def read_alignments(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Reads of SAM text or BAM files, numbered by their place in ``paths``."""
-    out = None
-    for i, path in enumerate(paths):
-        one = read_bam(spark, [path]) if path.endswith(".bam") else readers.read_sam(spark, [path])
-        one = one.withColumn("bam", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out
+def read_alignments(spark: SparkSession, paths: list[str], sites: DataFrame | None = None) -> DataFrame:
+    """Reads of SAM text and BAM files, numbered by their place in ``paths``: one scan of each
+    kind. ``sites``: reads that reach none of them need not be read."""
+    binary = [i for i, p in enumerate(paths) if p.endswith(".bam")]
+    out = []
+    for kind in (binary, [i for i in range(len(paths)) if i not in set(binary)]):
+        if kind:
+            own = [paths[i] for i in kind]
+            regions = windows_of(sites) if kind is binary and sites is not None and any(index_of(p) for p in own) else None
+            one = read_bam(spark, own, regions=regions) if kind is binary else readers.read_sam(spark, own)
+            out.append(one.withColumn("bam", F.element_at(F.array(*[F.lit(i) for i in kind]), F.col("bam") + 1)) if kind != list(range(len(kind))) else one)
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def observations(spark: SparkSession, sams: list[str], sites: DataFrame, config: PhaseConfig) -> DataFrame:
     """Allele observations of all files, after the read filters and score cutoffs."""
-    reads = read_alignments(spark, sams)
+    reads = read_alignments(spark, sams, sites)
     n = len(sams)
-    ok = F.lit(False)
-    for i, (mapq, paired, isize) in enumerate(zip(per_bam(config.mapq, n, "mapq"), per_bam(config.paired_end, n, "paired_end"), per_bam(config.isize, n, "isize"))):
-        here = observe.read_filter(F.col("flag"), F.col("mapq"), mapq, bool(paired), config.remove_dups) & observe.insert_filter(F.col("tlen"), isize)
-        ok = ok | ((F.col("bam") == i) & here)
-    obs = observe.observe(reads.where(ok), sites, config.baseq, rebase=not config.compat)
+    limits = list(zip(range(n), per_bam(config.mapq, n, "mapq"), [bool(x) for x in per_bam(config.paired_end, n, "paired_end")], per_bam(config.isize, n, "isize")))
+    reads = reads.join(F.broadcast(spark.createDataFrame(limits, "bam int, least_mapq int, paired boolean, most_isize int")), "bam")  # one row a file
+    flag, mapq = F.col("flag"), F.col("mapq")
+    ok = F.when(F.col("paired"), observe.read_filter(flag, mapq, F.col("least_mapq"), True, config.remove_dups)).otherwise(observe.read_filter(flag, mapq, F.col("least_mapq"), False, config.remove_dups))
+    ok = ok & ((F.col("most_isize") == 0) | (F.abs("tlen") <= F.col("most_isize")))
+    obs = observe.observe(reads.where(ok).drop("least_mapq", "paired", "most_isize"), sites, config.baseq, rebase=not config.compat)
     by = ["bam", "contig"] if config.noise_scope == "contig" else ["bam"]
     return written(edges.keep_scores(obs, config.as_q_cutoff, by), "observations")
 
@@ -110,7 +116,7 @@ def cis_program(spark: SparkSession, matrix_path: str, vcf_path: str, pairs_path
     pairs = readers.read_pairs(spark, pairs_path)
     wide = readers.read_matrix(spark, matrix_path, None if config.ignore_v else pairs, config.chrom)
     counts = gene_expression.matrix_long(wide).select(F.col("name").alias("gene"), "sample", "a", "b")
-    rows = cis_effect.individuals(pairs, counts, readers.read_genotypes(spark, vcf_path), readers.read_samples(spark, map_path), config)
+    rows = cis_effect.individuals(pairs, counts, readers.read_genotypes(spark, vcf_path, readers.regions_for(vcf_path, pairs, "var_contig", "var_pos")), readers.read_samples(spark, map_path), config)
     return cis_effect.effects(rows, pairs, config)
 
 
@@ -122,9 +128,9 @@ def compound_program(spark: SparkSession, vcf_path: str, cadd_path: str, config:
     whole = F.size(F.split("format", ":")) == F.size(F.split("sample", ":"))
     v = vcf.where(whole).withColumns({"variant_id": uid, "g": compound.genotype_alleles(field("GT")), "p": compound.phased_alleles(field("PG")), "block": field("PI").try_cast("double")})
     v = v.where("g is not null or p is not null")
-    alleles = written(compound.with_cadd(v, readers.read_cadd(spark, cadd_path)), "annotations")
+    alleles = written(compound.with_cadd(v, readers.read_cadd(spark, cadd_path, readers.regions_for(cadd_path, v))), "annotations")
     if af_path:
-        alleles = compound.with_frequency(alleles, readers.read_frequencies(spark, af_path, config.af_field))
+        alleles = compound.with_frequency(alleles, readers.read_frequencies(spark, af_path, config.af_field, readers.regions_for(af_path, v)))
     else:
         info = fields.info_map(F.col("info"))[config.af_field]
         own = v.select("variant_id", F.posexplode(F.split(info, ",")).alias("i", "f")).select("variant_id", (F.col("i") + 1).alias("allele"), F.col("f").try_cast("double").alias("af"))

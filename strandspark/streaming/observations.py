@@ -14,16 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandspark.operators.observe import observe
+from strandspark.sources.readers import sam_columns
 
 
 def read_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
     """Reads of SAM files as they come into a folder."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    c = lines.where(~F.startswith("value", F.lit("@"))).select(F.split("value", "\t").alias("c")).where(F.size("c") >= 11)
-    tags = F.filter(F.slice("c", 12, F.greatest(F.size("c") - 11, F.lit(0))), lambda t: F.startswith(t, F.lit("AS:")))
-    col = lambda k: F.get("c", F.lit(k))
-    score = F.try_element_at(F.split(F.try_element_at(tags, F.lit(-1)), ":"), F.lit(3)).try_cast("int")
-    return c.select(col(0).alias("qname"), col(1).try_cast("int").alias("flag"), col(2).alias("rname"), col(3).try_cast("long").alias("pos"), col(4).try_cast("int").alias("mapq"), col(5).alias("cigar"), col(8).try_cast("int").alias("tlen"), col(9).alias("seq"), col(10).alias("qual"), score.alias("as_score"), F.lit(0).alias("bam"))
+    return sam_columns(lines.withColumn("bam", F.lit(0)), "bam")
 
 
 def allele_counts(reads: DataFrame, sites: DataFrame, baseq: int = 10) -> DataFrame:

@@ -1,17 +1,9 @@
 import random
 import struct
-import zlib
 
 from strandspark.__main__ import main, parser
 from strandspark.sources import bam, readers
-
-
-def block(data: bytes) -> bytes:
-    """One block of block gzip."""
-    c = zlib.compressobj(6, zlib.DEFLATED, -15)
-    body = c.compress(data) + c.flush()
-    extra = b"BC" + struct.pack("<HH", 2, len(body) + 25)
-    return b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 6) + extra + body + struct.pack("<II", zlib.crc32(data), len(data))
+from tests.indexes import block
 
 
 def encode(line: str, names: list[str]) -> bytes:
