@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.config import GeneConfig
 from strandspark.functions.stats import log2_afc
 from strandspark.operators.intervals import overlaps
+from strandspark.operators.scans import numbered
 
 
 def by_separator(separator: str) -> Callable[[Column], Column]:
@@ -93,4 +94,4 @@ def matrix_long(wide: DataFrame) -> DataFrame:
 
 def with_order(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Number the rows by these columns, from 0 (for tables without a file order)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*by)) - 1)
+    return numbered(df, name, *by)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandspark.operators.graph import components
+from strandspark.runtime import written
 
 UNKNOWN = "-"
 
@@ -55,12 +56,12 @@ def split_points(n: int, edges: list[tuple[int, int, int]], most: int) -> list[i
     """Where a block is cut: first at every point that one edge crosses, then at more and
     more crossed ones until no fragment is over ``most``; never beside another cut."""
     count = crossing(n, edges)
-    chosen: list[int] = []
+    chosen: set[int] = set()
     level, longest = 1, n
     while level == 1 or longest > most and level <= int(count.max(initial=0)):
-        for p in range(2, n - 1):
-            if count[p] == level and p - 1 not in chosen and p + 1 not in chosen:
-                chosen.append(p)
+        for p in (np.flatnonzero(count[2 : n - 1] == level) + 2).tolist():
+            if p - 1 not in chosen and p + 1 not in chosen:
+                chosen.add(p)
         cuts = [0, *sorted(chosen), n]
         longest = max(b - a for a, b in zip(cuts, cuts[1:]))
         level += 1
@@ -155,14 +156,45 @@ def blocks_of(edges: DataFrame) -> DataFrame:
     return own.select("contig", "block", "variant_id", "pos", "idx")
 
 
-def phase(edges: DataFrame, blocks: DataFrame, max_block_size: int = 15, compat: bool = False) -> DataFrame:
+#: Variants, and connections, over which a block is phased in pieces instead of as one row.
+LARGE, MANY = 2_000, 20_000
+
+
+def phase(edges: DataFrame, blocks: DataFrame, max_block_size: int = 15, compat: bool = False, large: int = LARGE, many: int = MANY) -> DataFrame:
     """(contig, block, part, variant_id, pos, idx, hap_a): phased variants; ``part`` is the
     first variant of the stretch, ``idx`` the place in it, ``hap_a`` the allele (0 or 1)
-    that haplotype A carries. Stretches whose phase stays open are left out."""
+    that haplotype A carries. Stretches whose phase stays open are left out.
+
+    Blocks of up to ``large`` variants and ``many`` connections are one row each; larger ones
+    are cut into fragments without ever being one (but for ``compat``, whose windows need the
+    whole block).
+    """
     v = blocks.select("contig", "variant_id", "block", "idx")
     e = edges.join(v.toDF("contig", "variant_a", "block", "ia"), ["contig", "variant_a"]).join(v.drop("block").toDF("contig", "variant_b", "ib"), ["contig", "variant_b"])
-    packed = e.groupBy("contig", "block").agg(F.collect_list(F.struct("ia", "ib", "config")).alias("edges"))
+    e = written(e.select("contig", "block", "ia", "ib", "config"), "block-edges")
     sizes = blocks.groupBy("contig", "block").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    sizes = written(sizes.join(e.groupBy("contig", "block").agg(F.count(F.lit(1)).alias("edges")), ["contig", "block"]), "block-sizes")
+    is_large = F.lit(False) if compat else (F.col("n") > large) | (F.col("edges") > many)
+    stretches = _whole_blocks(sizes.where(~is_large).drop("edges"), e, max_block_size, compat)
+    cells = stretches.select("contig", "block", "at", F.posexplode(F.split("config", "")).alias("i", "hap_a")).where("hap_a <> ''")
+    cells = cells.select("contig", "block", (F.col("at") + F.col("i")).alias("idx"), "at", F.col("hap_a").cast("int"))
+    giants = sizes.where(is_large)
+    if not compat and not giants.isEmpty():
+        from strandspark.operators.splitting import phase_large
+
+        own = giants.select("contig", "block")
+        nodes = written(blocks.select("contig", "block", "idx").join(own, ["contig", "block"], "left_semi"), "large-blocks")
+        found = phase_large(nodes, written(e.join(own, ["contig", "block"], "left_semi"), "large-edges"), max_block_size)
+        cells = cells.unionByName(found.select("contig", "block", "idx", "at", "hap_a"))
+    out = blocks.join(cells, ["contig", "block", "idx"])
+    first = out.where("idx = at").select("contig", "block", "at", F.col("variant_id").alias("part"))
+    out = out.join(first, ["contig", "block", "at"]).withColumn("idx", (F.col("idx") - F.col("at")).cast("int"))
+    return out.select("contig", "block", "part", "variant_id", "pos", "idx", "hap_a")
+
+
+def _whole_blocks(sizes: DataFrame, edges: DataFrame, max_block_size: int, compat: bool) -> DataFrame:
+    """(contig, block, at, config) of the stretches of blocks that are one row each."""
+    packed = edges.join(sizes.select("contig", "block"), ["contig", "block"], "left_semi").groupBy("contig", "block").agg(F.collect_list(F.struct("ia", "ib", "config")).alias("edges"))
 
     def run(it):
         for pdf in it:
@@ -172,11 +204,5 @@ def phase(edges: DataFrame, blocks: DataFrame, max_block_size: int = 15, compat:
                     rows.append((contig, block, at, config))
             yield pd.DataFrame(rows, columns=["contig", "block", "at", "config"])
 
-    schema = f"contig {dict(edges.dtypes)['contig']}, block {dict(blocks.dtypes)['block']}, at int, config string"
-    stretches = sizes.join(packed, ["contig", "block"]).mapInPandas(run, schema)
-    cells = stretches.select("contig", "block", "at", F.posexplode(F.split("config", "")).alias("i", "hap_a")).where("hap_a <> ''")
-    cells = cells.select("contig", "block", (F.col("at") + F.col("i")).alias("idx"), "at", F.col("hap_a").cast("int"))
-    out = blocks.join(cells, ["contig", "block", "idx"])
-    w = Window.partitionBy("contig", "block", "at").orderBy("idx")
-    out = out.withColumn("part", F.first("variant_id").over(w)).withColumn("idx", (F.col("idx") - F.col("at")).cast("int"))
-    return out.select("contig", "block", "part", "variant_id", "pos", "idx", "hap_a")
+    kinds = dict(sizes.dtypes)
+    return sizes.join(packed, ["contig", "block"]).mapInPandas(run, f"contig {kinds['contig']}, block {kinds['block']}, at int, config string")

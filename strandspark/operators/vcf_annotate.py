@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.config import PhaseConfig
 from strandspark.functions import fields
 from strandspark.operators.haplotypes import BLOCK, corrected, joined
+from strandspark.operators.scans import numbered
 
 TAGS = ("PG", "PB", "PI", "PW", "PC", "PM")
 #: Header lines of the tags.
@@ -32,7 +33,7 @@ def header_lines(comments: list[str], columns: list[str], sample: str, config: P
 def block_index(phased: DataFrame) -> DataFrame:
     """(contig, part, block_index): blocks numbered from 1 over all contigs."""
     first = phased.groupBy(*BLOCK).agg(F.min("pos").alias("pos"))
-    return first.select(*BLOCK, F.row_number().over(Window.orderBy("contig", "pos", "part")).alias("block_index"))
+    return numbered(first, "block_index", "contig", "pos", "part", start=1).select(*BLOCK, F.col("block_index").cast("int").alias("block_index"))
 
 
 def phase_fields(phased: DataFrame, variants: DataFrame, gw: DataFrame) -> DataFrame:
