@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandspark.runtime import written
+
 
 def genotype_alleles(gt: Column) -> Column:
     """[allele on haplotype 0, on haplotype 1] of a usable genotype: phased or homozygous,
@@ -19,47 +21,98 @@ def phased_alleles(pg: Column) -> Column:
     return F.when(~F.contains(pg, F.lit("/")), genotype_alleles(pg))
 
 
-def interactions(a: Column, b: Column, together: Column) -> Column:
-    """(allele, allele, cis or trans) of two genotypes in one phase set; none with a reference."""
-    rows = [F.struct(a[i].alias("allele_a"), b[j].alias("allele_b"), F.lit("cis" if i == j else "trans").alias("configuration")) for i in (0, 1) for j in (0, 1)]
-    found = F.filter(F.array(*rows), lambda s: (s["allele_a"] != 0) & (s["allele_b"] != 0))
-    return F.when(together, found).otherwise(F.filter(found, lambda s: F.lit(False)))
+#: Variants of a gene that one task pairs with as many others.
+PER_CELL = 1_000
+EFFECTS = (("name", "name"), ("rsid", "rsid"), ("af", "af"), ("phred", "cadd_phred"), ("effect", "cadd_effect"))
+
+
+def interactions(a: list[Column], b: list[Column]) -> Column:
+    """Text of the (allele, allele, cis or trans) of two genotypes, none with a reference."""
+    one = lambda i, j: F.when((a[i] != 0) & (b[j] != 0), F.concat(a[i].cast("string"), F.lit("+" if i == j else "-"), b[j].cast("string")))
+    return F.concat_ws(" ", *[one(i, j) for i in (0, 1) for j in (0, 1)])
+
+
+def _count(a: list[Column], b: list[Column]) -> Column:
+    """How many there are."""
+    return sum(((x != 0).cast("int") for x in a), F.lit(0)) * sum(((x != 0).cast("int") for x in b), F.lit(0))
+
+
+def _cells(v: DataFrame, per: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join of a gene's variants, dealt over a triangle of cells: a variant
+    goes into one of the gene's buckets, and a pair of variants into the cell of their two
+    buckets, the smaller first. Genes of up to ``per`` variants are one cell."""
+    sizes = v.select("gene", "variant").distinct().groupBy("gene").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("_k"))
+    own = v.join(sizes, "gene").withColumn("_b", F.pmod(F.xxhash64("variant"), F.col("_k")).cast("int"))
+    left = own.withColumns({"_row": F.col("_b"), "_column": F.explode(F.sequence(F.col("_b"), F.col("_k") - 1))})
+    right = own.withColumns({"_column": F.col("_b"), "_row": F.explode(F.sequence(F.lit(0), F.col("_b")))})
+    return left.drop("_b", "_k"), right.drop("_b", "_k")
 
 
-def gene_pairs(gw: DataFrame, pg: DataFrame) -> DataFrame:
-    """(gene, variant_a, variant_b, allele_a, allele_b, configuration, read_backed).
+def _side(df: DataFrame, s: str, *shared: str) -> DataFrame:
+    return df.select(*shared, *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in shared])
+
+
+def _pairs(v: DataFrame, on: list[str], per: int) -> DataFrame:
+    """Unordered pairs of different variants, a before b or in the smaller bucket."""
+    shared = [*on, "_row", "_column"]
+    left, right = _cells(v, per)
+    x = _side(left, "a", *shared).join(_side(right, "b", *shared), shared)
+    return x.where((F.col("_row") < F.col("_column")) & (F.col("variant_a") != F.col("variant_b")) | (F.col("_row") == F.col("_column")) & (F.col("variant_a") < F.col("variant_b"))).drop("_row", "_column")
+
+
+def _mirrored(x: DataFrame, columns: list[str]) -> DataFrame:
+    """Every pair once as it is and once with its sides changed."""
+    both = x.withColumn("_turn", F.explode(F.array(F.lit(False), F.lit(True))))
+    turned = lambda c, s, t: F.when(F.col("_turn"), F.col(f"{c}_{t}")).otherwise(F.col(f"{c}_{s}")).alias(f"{c}_{s}")
+    return both.select("gene", *[turned(c, s, t) for c in columns for s, t in (("a", "b"), ("b", "a"))], "configuration", "read_backed")
+
+
+def gene_pairs(gw: DataFrame, pg: DataFrame, effects: DataFrame | None = None, per_cell: int = PER_CELL) -> DataFrame:
+    """(gene, variant_a, variant_b, allele_a, allele_b, configuration, read_backed) and, with
+    ``effects``, those of both alleles, which must have them.
 
     ``gw``: gene, variant_id, alleles; ``pg``: gene, variant_id, alleles, block, both
     distinct by (gene, variant). Read-backed is 1 where blocks agree with the genome-wide
     phase, -1 where they show as many other pairs (which follow as rows of their own),
     else 0; pairs that only blocks have come as read-backed.
+
+    Each haplotype's alternative allele is a row before the pairing, and effects are joined to these
+    rows, not to pairs. Pairs are made once per two variants, in cells of bounded
+    size whatever a gene has, and mirrored as they are emitted.
     """
-    both = gw.select("gene", "variant_id", F.col("alleles").alias("g")).join(pg.select("gene", "variant_id", F.col("alleles").alias("p"), "block"), ["gene", "variant_id"], "full_outer")
-    a = both.toDF("gene", "variant_a", "ga", "pa", "ba")
-    b = both.toDF("gene", "variant_b", "gb", "pb", "bb")
-    x = a.join(b, "gene").where((F.col("variant_a") != F.col("variant_b")) & (F.col("gene") != "NA"))
-    in_gw = F.col("ga").isNotNull() & F.col("gb").isNotNull()
-    in_pg = F.col("pa").isNotNull() & F.col("pb").isNotNull()
-    none = interactions(F.col("pa"), F.col("pb"), F.lit(False))
-    x = x.where(in_gw | in_pg).withColumns({"gw": F.when(in_gw, interactions(F.col("ga"), F.col("gb"), F.lit(True))).otherwise(none), "rb": F.when(in_pg, interactions(F.col("pa"), F.col("pb"), F.col("ba") == F.col("bb"))).otherwise(none), "in_gw": in_gw})
-    same_size = F.size("gw") == F.size("rb")
-    backed = F.when(F.size("rb") == 0, "0").when(same_size & (F.col("gw") == F.col("rb")), "1").when(same_size, "-1").otherwise("0")
-    x = x.withColumn("backed", F.when(F.col("in_gw"), backed))
-    marked = lambda rows, mark: F.transform(rows, lambda s: F.struct(s["allele_a"].alias("allele_a"), s["allele_b"].alias("allele_b"), s["configuration"].alias("configuration"), mark.alias("read_backed")))
-    out = F.when(~F.col("in_gw"), marked(F.col("rb"), F.lit("1"))).when(F.col("backed") == "-1", F.concat(marked(F.col("gw"), F.col("backed")), marked(F.col("rb"), F.lit("1")))).otherwise(marked(F.col("gw"), F.col("backed")))
-    return x.select("gene", "variant_a", "variant_b", F.explode(out).alias("x")).select("gene", "variant_a", "variant_b", "x.*")
-
-
-def annotate(pairs: DataFrame, effects: DataFrame) -> DataFrame:
-    """Add each allele's name, effect, score and frequency; both alleles must have theirs.
+    g, p = F.col("alleles"), F.col("alleles")
+    both = gw.select("gene", F.col("variant_id").alias("variant"), g[0].alias("g0"), g[1].alias("g1")).join(pg.select("gene", F.col("variant_id").alias("variant"), p[0].alias("p0"), p[1].alias("p1"), "block"), ["gene", "variant"], "full_outer").where("gene <> 'NA'")
+    extra = [] if effects is None else [new for _, new in EFFECTS]
+    if effects is not None:
+        effects = effects.select("gene", F.col("variant_id").alias("variant"), "allele", *[F.col(old).alias(new) for old, new in EFFECTS])
+
+    def alternatives(kind: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(i).alias("hap"), F.col(f"{kind}{i}").alias("allele")) for i in (0, 1)])
+        rows = both.select("*", F.explode(cells).alias("x")).select(*both.columns, "x.hap", "x.allele").where("allele <> 0")
+        return written(rows if effects is None else rows.join(effects, ["gene", "variant", "allele"]), "alternatives")
+
+    at = lambda k, s: [F.col(f"{k}{i}_{s}") for i in (0, 1)]
+    config = F.when(F.col("hap_a") == F.col("hap_b"), "cis").otherwise("trans")
+    same_size = _count(at("g", "a"), at("g", "b")) == _count(at("p", "a"), at("p", "b"))
+    equal = interactions(at("g", "a"), at("g", "b")) == interactions(at("p", "a"), at("p", "b"))
+    backed = lambda together: F.when(F.coalesce(together & same_size, F.lit(False)), F.when(equal, "1").otherwise("-1")).otherwise("0")
+    columns = ["variant", "allele", *extra]
+    out = _pairs(alternatives("g"), ["gene"], per_cell).withColumns({"configuration": config, "read_backed": backed(F.col("block_a") == F.col("block_b"))})
+    own = _pairs(alternatives("p"), ["gene", "block"], per_cell).withColumn("configuration", config)
+    in_gw = F.col("g0_a").isNotNull() & F.col("g0_b").isNotNull()
+    own = own.where(~in_gw | (backed(F.lit(True)) == "-1")).withColumn("read_backed", F.lit("1"))
+    keep = ["gene", *[f"{c}_{s}" for c in columns for s in "ab"], "configuration", "read_backed"]
+    return _mirrored(out.select(*keep).unionByName(own.select(*keep)), columns)
+
+
+def annotate(gw: DataFrame, pg: DataFrame, effects: DataFrame, per_cell: int = PER_CELL) -> DataFrame:
+    """Pairs of a gene's variants with each allele's name, effect, score and frequency.
 
     ``effects``: gene, variant_id, allele, name, rsid, phred, effect, af -- distinct by
     (gene, variant, allele).
     """
-    e = lambda s: effects.select("gene", *[F.col(c).alias(f"{n}_{s}") for c, n in (("variant_id", "variant"), ("allele", "allele"), ("name", "name"), ("rsid", "rsid"), ("phred", "cadd_phred"), ("effect", "cadd_effect"), ("af", "af"))])
-    out = pairs.join(e("a"), ["gene", "variant_a", "allele_a"]).join(e("b"), ["gene", "variant_b", "allele_b"])
     sides = [c for s in "ab" for c in (f"variant_{s}", f"rsid_{s}", f"allele_{s}", f"af_{s}", f"cadd_phred_{s}", f"cadd_effect_{s}")]
-    return out.select(F.col("gene").alias("ensg"), F.col("name_a").alias("name"), *sides, "configuration", "read_backed")
+    return gene_pairs(gw, pg, effects, per_cell).select(F.col("gene").alias("ensg"), F.col("name_a").alias("name"), *sides, "configuration", "read_backed")
 
 
 def with_cadd(variants: DataFrame, cadd: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandspark.config import GeneConfig
 from strandspark.functions.stats import log2_afc
-from strandspark.operators.intervals import overlaps
+from strandspark.operators.intervals import nested_overlaps
 from strandspark.operators.scans import numbered
 
 
@@ -26,7 +26,7 @@ def feature_reads(counts: DataFrame, features: DataFrame, position: Callable[[Co
     """
     own = counts.where("totalCount > 0").withColumn("_from", F.col("start") - 1).withColumnRenamed("start", "_start").withColumnRenamed("stop", "_stop")
     f = features.select("contig", "name", F.col("start").alias("f_start"), F.col("stop").alias("f_stop"), "feature")
-    pairs = overlaps(own, f, ["contig"], "_from", "_stop", "f_start", "f_stop", width)
+    pairs = nested_overlaps(own, f, ["contig"], "_from", "_stop", "f_start", "f_stop", width)
     names = F.split("variants", ",")
     inside = F.filter(F.transform(names, lambda v, i: F.struct(v.alias("v"), i.alias("i"), (position(v) - 1).alias("p"))), lambda s: (s["p"] >= F.col("f_start")) & (s["p"] <= F.col("f_stop")))
     pairs = pairs.withColumn("_in", inside)

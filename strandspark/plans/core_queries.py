@@ -394,6 +394,6 @@ def blacklist_semi(spark, sf_dir):
 
 @query("feature_overlap", _OVER + "SELECT s.contig, span_id, count(*) AS points, CAST(sum(event_id) AS BIGINT) AS total FROM s JOIN p ON s.contig = p.contig AND start < next_spot AND spot < stop GROUP BY ALL")
 def feature_overlap(spark, sf_dir):
-    """Long spans against points: pairs are counted, each found in one bin."""
-    pairs = intervals.overlaps(view(spark, sf_dir, "spans"), view(spark, sf_dir, "points"), ["contig"], "start", "stop", "spot", "next_spot", 500)
-    return pairs.groupBy("contig", "span_id").agg(F.count(F.lit(1)).alias("points"), F.sum("event_id").alias("total"))
+    """Points in long spans: whole bins by their sums, single points at the ends only."""
+    sums = {"points": F.lit(1), "total": F.col("event_id")}
+    return intervals.point_sums(view(spark, sf_dir, "spans"), view(spark, sf_dir, "points"), ["contig", "span_id"], ["contig"], "start", "stop", "spot", sums, 64)

@@ -138,4 +138,4 @@ def compound_program(spark: SparkSession, vcf_path: str, cadd_path: str, config:
     genes = alleles.select("gene", "variant_id").distinct()
     gw = v.where("g is not null").select("variant_id", F.col("g").alias("alleles")).join(genes, "variant_id")
     pg = v.where("p is not null and block is not null").select("variant_id", F.col("p").alias("alleles"), "block").join(genes, "variant_id")
-    return compound.annotate(compound.gene_pairs(gw, pg), alleles)
+    return compound.annotate(gw, pg, alleles)

@@ -227,7 +227,7 @@ def coding(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
   FROM rows_ JOIN c ca ON ca.gene = rows_.gene AND ca.variant_id = va JOIN c cb ON cb.gene = rows_.gene AND cb.variant_id = vb""")
 def annotate_pairs(spark, sf_dir):
     gw, pg, effects = coding(spark, sf_dir)
-    return compound.annotate(compound.gene_pairs(gw, pg), effects)
+    return compound.annotate(gw, pg, effects)
 
 
 @query("read_backed_codes", _CODING + " SELECT rb AS read_backed, count(*) AS n FROM rows_ GROUP BY rb")
