@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from strandspark.config import GeneConfig
 from strandspark.functions.stats import log2_afc
 from strandspark.operators.intervals import nested_overlaps
 from strandspark.operators.scans import numbered
+from strandspark.runtime import written
 
 
 def by_separator(separator: str) -> Callable[[Column], Column]:
@@ -74,22 +76,55 @@ def complete_samples(genes: DataFrame, features: DataFrame) -> DataFrame:
     return own.join(every, "bam").crossJoin(F.broadcast(n)).where("found = features and rows = features").select("bam")
 
 
-def matrix(genes: DataFrame, features: DataFrame, samples: list | None = None, phased_only: bool = False) -> DataFrame:
-    """Gene by sample matrix of ``a|b`` cells; ``phased_only``: ``0|0`` where not phased."""
+@dataclass
+class Matrix:
+    """A gene by sample matrix of any width: the samples' names, and rows of contig, start, stop,
+    name, feature and ``cells``, an array with a cell for each name."""
+
+    names: list
+    rows: DataFrame
+
+    def wide(self, names: list | None = None) -> DataFrame:
+        """One column a sample, in the features' order."""
+        at = {n: i for i, n in enumerate(self.names)}
+        cells = [(F.get("cells", F.lit(at[n])) if n in at else F.lit(None).cast("string")).alias(str(n)) for n in (self.names if names is None else names)]
+        return self.rows.orderBy("feature").select("contig", "start", "stop", "name", *cells)
+
+
+def cell_counts(cells: DataFrame, names: list) -> DataFrame:
+    """(contig, start, stop, name, sample, a, b) of rows with ``cells``, an array by the place of ``names``."""
+    places = cells.sparkSession.createDataFrame([(i, str(n)) for i, n in enumerate(names)], "place int, sample string")
+    part = lambda i: F.get(F.split("cell", "[|]"), F.lit(i)).try_cast("long")
+    long = cells.select("contig", "start", "stop", "name", F.posexplode("cells").alias("place", "cell")).join(F.broadcast(places), "place")  # one row a sample
+    return long.select("contig", "start", "stop", "name", "sample", part(0).alias("a"), part(1).alias("b"))
+
+
+def matrix_cells(genes: DataFrame, features: DataFrame, phased_only: bool = False) -> Matrix:
+    """Cells ``a|b`` of all complete samples; ``phased_only``: ``0|0`` where not phased.
+
+    Samples get places in the order of their names, and a gene's cells are filled into one array by place
+    in one aggregation; nothing grows with the number of columns but the rows themselves.
+    """
     cell = F.concat(F.col("aCount").cast("string"), F.lit("|"), F.col("bCount").cast("string"))
     if phased_only:
         cell = F.when(F.col("gw_phased") == 1, cell).otherwise("0|0")
-    own = genes.join(complete_samples(genes, features), "bam", "left_semi").withColumn("cell", cell)
-    wide = own.groupBy("contig", "start", "stop", "name").pivot("bam", samples).agg(F.first("cell"))
-    return features.select("contig", "start", "stop", "name", "feature").join(wide, ["contig", "start", "stop", "name"]).orderBy("feature").drop("feature")
+    complete = written(complete_samples(genes, features), "complete-samples")
+    names = sorted(r["bam"] for r in complete.collect())  # the header line's names
+    kind = dict(genes.dtypes)["bam"]
+    places = genes.sparkSession.createDataFrame(list(enumerate(names)), f"place int, bam {kind}")
+    own = genes.join(places, "bam").select("contig", "start", "stop", "name", "place", cell.alias("cell"))
+    filled = own.groupBy("contig", "start", "stop", "name").agg(F.array_sort(F.collect_list(F.struct("place", "cell"))).alias("x"))
+    dense = F.transform("x", lambda s: s["cell"])
+    # a gene that stands twice in a file has cells of one place more than once: the first counts
+    by_place = F.transform(F.sequence(F.lit(0), F.lit(max(len(names) - 1, 0))), lambda i: F.get(F.filter("x", lambda s: s["place"] == i), F.lit(0))["cell"])
+    exact = (F.size("x") == len(names)) & (F.size(F.array_distinct(F.transform("x", lambda s: s["place"]))) == len(names))
+    filled = filled.select("contig", "start", "stop", "name", F.when(exact, dense).otherwise(by_place).alias("cells"))
+    return Matrix(names, features.select("contig", "start", "stop", "name", "feature").join(filled, ["contig", "start", "stop", "name"]))
 
 
-def matrix_long(wide: DataFrame) -> DataFrame:
-    """(contig, start, stop, name, sample, a, b) of a matrix."""
-    keys = ["contig", "start", "stop", "name"]
-    long = wide.unpivot(keys, [c for c in wide.columns if c not in keys], "sample", "cell")
-    part = lambda i: F.get(F.split("cell", "[|]"), F.lit(i)).cast("long")
-    return long.select(*keys, "sample", part(0).alias("a"), part(1).alias("b"))
+def matrix(genes: DataFrame, features: DataFrame, samples: list | None = None, phased_only: bool = False) -> DataFrame:
+    """The matrix with a column for each sample (of those given, if any)."""
+    return matrix_cells(genes, features, phased_only).wide(samples)
 
 
 def with_order(df: DataFrame, name: str, *by: str) -> DataFrame:

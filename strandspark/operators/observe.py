@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.functions.cigar import allele_at, segments
+from strandspark.functions.cigar import allele_at, reference_span, segments
 from strandspark.operators import intervals
+from strandspark.sources.bgzf import WINDOW_BITS, windows_of
 
 DUPLICATE, PROPER_PAIR = 0x400, 2
 
@@ -25,16 +26,41 @@ def insert_filter(tlen: Column, isize: int) -> Column:
     return F.lit(True) if not isize else F.abs(tlen) <= isize
 
 
+def occupied(sites: DataFrame) -> Column:
+    """Condition on reads (rname, pos, cigar): the stretch from the first to the last aligned base
+    touches a window of 16 KB that holds a site.
+
+    The windows are one byte each in a constant (a genome has as many as its length allows,
+    whatever the number of sites), so the test neither joins nor walks an alignment.
+    Reads over more than two windows are kept without a look at those between.
+    """
+    flags, offsets = bytearray(), {}
+    for contig, low, high in windows_of(sites):
+        at = offsets.setdefault(contig, len(flags))
+        flags.extend(bytes(at + low - len(flags)) + bytes([1]) * (high - low + 1))
+    if not offsets:
+        return F.lit(False)
+    start = F.element_at(F.create_map(*[F.lit(x) for c, at in offsets.items() for x in (c, at)]), F.col("rname"))
+    bounds = F.create_map(*[F.lit(x) for (c, at), end in zip(offsets.items(), [*list(offsets.values())[1:], len(flags)]) for x in (c, end - at)])
+    bits = F.lit(bytes(flags))
+    window = lambda pos: F.shiftright(F.greatest(pos - 1, F.lit(0)).cast("long"), WINDOW_BITS).cast("int")
+    first, last = window(F.col("pos")), window(F.col("pos") + F.greatest(reference_span(F.col("cigar")), F.lit(1)) - 1)
+    size = F.element_at(bounds, F.col("rname"))
+    hit = lambda w: (w < size) & (F.substring(bits, start + w + 1, F.lit(1)) == F.lit(b"\x01"))
+    return F.coalesce(start.isNotNull() & ((last - first > 1) | hit(first) | hit(last)), F.lit(False))
+
+
 def observe(reads: DataFrame, variants: DataFrame, baseq: int = 10, rebase: bool = True, width: int = intervals.BIN) -> DataFrame:
     """Alleles of variants in reads: contig, read_id, bam, variant_id, pos, allele, as_score, cls.
 
     ``reads``: qname, rname, pos, cigar, seq, qual, as_score, bam; ``variants``: contig,
     variant_id, pos, ref_len, alleles. A variant is seen where an alignment segment
     contains all of its reference bases; the join is an equi-join on bins of the
-    variant's first base.
+    variant's first base. Reads away from all sites go before anything of them is walked.
     """
-    seg = reads.select("bam", F.col("qname").alias("read_id"), F.col("rname").alias("contig"), F.col("pos").alias("read_pos"), "as_score", F.explode(segments(F.col("cigar"), F.col("seq"), F.col("qual"), baseq, rebase)).alias("s"))
-    seg = seg.select("bam", "read_id", "contig", "as_score", (F.col("read_pos") + F.col("s.off_start")).alias("seg_start"), F.col("s.pseudo").alias("pseudo"), F.col("s.ins").alias("ins"), F.col("s.off_start").alias("off_start"))
+    near = reads.where(occupied(variants))
+    seg = near.select("bam", F.col("qname").alias("read_id"), F.col("rname").alias("contig"), F.col("pos").alias("read_pos"), "as_score", F.explode(segments(F.col("cigar"), F.col("seq"), F.col("qual"), baseq, rebase)).alias("s"))
+    seg = seg.select("bam", "read_id", "contig", "as_score", (F.col("read_pos") + F.col("s.off_start")).alias("seg_start"), F.col("s.pseudo").alias("pseudo"), F.col("s.ins").alias("ins"))
     seg = seg.withColumn("seg_end", F.col("seg_start") + F.length("pseudo"))
     sites = variants.select("contig", "variant_id", "pos", "ref_len", "alleles", (F.col("pos") + 1).alias("after"))
     pairs = intervals.overlaps(seg, sites, ["contig"], "seg_start", "seg_end", "pos", "after", width, F.col("pos") + F.col("ref_len") <= F.col("seg_end"))

@@ -56,20 +56,26 @@ VIEWS["points"] = "SELECT event_id, event_type AS contig, event_id AS spot, even
 #: Banned stretches of sites: every second hundred.
 VIEWS["bans"] = "SELECT DISTINCT CAST(s_nationkey AS STRING) AS contig, k * 20 AS start, k * 20 + 7 AS stop FROM {supplier} CROSS JOIN (SELECT DISTINCT CAST(floor(s_suppkey / 20) AS INT) AS k FROM {supplier}) f"
 VIEWS["bams"] = "SELECT CAST(c_custkey AS INT) AS bam, concat('/data/', CAST(c_custkey % 3 AS STRING), '/', c_mktsegment, CAST(c_custkey % 40 AS STRING), '.bam') AS path FROM {customer}"
-#: Individuals of a cohort: genotype and haplotype counts of genes.
-VIEWS["cohort_counts"] = """SELECT CONCAT('g', CAST(c_nationkey AS STRING), '.1') AS gene, concat('S', CAST(c_custkey % 40 AS STRING)) AS sample,
-  CAST(sum(CASE WHEN c_custkey % 3 = 0 THEN 7 ELSE 2 END) AS BIGINT) AS a, CAST(sum(CASE WHEN c_acctbal > 4000 THEN 5 ELSE 1 END) AS BIGINT) AS b
-FROM {customer} GROUP BY c_nationkey, c_custkey % 40"""
-VIEWS["cohort_gt"] = """SELECT CAST(n_nationkey AS STRING) AS contig, n_nationkey * 100 AS pos, concat('v', CAST(n_nationkey AS STRING)) AS id, 'A' AS ref, 'C' AS alt, concat('I', CAST(i AS STRING)) AS vcf_sample,
-  CASE (i * 7 + n_nationkey) % 6 WHEN 0 THEN '0|1' WHEN 1 THEN '1|0' WHEN 2 THEN '0|0' WHEN 3 THEN '1|1' WHEN 4 THEN '0/1' ELSE '0|1' END AS gt
-FROM {nation} CROSS JOIN (SELECT DISTINCT c_custkey % 40 AS i FROM {customer}) x"""
-VIEWS["cohort_map"] = "SELECT DISTINCT concat('I', CAST(c_custkey % 40 AS STRING)) AS vcf_sample, concat('S', CAST(c_custkey % 40 AS STRING)) AS bed_sample FROM {customer}"
-VIEWS["cohort_pairs"] = "SELECT CAST(n_nationkey AS BIGINT) AS xindex, concat('g', CAST(n_nationkey AS STRING), '.1') AS gene_id, concat('v', CAST(n_nationkey AS STRING)) AS var_id, CAST(n_nationkey AS STRING) AS var_contig, n_nationkey * 100 AS var_pos, 'A' AS var_ref, 'C' AS var_alt FROM {nation}"
+#: A cohort: customers are individuals, suppliers variants of their nation's gene; who bought of a supplier has a genotype there.
+VIEWS["cohort_counts"] = """SELECT concat('g', CAST(s_nationkey AS STRING), '.1') AS gene, concat('S', CAST(o_custkey AS STRING)) AS sample, CAST(sum(l_quantity) AS BIGINT) AS a, CAST(sum(l_linenumber * 7) AS BIGINT) AS b
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY s_nationkey, o_custkey"""
+VIEWS["cohort_gt"] = """SELECT DISTINCT CAST(s_nationkey AS STRING) AS contig, s_suppkey * 100 AS pos, concat('v', CAST(s_suppkey AS STRING)) AS id, 'A' AS ref, 'C' AS alt, concat('I', CAST(o_custkey AS STRING)) AS vcf_sample,
+  CASE (o_custkey * 7 + s_suppkey) % 6 WHEN 0 THEN '0|1' WHEN 1 THEN '1|0' WHEN 2 THEN '0|0' WHEN 3 THEN '1|1' WHEN 4 THEN '0/1' ELSE '0|1' END AS gt
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey"""
+VIEWS["cohort_map"] = "SELECT concat('I', CAST(c_custkey AS STRING)) AS vcf_sample, concat('S', CAST(c_custkey AS STRING)) AS bed_sample FROM {customer}"
+VIEWS["cohort_pairs"] = "SELECT CAST(s_suppkey AS BIGINT) AS xindex, concat('g', CAST(s_nationkey AS STRING), '.1') AS gene_id, concat('v', CAST(s_suppkey AS STRING)) AS var_id, CAST(s_nationkey AS STRING) AS var_contig, s_suppkey * 100 AS var_pos, 'A' AS var_ref, 'C' AS var_alt FROM {supplier}"
 #: Genotyped coding variants of one sample, with genes and effects.
 VIEWS["coding"] = """SELECT p_brand AS gene, concat('n', p_brand) AS name, CAST(p_partkey AS STRING) AS variant_id, concat('rs', CAST(p_partkey AS STRING)) AS rsid, p_type AS effect, CAST(p_size AS DOUBLE) AS phred,
   CAST(p_partkey % 2 AS INT) AS a0, CAST(floor(p_partkey / 2) % 2 AS INT) AS a1, CASE WHEN p_partkey % 3 = 0 THEN CAST(floor(p_partkey / 40) AS INT) END AS block, CAST(p_partkey % 100 AS DOUBLE) / 100 AS af
 FROM {part}"""
 
+#: Aligned reads of lines of orders, by templates of every operation, with bases of low quality; and the sites under them.
+VIEWS["reads"] = """SELECT concat('r', CAST(l_orderkey AS STRING)) AS qname, concat('chr', CAST(l_partkey % 5 AS STRING)) AS rname, CAST(l_partkey AS BIGINT) AS pos, CAST(l_linenumber % 3 AS INT) AS bam, CAST(l_quantity AS INT) AS as_score,
+  CASE CAST(l_orderkey % 7 AS INT) WHEN 0 THEN '40M' WHEN 1 THEN '10M5I25M' WHEN 2 THEN '12M8D28M' WHEN 3 THEN '3S17M30N20M' WHEN 4 THEN '5M2I5M10N10M3D13M5S' WHEN 5 THEN '7=1X20M2D2I10M' ELSE '2H20M1I19M' END AS cigar,
+  substring(repeat(CASE CAST(l_suppkey % 3 AS INT) WHEN 0 THEN 'ACGTTGCA' WHEN 1 THEN 'CCATGAAC' ELSE 'GATTACAN' END, 5), 1, 40) AS seq, substring(repeat(CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN 'III#IIII' ELSE 'IIIIIIII+' END, 5), 1, 40) AS qual
+FROM {lineitem}"""
+VIEWS["read_sites"] = """SELECT concat('chr', CAST(p_partkey % 5 AS STRING)) AS contig, concat('s', CAST(p_partkey AS STRING)) AS variant_id, CAST(p_partkey AS BIGINT) AS pos, CASE WHEN p_size % 9 = 0 THEN 3 WHEN p_size % 4 = 0 THEN 2 ELSE 1 END AS ref_len,
+  CASE WHEN p_size % 9 = 0 THEN 'ACG,A' WHEN p_size % 4 = 0 THEN 'AC,A' WHEN p_size % 2 = 0 THEN 'A,C' ELSE 'G,T' END AS two FROM {part}"""
 TABLES = ("supplier", "lineitem", "part", "events", "customer", "nation", "orders")
 
 

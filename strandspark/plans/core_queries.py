@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandspark.functions import fields, stats
 from strandspark.operators import edges as E
 from strandspark.operators import haplotypes as H
-from strandspark.operators import intervals, phasing
+from strandspark.operators import intervals, phasing, splitting
 from strandspark.plans.adapters import duck, view
 from strandspark.runtime import ship, written
 
@@ -204,30 +204,85 @@ def concordant_blocks(spark, sf_dir):
     return out.withColumn("hap_b", fields.complement(F.col("hap_a")))
 
 
-@query("weak_point_phasing")
+@query("weak_points", R + chain("p", 0.1) + """ SELECT bv.contig, CAST(bv.block AS VARCHAR) AS block, CAST(bv.idx AS INT) AS at, count(*) AS crossing
+FROM bv JOIN (SELECT e.contig, a.block, a.idx AS ia, b.idx AS ib FROM edges e JOIN bv a ON a.contig = e.contig AND a.pos = pos_a JOIN bv b ON b.contig = e.contig AND b.pos = pos_b) x
+  ON x.contig = bv.contig AND x.block = bv.block AND ia < bv.idx AND bv.idx <= ib WHERE bv.idx >= 2 AND bv.idx <= bv.n - 2 GROUP BY ALL""")
+def weak_points(spark, sf_dir):
+    """Connections over each inner point."""
+    case = Case(spark, sf_dir, "p", 0.1)
+    nodes, edges = indexed(case)
+    n = nodes.groupBy(*splitting.KEY).agg(F.count(F.lit(1)).alias("n"))
+    return splitting.crossing_counts(nodes, edges).join(n, splitting.KEY).where("at >= 2 and at <= n - 2 and crossing > 0").select("contig", "block", "at", "crossing")
+
+
+def indexed(case: Case) -> tuple[DataFrame, DataFrame]:
+    """(contig, block, idx) of all connected variants, and connections between their places."""
+    edges = case.edges()
+    blocks = written(phasing.blocks_of(edges), "blocks")
+    at = blocks.select("contig", "variant_id", "block", "idx")
+    e = edges.join(at.toDF("contig", "variant_a", "block", "ia"), ["contig", "variant_a"]).join(at.drop("block").toDF("contig", "variant_b", "ib"), ["contig", "variant_b"])
+    return blocks.select("contig", "block", "idx"), written(e.select("contig", "block", "ia", "ib", "config"), "block-edges")
+
+
+#: CTEs after ``chain`` that cut blocks greedily point by point, phase the fragments and merge them in order.
+_CUTS = """,
+ae AS (SELECT e.contig, a.block, a.idx AS ia, b.idx AS ib, config FROM edges e JOIN bv a ON a.contig = e.contig AND a.pos = pos_a JOIN bv b ON b.contig = e.contig AND b.pos = pos_b),
+cross_ AS (SELECT bv.contig, bv.block, bv.n, bv.idx AS spot, count(*) AS c FROM bv JOIN ae ON ae.contig = bv.contig AND ae.block = bv.block AND ia < bv.idx AND bv.idx <= ib WHERE bv.idx >= 2 AND bv.idx <= bv.n - 2 GROUP BY ALL),
+turn AS (SELECT contig, block, spot, c, row_number() OVER (PARTITION BY contig, block ORDER BY c, spot) AS k FROM cross_),
+greedy AS (
+  SELECT contig, block, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS chosen FROM sizes
+  UNION ALL SELECT g.contig, g.block, t.k, CASE WHEN list_contains(chosen, t.spot - 1) OR list_contains(chosen, t.spot + 1) THEN chosen ELSE list_append(chosen, t.spot) END FROM greedy g JOIN turn t ON t.contig = g.contig AND t.block = g.block AND t.k = g.k + 1),
+picked AS (SELECT contig, block, unnest(chosen) AS spot FROM (SELECT contig, block, arg_max(chosen, k) AS chosen FROM greedy GROUP BY ALL)),
+pc AS (SELECT picked.*, c FROM picked JOIN cross_ USING (contig, block, spot)),
+lev AS (SELECT s.contig, s.block, s.n, l FROM sizes s JOIN (SELECT contig, block, max(c) AS top FROM cross_ GROUP BY ALL) m USING (contig, block), unnest(range(1, top + 1)) AS u(l)),
+ends AS (SELECT lev.contig, lev.block, lev.n, l, spot FROM lev JOIN pc USING (contig, block) WHERE c <= l UNION ALL SELECT contig, block, n, l, 0 FROM lev UNION ALL SELECT contig, block, n, l, n FROM lev),
+gaps AS (SELECT contig, block, l, max(spot - before) AS longest FROM (SELECT *, lag(spot) OVER (PARTITION BY contig, block, l ORDER BY spot) AS before FROM ends) GROUP BY ALL),
+stop AS (SELECT contig, block, coalesce(min(l) FILTER (longest <= 15), max(l)) AS l FROM gaps GROUP BY ALL),
+cuts AS (SELECT pc.contig, pc.block, pc.spot FROM pc JOIN stop USING (contig, block) WHERE c <= l)"""
+_STRETCHES = _CUTS + """,
+sided AS (SELECT contig, block, pos, 0 AS s FROM bv WHERE idx = 0 UNION SELECT x.contig, x.block, bv.pos, xor(s, config) FROM sided x JOIN bv o ON o.contig = x.contig AND o.pos = x.pos JOIN (SELECT contig, block, ia, ib, config FROM ae UNION ALL SELECT contig, block, ib, ia, config FROM ae) e ON e.contig = x.contig AND e.block = x.block AND e.ia = o.idx AND e.config >= 0 JOIN bv ON bv.contig = e.contig AND bv.block = e.block AND bv.idx = e.ib),
+agreed AS (SELECT contig, block FROM sided JOIN sizes USING (contig, block) GROUP BY contig, block, n HAVING count(*) = n AND count(DISTINCT pos) = n),
+fr AS (SELECT bv.contig, bv.block, bv.pos, bv.idx, coalesce(max(spot), 0) AS f FROM bv LEFT JOIN cuts ON cuts.contig = bv.contig AND cuts.block = bv.block AND spot <= bv.idx WHERE (bv.contig, bv.block) NOT IN (SELECT (contig, block) FROM agreed) GROUP BY ALL),
+fs AS (SELECT contig, block, f, count(*) AS m FROM fr GROUP BY ALL),
+fe AS (SELECT e.contig, e.block, e.ia, e.ib, e.config, a.f AS fa, b.f AS fb FROM ae e JOIN fr a ON a.contig = e.contig AND a.block = e.block AND a.idx = ia JOIN fr b ON b.contig = e.contig AND b.block = e.block AND b.idx = ib WHERE config >= 0),
+fcode AS (SELECT contig, block, f, m, unnest(range(0, CAST(1 AS BIGINT) << (m - 1))) AS code FROM fs),
+fscore AS (SELECT k.contig, k.block, k.f, k.m, code, count(*) FILTER (xor((code >> CAST(m - 1 - (ia - k.f) AS INT)) & 1, (code >> CAST(m - 1 - (ib - k.f) AS INT)) & 1) = config) AS s FROM fcode k LEFT JOIN fe ON fe.contig = k.contig AND fe.block = k.block AND fa = k.f AND fb = k.f GROUP BY ALL),
+fbest AS (SELECT contig, block, f, m, CASE WHEN count(*) = 1 THEN max(code) END AS code FROM (SELECT *, max(s) OVER (PARTITION BY contig, block, f) AS top FROM fscore) WHERE s = top GROUP BY ALL),
+fx AS (SELECT fr.*, CAST((code >> CAST(m - 1 - (idx - fr.f) AS INT)) & 1 AS INT) AS x FROM fr JOIN fbest b ON b.contig = fr.contig AND b.block = fr.block AND b.f = fr.f),
+fw AS (SELECT fe.contig, fe.block, greatest(fa, fb) AS f, least(fa, fb) AS g, sum(CASE WHEN xor(a.x, b.x) = config THEN 1 ELSE -1 END) AS w FROM fe JOIN fx a ON a.contig = fe.contig AND a.block = fe.block AND a.idx = ia JOIN fx b ON b.contig = fe.contig AND b.block = fe.block AND b.idx = ib WHERE fa <> fb AND a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY ALL),
+fl AS (SELECT b.contig, b.block, b.f, code IS NOT NULL AS known, row_number() OVER (PARTITION BY b.contig, b.block ORDER BY b.f) AS k, coalesce(ws, []) AS ws FROM fbest b LEFT JOIN (SELECT contig, block, f, list(struct_pack(g := g, w := w)) AS ws FROM fw GROUP BY ALL) w ON w.contig = b.contig AND w.block = b.block AND w.f = b.f),
+merged AS (
+  SELECT contig, block, k, f AS spot, f, known, CAST([struct_pack(f := f, o := 0)] AS STRUCT(f BIGINT, o INT)[]) AS held, 0 AS o FROM fl WHERE k = 1
+  UNION ALL SELECT contig, block, k, CASE WHEN joins THEN spot ELSE f END, f, known, CASE WHEN joins THEN list_append(held, struct_pack(f := f, o := o)) ELSE [struct_pack(f := f, o := 0)] END, CASE WHEN joins THEN o ELSE 0 END FROM (
+    SELECT *, CASE WHEN score < 0 THEN 1 ELSE 0 END AS o, was AND known AND score <> 0 AS joins FROM (
+      SELECT n.contig, n.block, n.k, m.spot, n.f, n.known, m.known AS was, m.held,
+        coalesce(list_sum(list_transform(n.ws, lambda e: e.w * coalesce(list_sum(list_transform(list_filter(m.held, lambda h: h.f = e.g), lambda h: 1 - 2 * h.o)), 0))), 0) AS score
+      FROM merged m JOIN fl n ON n.contig = m.contig AND n.block = m.block AND n.k = m.k + 1)))"""
+
+
+@query("block_cuts", R + chain("p", 0.1) + _CUTS + " SELECT contig, CAST(block AS VARCHAR) AS block, CAST(spot AS INT) AS at FROM cuts")
+def block_cuts(spark, sf_dir):
+    """Where blocks are cut so that no fragment is over 15 variants."""
+    return splitting.cut_points(*indexed(Case(spark, sf_dir, "p", 0.1)), 15).select("contig", "block", "at")
+
+
+@query("weak_point_phasing", R + chain("p", 0.1) + _STRETCHES + """
+SELECT bv.contig, CAST(min(bv.pos) OVER (PARTITION BY bv.contig, bv.block, st.spot) AS VARCHAR) AS part, CAST(bv.pos AS VARCHAR) AS variant_id, CAST(bv.idx - st.spot AS INT) AS idx, st.hap_a FROM (
+  SELECT contig, block, pos, 0 AS spot, s AS hap_a FROM sided WHERE (contig, block) IN (SELECT (contig, block) FROM agreed)
+  UNION ALL SELECT fx.contig, fx.block, fx.pos, m.spot, xor(x, o) FROM fx JOIN merged m ON m.contig = fx.contig AND m.block = fx.block AND m.f = fx.f WHERE m.known) st
+JOIN bv ON bv.contig = st.contig AND bv.pos = st.pos""")
 def weak_point_phasing(spark, sf_dir):
-    """Blocks that need splitting and merging: procedural, so without SQL."""
+    """Blocks that need splitting and merging."""
     case = Case(spark, sf_dir, "p", 0.1)
     return case.phased(case.edges()).select("contig", "part", "variant_id", "idx", "hap_a")
 
 
-@query("weak_points", R + chain("p", 0.1) + """ SELECT bv.contig, CAST(bv.block AS VARCHAR) AS block, CAST(bv.idx AS INT) AS at, count(*) AS crossing
-FROM bv JOIN (SELECT e.contig, a.block, a.idx AS ia, b.idx AS ib FROM edges e JOIN bv a ON a.contig = e.contig AND a.pos = pos_a JOIN bv b ON b.contig = e.contig AND b.pos = pos_b) x
-  ON x.contig = bv.contig AND x.block = bv.block AND ia < bv.idx AND bv.idx <= ib WHERE bv.idx >= 2 AND bv.idx <= bv.n - 2 GROUP BY ALL""")
-def weak_points(spark, sf_dir):
-    """Connections over each inner point, as a running sum of starts less ends."""
-    from pyspark.sql import Window
-
-    edges = Case(spark, sf_dir, "p", 0.1).edges()
-    blocks = phasing.blocks_of(edges)
-    at = blocks.select("contig", "variant_id", "idx", "block")
-    e = edges.join(at.toDF("contig", "variant_a", "ia", "block"), ["contig", "variant_a"]).join(at.drop("block").toDF("contig", "variant_b", "ib"), ["contig", "variant_b"])
-    steps = e.select("contig", "block", F.explode(F.array(F.struct((F.col("ia") + 1).alias("at"), F.lit(1).alias("d")), F.struct((F.col("ib") + 1).alias("at"), F.lit(-1).alias("d")))).alias("x"))
-    steps = steps.groupBy("contig", "block", F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d"))
-    grid = blocks.select("contig", "block", F.col("idx").alias("at")).join(steps, ["contig", "block", "at"], "left").na.fill(0, ["d"])
-    w = Window.partitionBy("contig", "block")
-    out = grid.withColumn("crossing", F.sum("d").over(w.orderBy("at"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return out.where("at >= 2 and at <= n - 2 and crossing > 0").select("contig", "block", "at", "crossing")
+@query("large_block_phasing", SQL["weak_point_phasing"])
+def large_block_phasing(spark, sf_dir):
+    """The same phase, with every block in pieces as very large ones are."""
+    case = Case(spark, sf_dir, "p", 0.1)
+    edges = case.edges()
+    return phasing.phase(edges, phasing.blocks_of(edges), large=0).select("contig", "part", "variant_id", "idx", "hap_a")
 
 
 @query("block_edges", R + chain("s") + """ SELECT ph.contig, CAST(ph.block AS VARCHAR) AS block, CAST(count(*) FILTER (xor(a.hap_a, b.hap_a) = config) AS DOUBLE) AS edges_supporting, CAST(count(*) AS DOUBLE) AS edges_total

@@ -105,17 +105,17 @@ def gene_program(spark: SparkSession, counts_path: str, features_path: str, conf
     return gene_expression.gene_counts(readers.read_counts(spark, counts_path), readers.read_features(spark, features_path), config)
 
 
-def matrix_program(spark: SparkSession, folder: str, features_path: str) -> tuple[DataFrame, DataFrame]:
+def matrix_program(spark: SparkSession, folder: str, features_path: str) -> tuple[gene_expression.Matrix, gene_expression.Matrix]:
     """(all counts, genome-wide phased counts) as gene by sample matrices."""
     genes, feats = written(readers.read_gene_folder(spark, folder), "genes"), readers.read_features(spark, features_path)
-    return gene_expression.matrix(genes, feats), gene_expression.matrix(genes, feats, phased_only=True)
+    return gene_expression.matrix_cells(genes, feats), gene_expression.matrix_cells(genes, feats, phased_only=True)
 
 
 def cis_program(spark: SparkSession, matrix_path: str, vcf_path: str, pairs_path: str, map_path: str, config: CisConfig = CisConfig()) -> DataFrame:
     ship(spark)
     pairs = readers.read_pairs(spark, pairs_path)
-    wide = readers.read_matrix(spark, matrix_path, None if config.ignore_v else pairs, config.chrom)
-    counts = gene_expression.matrix_long(wide).select(F.col("name").alias("gene"), "sample", "a", "b")
+    cells = readers.read_matrix(spark, matrix_path, None if config.ignore_v else pairs, config.chrom)
+    counts = cells.select(F.col("name").alias("gene"), "sample", "a", "b")
     rows = cis_effect.individuals(pairs, counts, readers.read_genotypes(spark, vcf_path, readers.regions_for(vcf_path, pairs, "var_contig", "var_pos")), readers.read_samples(spark, map_path), config)
     return cis_effect.effects(rows, pairs, config)
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.config import CisConfig, GeneConfig
+from strandspark.config import CisConfig, GeneConfig, PhaseConfig
 from strandspark.functions import fields, stats
-from strandspark.operators import cis_effect, compound, gene_expression
+from strandspark.operators import cis_effect, compound, gene_expression, observe, vcf_annotate
 from strandspark.operators import haplotypes as H
 from strandspark.plans.adapters import duck, view
-from strandspark.plans.core_queries import R, Case, _HC, chain
+from strandspark.plans.core_queries import R, Case, _HC, chain, gw_sql
 from strandspark.runtime import ship, table, written
 
 QUERIES: dict = {}
@@ -155,6 +155,54 @@ for _name, _ok in (("expr_matrix", "true"), ("gw_matrix", "gw_phased = 1")):
     query(_name, _GENES + f" SELECT contig, start, stop, name, {_cells} FROM ga GROUP BY contig, start, stop, name")(_matrix(_name == "gw_matrix"))
 
 
+# --- reads and annotated rows --------------------------------------------------------
+
+_READS = f"""WITH r AS (SELECT row_number() OVER () AS id, * FROM ({duck("reads")})), v AS ({duck("read_sites")}),
+c AS (SELECT DISTINCT cigar FROM r),
+o AS (SELECT cigar, i, CAST(x[: -2] AS INT) AS n, x[-1] AS op FROM (SELECT cigar, unnest(regexp_extract_all(cigar, '[0-9]+[MIDNSHPX=]')) AS x, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[MIDNSHPX=]'), 1) AS i FROM c)),
+w AS (SELECT *, CAST(coalesce(sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') THEN n ELSE 0 END) OVER (PARTITION BY cigar ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g,
+  CAST(coalesce(sum(CASE WHEN op IN ('M', '=', 'X', 'I', 'S') THEN n ELSE 0 END) OVER (PARTITION BY cigar ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS q, count(*) FILTER (op = 'N') OVER (PARTITION BY cigar ORDER BY i) AS seg FROM o),
+cell AS (
+  SELECT cigar, seg, g + k AS spot, CASE WHEN op = 'D' THEN NULL ELSE q + k + 1 END AS first, 1 AS n FROM w, unnest(range(n)) AS u(k) WHERE op IN ('M', '=', 'X', 'D')),
+ins AS (SELECT cigar, seg, g - 1 AS spot, q + 1 AS first, n FROM w WHERE op = 'I'),
+base AS (SELECT cell.cigar, cell.seg, cell.spot, cell.first, ins.first AS i_first, ins.n AS i_n FROM cell LEFT JOIN ins ON ins.cigar = cell.cigar AND ins.seg = cell.seg AND ins.spot = cell.spot),
+p AS (SELECT r.id, r.rname, r.cigar, r.pos AS read_pos, seq, qual, qname, r.bam, variant_id, v.pos, ref_len, two FROM r JOIN v ON v.contig = r.rname AND v.pos BETWEEN r.pos AND r.pos + 120),
+b AS (SELECT p.*, base.seg, base.spot, concat(CASE WHEN base.first IS NULL THEN '' WHEN ascii(qual[base.first]) - 33 >= 10 THEN seq[base.first] ELSE 'N' END,
+    coalesce(array_to_string(list_transform(range(i_first, i_first + i_n), lambda j: CASE WHEN ascii(qual[j]) - 33 >= 10 THEN seq[j] ELSE 'N' END), ''), '')) AS x
+  FROM p JOIN base ON base.cigar = p.cigar AND base.spot BETWEEN p.pos - read_pos AND p.pos - read_pos + ref_len - 1),
+a AS (SELECT id, qname, bam, rname AS contig, variant_id, pos, two, replace(string_agg(x, '' ORDER BY spot), 'D', '') AS allele FROM b GROUP BY id, qname, bam, rname, variant_id, pos, two, ref_len, seg HAVING count(*) = ref_len)"""
+
+
+@query("read_alleles", _READS + """ SELECT contig, variant_id, pos, bam, allele, CAST(coalesce(list_position(string_split(two, ','), allele) - 1, 2) AS INT) AS cls, count(*) AS seen, count(DISTINCT qname) AS reads FROM a WHERE allele NOT IN ('', 'N') GROUP BY ALL""")
+def read_alleles(spark, sf_dir):
+    """Alleles of all sites in aligned reads with every kind of operation."""
+    sites = view(spark, sf_dir, "read_sites").withColumn("alleles", F.split("two", ","))
+    obs = observe.observe(view(spark, sf_dir, "reads"), sites, width=50)
+    return obs.groupBy("contig", "variant_id", "pos", "bam", "allele", "cls").agg(F.count(F.lit(1)).alias("seen"), F.count_distinct("read_id").alias("reads"))
+
+
+#: A variant file of the sites of view ``var_s``, and their places in it.
+_FILE = """SELECT contig, variant_id, contig || '_' || CAST(pos AS STRING) || '_' || ref || '_' || alt AS uid, pos, rsid, ref, alt, '.' AS qual, 'PASS' AS filter, 'NS=1' AS info, CASE WHEN pos % 3 = 0 THEN 'GT' ELSE 'GT:DP' END AS format,
+  (CASE phase0 WHEN 0 THEN '0|1' WHEN 1 THEN '1|0' ELSE '1/0' END) || (CASE WHEN pos % 3 = 0 THEN '' ELSE ':7' END) AS sample, CASE phase0 WHEN 0 THEN '0|1' WHEN 1 THEN '1|0' ELSE '1/0' END AS gt FROM {v}"""
+
+
+@query("annotated_vcf", R + chain("s") + ", " + gw_sql(0) + f""", file AS ({_FILE.format(v="var").replace("STRING", "VARCHAR")}),
+nb AS (SELECT contig, block, row_number() OVER (ORDER BY contig, min(pos), block) AS bi, string_agg(replace(rsid, ':', '_'), ',' ORDER BY idx) AS ids FROM pv GROUP BY contig, block),
+x AS (SELECT file.*, pv.hap_a, bi, ids, gw.gw_confidence AS conf, gw.max_maf AS top, coalesce(gw.gw, pv.f) AS g FROM file LEFT JOIN pv ON pv.contig = file.contig AND pv.variant_id = file.variant_id LEFT JOIN nb ON nb.contig = pv.contig AND nb.block = pv.block LEFT JOIN gw ON gw.contig = pv.contig AND gw.block = pv.block),
+y AS (SELECT *, CASE WHEN hap_a IS NULL THEN '0/1' WHEN hap_a = 0 THEN '0|1' ELSE '1|0' END AS pg, CASE WHEN hap_a IS NULL OR g IS NULL THEN gt WHEN xor(hap_a, g) = 0 THEN '0|1' ELSE '1|0' END AS pw, hap_a IS NOT NULL AND conf >= 0.9 AS sure FROM x),
+z AS (SELECT *, hap_a IS NOT NULL AND NOT sure AS open, CASE WHEN sure AND g IS NOT NULL THEN pw WHEN hap_a IS NOT NULL AND NOT sure THEN pg ELSE gt END AS new FROM y)
+SELECT contig, pos, concat_ws(chr(9), contig, pos, rsid, ref, alt, qual, filter, info, format || ':PG:PB:PI:PW:PC:PM' || CASE WHEN open THEN ':PS' ELSE '' END,
+  new || CASE WHEN format = 'GT' THEN '' ELSE ':7' END || ':' || pg || ':' || coalesce(ids, '.') || ':' || coalesce(CAST(bi AS VARCHAR), '.') || ':' || pw || ':' || coalesce(CAST(conf AS VARCHAR), '.') || ':' || coalesce(CAST(top AS VARCHAR), '.') || CASE WHEN open THEN ':' || bi ELSE '' END) AS value FROM z""")
+def annotated_vcf(spark, sf_dir):
+    """Lines of the variant file with their phase, blocks numbered over all contigs, open blocks as phase sets."""
+    case = Case(spark, sf_dir, "s")
+    phased = case.phased(case.edges())
+    file = spark.sql(_FILE.format(v="{v}"), v=case.variants)
+    own = vcf_annotate.phase_fields(phased, case.variants, H.genome_phase(phased, case.variants, 0))
+    own = own.join(file.select("contig", "variant_id", "uid"), ["contig", "variant_id"]).drop("variant_id").withColumnRenamed("uid", "variant_id")
+    return vcf_annotate.annotate_rows(file.drop("uid", "variant_id", "gt"), own, PhaseConfig(gw_phase_vcf=2))
+
+
 # --- cohort ------------------------------------------------------------------------
 
 _COHORT = f"""WITH cc AS ({duck("cohort_counts")}), gt AS ({duck("cohort_gt")}), mp AS ({duck("cohort_map")}), pr AS ({duck("cohort_pairs")}),
@@ -174,24 +222,27 @@ def cis_var_afc(spark, sf_dir):
     return cohort(spark, sf_dir)[0].select("xindex", "var_id", "vcf_sample", "kind", F.round("afc", 9).alias("afc"), "ref_count", "alt_count")
 
 
-@query("cis_var_median", _COHORT + " SELECT var_id, kind, count(*) AS n, round(median(afc), 9) + 0 AS median, round(median(abs(afc)), 9) AS median_abs FROM af GROUP BY ALL")
+def cohort_effects(spark, sf_dir) -> DataFrame:
+    """The effects table of the cohort; values to nine digits, so that equal ones are ties everywhere."""
+    rows, pairs = cohort(spark, sf_dir)
+    return cis_effect.effects(rows.withColumn("afc", F.round("afc", 9)), pairs, CisConfig())
+
+
+@query("cis_var_median", _COHORT + """, m AS (SELECT xindex, gene_id AS gene, var_id, kind, count(*) AS n, median(round(afc, 9)) AS mid, median(abs(round(afc, 9))) AS mid_abs FROM af GROUP BY ALL)
+SELECT gene, var_id, coalesce(max(n) FILTER (kind = 'het'), 0) AS het_n, coalesce(max(n) FILTER (kind = 'hom'), 0) AS hom_n, round(max(mid) FILTER (kind = 'het'), 6) + 0 AS het_median, round(max(mid_abs) FILTER (kind = 'het'), 6) AS het_abs_median,
+  round(max(mid) FILTER (kind = 'hom'), 6) + 0 AS hom_median, round(max(mid_abs) FILTER (kind = 'hom'), 6) AS hom_abs_median FROM m GROUP BY xindex, gene, var_id""")
 def cis_var_median(spark, sf_dir):
-    return cohort(spark, sf_dir)[0].groupBy("var_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("afc"), 9).alias("median"), F.round(F.median(F.abs("afc")), 9).alias("median_abs"))
+    mids = [F.when(~F.isnan(c), F.round(c, 6) + 0).alias(c) for c in ("het_median", "het_abs_median", "hom_median", "hom_abs_median")]
+    return cohort_effects(spark, sf_dir).select("gene", "var_id", F.col("var_het_n").alias("het_n"), F.col("var_hom_n").alias("hom_n"), *mids)
 
 
-@query("cis_var_ranksum", _COHORT + """, r AS (SELECT var_id, kind, rank() OVER (PARTITION BY var_id ORDER BY x) + (count(*) OVER (PARTITION BY var_id, x) - 1) / 2.0 AS rk FROM (SELECT var_id, kind, round(abs(afc), 9) AS x FROM af)),
-s AS (SELECT var_id, count(*) FILTER (kind = 'het') AS n1, count(*) FILTER (kind = 'hom') AS n2, sum(rk) FILTER (kind = 'het') AS r1 FROM r GROUP BY var_id)
-SELECT var_id, n1, n2, round((r1 - n1 * (n1 + n2 + 1) / 2.0) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0), 9) AS z FROM s WHERE n1 > 0 AND n2 > 0""")
+@query("cis_var_ranksum", _COHORT + """, r AS (SELECT var_id, kind, rank() OVER (PARTITION BY var_id ORDER BY x) + (count(*) OVER (PARTITION BY var_id, x) - 1) / 2.0 AS rk FROM (SELECT var_id, kind, abs(round(afc, 9)) AS x FROM af)),
+s AS (SELECT var_id, count(*) FILTER (kind = 'het') AS n1, count(*) FILTER (kind = 'hom') AS n2, sum(rk) FILTER (kind = 'het') AS r1 FROM r GROUP BY var_id),
+z AS (SELECT var_id, abs((r1 - n1 * (n1 + n2 + 1) / 2.0) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0)) / sqrt(2.0) AS x FROM s WHERE n1 > 0 AND n2 > 0)
+SELECT var_id, round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda i: (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * (CASE WHEN x = 0 THEN 0 ELSE exp((2 * i + 1) * ln(x) - lgamma(i + 1)) END) / (2 * i + 1))), 6) + 0 AS p FROM z""")
 def cis_var_ranksum(spark, sf_dir):
-    """Average ranks as window functions; groups stay distributed."""
-    from pyspark.sql import Window
-
-    x = cohort(spark, sf_dir)[0].select("var_id", "kind", F.round(F.abs("afc"), 9).alias("x"))
-    rank = F.rank().over(Window.partitionBy("var_id").orderBy("x")) + (F.count(F.lit(1)).over(Window.partitionBy("var_id", "x")) - 1) / 2.0
-    s = x.withColumn("rk", rank).groupBy("var_id").agg(F.count_if(F.col("kind") == "het").alias("n1"), F.count_if(F.col("kind") == "hom").alias("n2"), F.sum(F.when(F.col("kind") == "het", F.col("rk"))).alias("r1"))
-    n1, n2 = F.col("n1"), F.col("n2")
-    z = (F.col("r1") - n1 * (n1 + n2 + 1) / 2.0) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0)
-    return s.where("n1 > 0 and n2 > 0").select("var_id", "n1", "n2", F.round(z, 9).alias("z"))
+    """Two-sided p of the rank sums; the SQL sums the series of the error function."""
+    return cohort_effects(spark, sf_dir).where(~F.isnan("het_hom_pvalue")).select("var_id", (F.round("het_hom_pvalue", 6) + 0).alias("p"))
 
 
 @query("cis_var_effects")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandspark.operators.gene_expression import cell_counts
 from strandspark.sources.bgzf import Regions, comment_lines, is_blocked, is_indexed, read_lines, whole_contigs, windows_of
 
 VCF_COLUMNS = ("contig", "pos", "rsid", "ref", "alt", "qual", "filter", "info", "format")
@@ -173,12 +174,18 @@ def read_gene_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str, genes: DataFrame | None = None, chrom: str | None = None) -> DataFrame:
-    """Gene by sample matrix; only the given genes (column ``gene_id``) and contig."""
-    out = spark.read.option("sep", "\t").option("header", True).csv(path)
-    out = out.withColumnRenamed("#contig", "contig").withColumns({"start": F.col("start").try_cast("long"), "stop": F.col("stop").try_cast("long")})
+    """(contig, start, stop, name, sample, a, b) of a gene by sample matrix of any width: cells are
+    taken from the split line by their place, without a column for each sample. Only the given
+    genes (column ``gene_id``) and contigs; an indexed file is read at these only."""
+    head = _comments(spark, path, "#")
+    if not head:
+        raise ValueError(f"{path} has no header")
+    rows = _fields(spark, path, regions=whole_contigs(chrom)).select(F.get("c", F.lit(0)).alias("contig"), F.get("c", F.lit(1)).try_cast("long").alias("start"), F.get("c", F.lit(2)).try_cast("long").alias("stop"), F.get("c", F.lit(3)).alias("name"), F.slice("c", 5, F.greatest(F.size("c") - 4, F.lit(0))).alias("cells"))
     if chrom:
-        out = out.where(F.col("contig") == chrom)
-    return out if genes is None else out.join(genes.select(F.col("gene_id").alias("name")), "name", "left_semi").select(*out.columns)
+        rows = rows.where(F.col("contig").isin(chrom.split(",")))
+    if genes is not None:
+        rows = rows.join(genes.select(F.col("gene_id").alias("name")), "name", "left_semi")
+    return cell_counts(rows, head[0].split("\t")[4:])
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandspark.operators.gene_expression import Matrix
+
 
 def as_text(df: DataFrame, name: str) -> Column:
     """A column's text: ``nan``, ``inf`` and ``-inf`` for those, ``nan`` for null numbers."""
@@ -22,14 +24,26 @@ def write_tsv(df: DataFrame, path: str, names: list[str] | None = None, single:
     (out.coalesce(1) if single else out).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("comment", "\u0001").option("emptyValue", "").option("nullValue", "").csv(path)
 
 
-def write_matrix(df: DataFrame, path: str, single: bool = True) -> None:
-    write_tsv(df, path, ["#contig", *df.columns[1:]], single)
+def write_matrix(matrix: Matrix, path: str, single: bool = True) -> None:
+    """Rows in the features' order under a header line, whatever the number of samples."""
+    key = [F.col(c).cast("string") for c in ("contig", "start", "stop", "name")]
+    lines = matrix.rows.select("feature", F.concat_ws("\t", *key, F.array_join("cells", "\t")).alias("value"))
+    _with_header(lines, ["\t".join(["#contig", "start", "stop", "name", *map(str, matrix.names)])], ["feature"], path, single)
+
+
+def write_lines(df: DataFrame, header: list[str], path: str, single: bool = False) -> None:
+    """Header lines and one column ``value`` in the order of contig and pos, as one folder
+    whose files, in the order of their names, are the text; ``single``: as one file in it."""
+    _with_header(df, header, ["contig", "pos"], path, single)
 
 
-def write_lines(df: DataFrame, header: list[str], path: str) -> None:
-    """A text file of header lines and one column ``value`` in the order of contig and pos:
-    range-partitioned files whose names sort as the rows do; the header is a file of its
-    own that sorts first."""
+def _with_header(df: DataFrame, header: list[str], by: list[str], path: str, single: bool) -> None:
     spark = df.sparkSession
-    df.orderBy("contig", "pos").select("value").write.mode("overwrite").text(f"{path}/rows")
-    spark.createDataFrame([(h,) for h in header], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    top = spark.createDataFrame(list(enumerate(header)), "_line int, value string")
+    rows = df.select("value", *by, F.lit(None).cast("int").alias("_line")).unionByName(top, allowMissingColumns=True)
+    order = [F.col("_line").asc_nulls_last(), *by]
+    if single:
+        rows = rows.coalesce(1).sortWithinPartitions(*order)
+    else:
+        rows = rows.orderBy(*order)
+    rows.select("value").write.mode("overwrite").text(path)

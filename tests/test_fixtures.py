@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandspark.functions import fields, stats
-from strandspark.functions.cigar import allele_at, segments, walk
+from strandspark.functions.cigar import allele_at, segments
 from strandspark.operators import cis_effect, compound, edges, gene_expression, haplotypes, intervals, phasing
 from strandspark.config import GeneConfig, per_bam
+from tests.walks import allele, walk
 
 
 def alleles(spark, cigar, seq, sites, qual=None, rebase=True, pos=100):
@@ -48,6 +49,44 @@ def test_insertion_after_splice(spark):
     assert alleles(spark, *args)[113, 1] == "TAA" and alleles(spark, *args, rebase=False)[113, 1] == "T"
 
 
+def test_reads_as_a_plain_walk(spark):
+    """Random alignments of every operation: the alleles of all places, both ways of looking insertions up."""
+    import random
+
+    r = random.Random(7)
+    reads = []
+    for i in range(120):
+        ops = [(r.randint(1, 5), r.choice("MMMMIDNSHPX=")) for _ in range(r.randint(1, 9))]
+        n = sum(k for k, o in ops if o in "MISX=")
+        reads.append((i, "".join(f"{k}{o}" for k, o in ops), "".join(r.choices("ACGTDN", k=n)), "".join(r.choices("#I", [1, 4], k=n))))
+    reads.append((900, "*", "ACG", "III"))
+    reads += [(901, "9M", "ACG", "III"), (902, "3M", "ACGT", "I")]
+    df = spark.createDataFrame(reads, "i int, cigar string, seq string, qual string")
+    for rebase in (True, False):
+        seg = df.select("i", F.explode(segments(F.col("cigar"), F.col("seq"), F.col("qual"), 10, rebase)).alias("s")).where("length(s.pseudo) > 0")
+        seg = seg.withColumn("k", F.explode(F.sequence(F.lit(0), F.length("s.pseudo") - 1))).withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where("k + n <= length(s.pseudo)")
+        got = {(x["i"], x["at"], x["n"]): x["a"] for x in seg.select("i", (F.col("s.off_start") + F.col("k")).alias("at"), "n", allele_at(F.col("s.pseudo"), F.col("s.ins"), F.col("k"), F.col("n")).alias("a")).collect()}
+        want = {}
+        for i, cigar, seq, qual in reads:
+            for part in walk(cigar, seq, qual, 10, rebase):
+                for k in range(len(part["pseudo"])):
+                    want |= {(i, part["off_start"] + k, n): allele(part, k, n) for n in (1, 2, 3) if k + n <= len(part["pseudo"])}
+        assert got == want
+
+
+def test_reads_away_from_sites_are_not_walked(spark):
+    from strandspark.operators import observe
+
+    sites = spark.createDataFrame([("1", "v", 40_000, 1, ["A", "C"]), ("1", "w", 900_000, 1, ["A", "C"]), ("2", "u", 5, 1, ["A", "C"])], "contig string, variant_id string, pos long, ref_len int, alleles array<string>")
+    places = [("1", 1), ("1", 39_998), ("1", 32_766), ("1", 50_000), ("1", 899_000), ("1", 10_000_000), ("2", 1), ("2", 99_000), ("3", 5), (None, 5)]
+    reads = spark.createDataFrame([(f"r{k}", c, p, "4M", "ACGT", "IIII", 1, 0) for k, (c, p) in enumerate(places)] + [("long", "1", 1, "2M60000N2M", "ACGT", "IIII", 1, 0), ("jump", "1", 100_000, "2M799998N2M", "ACGT", "IIII", 1, 0)], "qname string, rname string, pos long, cigar string, seq string, qual string, as_score int, bam int")
+    near = {x["qname"] for x in reads.where(observe.occupied(sites)).collect()}
+    assert near == {"r1", "r2", "r4", "r6", "long", "jump"}
+    spoilt = reads.withColumn("seq", F.when(F.col("qname").isin(list(near)), F.col("seq")).otherwise((F.lit(1) / (F.col("pos") * 0)).cast("string")))
+    assert {(x["read_id"], x["variant_id"]) for x in observe.observe(spoilt, sites).collect()} == {("r1", "v"), ("jump", "w")}
+    assert reads.where(observe.occupied(sites.limit(0))).count() == 0
+
+
 def test_soft_clip(spark):
     assert alleles(spark, "2S3M", "NNACG", [(100, 1)])[100, 1] == "A"
 
@@ -165,7 +204,8 @@ def test_matrix(spark):
     every, phased = gene_expression.matrix(genes, feats), gene_expression.matrix(genes, feats, phased_only=True)
     assert every.columns == ["contig", "start", "stop", "name", "s", "t"]
     assert tuple(every.first())[4:] == ("3|4", "1|4") and tuple(phased.first())[4:] == ("0|0", "1|4")
-    assert sorted(tuple(r)[4:] for r in gene_expression.matrix_long(every).collect()) == [("s", 3, 4), ("t", 1, 4)]
+    own = gene_expression.matrix_cells(genes, feats)
+    assert sorted(tuple(r)[4:] for r in gene_expression.cell_counts(own.rows, own.names).collect()) == [("s", 3, 4), ("t", 1, 4)]
 
 
 def test_bam_names(spark):

@@ -93,3 +93,30 @@ def test_components(spark, seed):
     names = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "u string, v string")
     assert len(set(dict(components(names).collect()).values())) == len(set(want.values()))
     assert components(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 31, 64])
+def test_medians_as_of_drawn_resamples(n):
+    """The same distribution as of resamples that are drawn value by value."""
+    import numpy as np
+
+    from strandspark.functions.stats import resampled_medians
+
+    rng = np.random.default_rng(n)
+    values = np.sort(rng.normal(size=n).round(1))
+    times = 60_000
+    quick = resampled_medians(values, times, rng)
+    drawn = np.median(rng.choice(values, (times, n)), axis=1)
+    spots = np.unique(np.concatenate([quick, drawn]).round(9))
+    share = lambda x: np.searchsorted(np.sort(x.round(9)), spots, "right") / times
+    assert np.abs(share(quick) - share(drawn)).max() < 1.95 * np.sqrt(2 / times)
+
+
+def test_median_of_few_values_exactly():
+    """Three values: the median's ranks have 7, 13 and 7 of 27 chances."""
+    import numpy as np
+
+    from strandspark.functions.stats import resampled_medians
+
+    got = resampled_medians(np.array([1.0, 2.0, 3.0]), 270_000, np.random.default_rng(1))
+    assert np.allclose([(got == v).mean() for v in (1, 2, 3)], [7 / 27, 13 / 27, 7 / 27], atol=0.004)
