@@ -12,9 +12,10 @@ main elements) that hold most of them, else the smallest element around them all
 widened as long as that adds no linked text. Blocks of the region that lie beside the
 content nodes' own parts only stay if they are running text or headings.
 
-Names are a prior, not the judge: class and id words of page furniture multiply a
-path's score by ``PRIOR``, so a text under such a name stays where it outweighs the
-rest of the page by far. A name counts only if all its words are about furniture or layout
+Names are a prior: class and id words of page furniture (reader comments too) multiply a
+path's score by ``PRIOR``, and by nothing where some block outside is text, however
+short the article and many the comments; so a text under such a name stays only where it
+outweighs all else by far and nothing else reads like a text. A name counts only if all its words are about furniture or layout
 (``social-share``, not ``social-policy``). Elements that mean furniture (menus,
 footers, page headers, sidebars, dialogs) and hidden ones are not read, unless
 a page holds nothing else; then only paths of whole sentences count.
@@ -79,7 +80,7 @@ NOISE = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner banners sponsor sponsored promo promotion sidebar nav navbar navigation menu menus "
     "breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe "
     "subscription signup signin login register social share sharing related recommended recommendations comment comments commentlist disqus reply replies respond "
-    "discussion widget toolbar pagination pager copyright disclaimer skip".split()
+    "discussion reviews widget toolbar pagination pager copyright disclaimer skip".split()
 )
 #: Words that go with them without naming a subject.
 PLAIN = frozenset(
@@ -90,7 +91,7 @@ PLAIN = frozenset(
 #: Words that make a name a statement about the layout (``with-sidebar``).
 LAYOUT = frozenset("has have with no without hide show is".split())
 PRIOR = 0.02
-#: Without any other text, furniture counts as main text from this mean length on, with a sentence mark.
+#: From this length on, with a sentence mark and few links, a block is text (of furniture alone: on a path's average).
 SENTENCE = 80
 
 #: What an element's start says about it: nothing; furniture by its name; the header of an
@@ -279,7 +280,9 @@ def path_scores(p: Page) -> tuple[np.ndarray, np.ndarray, float]:
     marks = np.array([len(PUNCTUATION.findall(t)) for _, t, _ in p.blocks], float)
     links = np.minimum(size, [x for _, _, x in p.blocks])
     named = np.array([p.named[i] for i, _, _ in p.blocks])
-    prior = np.where(named > named.min(), PRIOR, 1.0)
+    clear = named == named.min()
+    text = clear & (size >= SENTENCE) & (marks > 0) & (2 * links < size)
+    prior = np.where(clear, 1.0, 0.0 if text.any() else PRIOR)
     length, punctuation = smooth(mean(size)[path]), smooth(mean(marks)[path])
     share = np.bincount(path, size) / size.sum()
     fused = length * (1 + punctuation) * ((1 - mean(links) / mean(size)) * share)[path] * prior

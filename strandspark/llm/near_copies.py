@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strandspark.llm.simhash import LOWER
 from strandspark.llm.substrings import keep_held, bitmap_of, holds
-from strandspark.llm.texts import free_name, map_texts
+from strandspark.llm.texts import free_name, map_texts, quoted
 from strandspark.operators.graph import components
 from strandspark.runtime import fewer, written
 
@@ -200,5 +200,5 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = docs.withColumn(name, key)
     rest, own = keep_held(own, name, held, False), keep_held(own, name, held)
     at = F.col(id_col).eqNullSafe(named["id"]) & (F.col(name) == named["key"])
-    once = own.join(named.where("once"), at, "left_semi").groupBy(id_col, name).agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return rest.select(*docs.columns).unionByName(own.join(named, at, "left_anti").select(*docs.columns)).unionByName(once.select("row.*"))
+    once = own.join(named.where("once"), at, "left_semi").groupBy(id_col, name).agg(F.first(F.struct(*quoted(docs.columns))).alias("row"))
+    return rest.select(*quoted(docs.columns)).unionByName(own.join(named, at, "left_anti").select(*quoted(docs.columns))).unionByName(once.select("row.*"))

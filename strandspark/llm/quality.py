@@ -8,9 +8,10 @@ Punctuation: a line has to end its sentences; a short one may be a heading, and
 last sentence of a long one may be cut off. Words must not be noise. Navigation: a line
 may not consist of separators to a good part. Boilerplate: fixed phrases in the
 corpus's languages, and what the corpus itself shows to be boilerplate: lines that
-stand in many documents, each time between other lines. Neighbours are counted instead of
-documents, so the lines of a text that has very many copies are not mistaken for
-boilerplate. There can only be few such lines (all lines of the corpus divided by
+stand in many documents, each time between other lines. A line's neighbours are counted by one
+document each (the one with the smallest id that has it between them), so neither
+the lines of a text that has very many copies nor a refrain inside one text are mistaken
+for boilerplate. There can only be few such lines (all lines of the corpus divided by
 ``common_percent`` of its documents); their hashes are all that reaches the driver.
 
 Defined results: a null or empty text has no words, all counts 0, fails the base
@@ -55,7 +56,7 @@ class LineRules:
     #: Separators of menus and breadcrumbs, and their share of a line's words.
     separators: tuple[str, ...] = ("|", "»", ">", "•", "::", "/", "·", "›", "→")
     max_separator_percent: int = 20
-    #: A line with as many different neighbours as this percentage of documents is boilerplate,
+    #: A line that has different neighbours in as many documents as this percentage of all is boilerplate,
     #: from this number of them on.
     common_percent: int = 2
     common_least: int = 20
@@ -127,14 +128,15 @@ class Judge:
 LINE_SEED = 42
 
 
-def common_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> frozenset[int]:
+def common_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules(), id_col: str = "doc_id") -> frozenset[int]:
     """Hashes of the lines that the corpus shows to be boilerplate (see the module)."""
     text = F.col(text_col)
     h = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(x))
     before, after = F.concat(F.array(F.lit(None).cast("long")), F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0)))), F.concat(F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), F.array(F.lit(None).cast("long")))
-    lines = docs.where(text.isNotNull()).select(F.explode(F.arrays_zip(h.alias("line"), before.alias("before"), after.alias("after"))).alias("x")).select("x.line", F.xxhash64("x.before", F.lit(0), "x.after").alias("between"))
+    lines = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc"), F.explode(F.arrays_zip(h.alias("line"), before.alias("before"), after.alias("after"))).alias("x")).select("doc", "x.line", F.xxhash64("x.before", F.lit(0), "x.after").alias("between"))
+    places = lines.groupBy("line", "between").agg(F.min("doc").alias("doc")).select("line", F.coalesce(F.col("doc").cast("string"), F.lit("")).alias("doc"))
     least = max(rules.common_least, -(-rules.common_percent * docs.count() // 100))
-    found = lines.distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    found = places.distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return frozenset(r["line"] % (1 << 64) for r in found.select("line").collect())
 
 
@@ -167,7 +169,7 @@ def judge(text: str | None, by: Judge) -> tuple:
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """Signals, verdict and cleaned text of each document (see the module)."""
-    by = docs.sparkSession.sparkContext.broadcast(Judge(rules, common_lines(docs, text_col, rules)))
+    by = docs.sparkSession.sparkContext.broadcast(Judge(rules, common_lines(docs, text_col, rules, id_col)))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     types = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}
     kinds = [types[x.split()[1]] for x in SCHEMA.split(", ")]
@@ -180,10 +182,10 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
 
 
-def keep_clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: LineRules = LineRules()) -> DataFrame:
+def keep_clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: LineRules = LineRules(), id_col: str = "doc_id") -> DataFrame:
     """The kept documents with all their columns, without the lines that fail;
     ``chars_col``, where there is one, is the new text's number of characters."""
-    by = docs.sparkSession.sparkContext.broadcast(Judge(rules, common_lines(docs, text_col, rules)))
+    by = docs.sparkSession.sparkContext.broadcast(Judge(rules, common_lines(docs, text_col, rules, id_col)))
 
     def run(it):
         for whole in it:

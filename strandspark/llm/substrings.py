@@ -41,7 +41,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.texts import ROWS, free_name, map_texts, words
+from strandspark.llm.texts import ROWS, free_name, map_texts, quoted, words
 from strandspark.runtime import fewer, forget, written
 
 WINDOW = 35
@@ -283,12 +283,12 @@ def without(text: str, gone: np.ndarray) -> str:
 def _cut(docs: DataFrame, spans: DataFrame | None, id_col: str, text_col: str, build: Callable, schema: str) -> DataFrame:
     """``build(batch, texts, marks)`` of the rows with their spans: marks are arrays of
     lost words, or None where nothing is lost."""
-    mark, key = free_name(docs.columns, "spans"), free_name(docs.columns, "key")
+    mark, key, other = (free_name(docs.columns, n) for n in ("spans", "key", "span_key"))
     if spans is None:
         joined = docs.withColumn(mark, F.lit(None).cast("array<struct<start:int,mask:bigint>>"))
     else:
         own = docs.withColumn(key, row_key(id_col, text_col))
-        joined = own.join(spans.select(F.col("key").alias("__span_key"), F.col("spans").alias(mark)), F.col(key) == F.col("__span_key"), "left").select(*docs.columns, mark)
+        joined = own.join(spans.select(F.col("key").alias(other), F.col("spans").alias(mark)), F.col(key) == F.col(other), "left").select(*quoted(docs.columns), mark)
 
     def run(it):
         for whole in it:
@@ -309,7 +309,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     space) and kept_text (the text with its own white space) in new columns
     ``sub_n_words``, ``sub_n_removed``, ``sub_kept_words``, ``sub_kept_text``."""
     names = ("sub_n_words", "sub_n_removed", "sub_kept_words", "sub_kept_text")
-    docs = docs.select(*[c for c in docs.columns if c not in names])
+    docs = docs.select(*quoted([c for c in docs.columns if c not in names]))
 
     def build(b: pa.RecordBatch, texts: list, marks: list) -> pa.RecordBatch:
         n, lost, kept, left = [], [], [], []

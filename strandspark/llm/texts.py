@@ -45,3 +45,8 @@ def free_name(columns: list[str], name: str) -> str:
     while (name := "_" + name).lower() in have:
         pass
     return name
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by name, whatever characters it has."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]

@@ -125,9 +125,10 @@ def brute_scores(p):
     weight = {d: math.exp(-d * d / 0.5) for d in range(-r, r + 1)}
     near = lambda k, j: sum(w * rows[min(max(k + d, 0), len(rows) - 1)][j] for d, w in weight.items()) / sum(weight.values())
     least = min(p.named[i] for i, _, _ in p.blocks)
+    outside = any(p.named[i] == least and len(t) >= H.SENTENCE and any(c in ".,;:!?…。，、！？；：¿¡" for c in t) and 2 * x < len(t) for i, t, x in p.blocks)
     whole = sum(x[0] for v in per.values() for x in v)
     share = {k: sum(x[0] for x in v) / whole for k, v in per.items()}
-    fused = [near(k, 0) * (1 + near(k, 1)) * (1 - rows[k][2] / rows[k][0]) * share[p.path[i]] * (1 if p.named[i] == least else H.PRIOR) for k, (i, _, _) in enumerate(p.blocks)]
+    fused = [near(k, 0) * (1 + near(k, 1)) * (1 - rows[k][2] / rows[k][0]) * share[p.path[i]] * (1 if p.named[i] == least else 0 if outside else H.PRIOR) for k, (i, _, _) in enumerate(p.blocks)]
     by_path = defaultdict(list)
     for (i, _, _), x in zip(p.blocks, fused):
         by_path[p.path[i]].append(x)
@@ -181,3 +182,19 @@ def test_time_is_linear_in_depth(make):
         main_text(make(n))
         took.append(time.process_time() - began)
     assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_comments_never_replace_an_article():
+    """However short the article, and however many and long the comments."""
+    sentence = "The river rose in the night, and by the morning the lower fields were under water again. "
+    for paragraphs, times, comments, name in ((1, 1, 30, "comments"), (5, 3, 120, "comments"), (8, 3, 300, "reader-reviews"), (1, 1, 400, "disqus-thread")):
+        body = "".join(f"<p>{(sentence * times).strip()} Part {i}.</p>" for i in range(paragraphs))
+        said = "".join(f"<div class='comment'><p>I think that this is so true, {i} of us saw it; thank you for it, all of you! {sentence * 2}</p></div>" for i in range(comments))
+        got = H.main_text(f"<html><body><h1>The flood</h1>{body}<div class='{name}'>{said}</div></body></html>")
+        assert got.split("\n\n") == ["The flood", *[f"{(sentence * times).strip()} Part {i}." for i in range(paragraphs)]]
+
+
+def test_text_under_a_name_of_furniture_alone():
+    sentence = "The river rose in the night, and by the morning the lower fields were under water again. "
+    page = f"<html><body><p>Home</p><div class='widget'><p>{sentence * 4}</p><p>{sentence * 3}</p></div></body></html>"
+    assert H.main_text(page).count("river") == 7

@@ -36,7 +36,7 @@ def test_run(spark):
 
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    by = Judge(LineRules(), frozenset(xxhash.xxh64_intdigest(x.encode(), LINE_SEED) for x in brute_common([r["text"] for r in rows])))
+    by = Judge(LineRules(), frozenset(xxhash.xxh64_intdigest(x.encode(), LINE_SEED) for x in brute_common([(r["doc_id"], r["text"]) for r in rows])))
     docs = []
     for r in rows:
         j = judge(r["text"], by)
@@ -65,3 +65,13 @@ def test_stages_keep_columns(spark, docs, no_docs):
             d = spark.createDataFrame(d2.collect(), d.schema)
             assert empty == (d.count() == 0), name
         assert corpus_pipeline.STAGES[-1][1](spark, d, "").count() == d.count()
+
+
+def test_stages_with_awkward_column_names(spark, docs):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "__span_key", "_span_key", "_key", "a.b", "c`d", "node", "root"]
+    d = docs.select("doc_id", "text", "lang", "source", "n_chars", *["k"] * 7).toDF(*names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, "")
+        assert out.columns == names, name
+        rows = out.collect()
+        assert rows and {r["a.b"] for r in rows} == {1} and {r["__span_key"] for r in rows} == {1}, name

@@ -53,34 +53,54 @@ def test_empty(no_docs):
     assert clean_lines(no_docs).collect() == [] and keep_clean(no_docs).collect() == []
 
 
-def brute_common(texts, rules=LineRules()):
-    between = defaultdict(set)
-    for t in texts:
+def brute_common(docs, rules=LineRules()):
+    """``docs``: (id, text). A line's neighbours count by their first document each."""
+    first = {}
+    for i, t in docs:
         lines = [x for x in (t or "").split("\n") if WORD.search(x)]
         for before, x, after in zip([None, *lines], lines, [*lines[1:], None]):
-            between[x].add((before, after))
-    return {x for x, v in between.items() if len(v) >= rules.common_least and 100 * len(v) >= rules.common_percent * len(texts)}
+            old = first.setdefault((x, before, after), i)
+            first[x, before, after] = old if i is None else i if old is None else min(i, old)
+    found = defaultdict(set)
+    for (x, _, _), i in first.items():
+        found[x].add(i)
+    return {x for x, v in found.items() if len(v) >= rules.common_least and 100 * len(v) >= rules.common_percent * len(docs)}
 
 
 def test_common_lines_against_brute_force(spark):
     """A line of many documents is boilerplate; the lines of a text with many copies, exact
-    or near, are not."""
+    or near, are not, nor is a refrain inside one text or its copies."""
     r = random.Random(3)
     line = lambda n: " ".join(r.choices(["ab", "cd", "ef", "gh"], k=n)) + "."
     texts = ["\n".join([line(9), "Footer of all.", " \t", line(8)]) for _ in range(60)]
     copied = "\n".join(line(9) for _ in range(6))
     texts += [copied] * 200 + [copied.replace("ab", "xy", i % 7) for i in range(100)]
     texts += [None, "", "\n\n", "Footer of all."] + ["x.\nHead\n" * (i + 1) for i in range(19)]
-    df = spark.createDataFrame([(t, 1, "z") for t in texts], "text string, line int, between string").repartition(4)
-    want = brute_common(texts)
+    song = "\n".join(x for _ in range(40) for x in (line(8), "And this is the refrain of the song."))
+    texts += [song, song, song]
+    docs = [(i if i % 50 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*d, 1, "z") for d in docs], "doc_id long, text string, line int, between string").repartition(4)
+    want = brute_common(docs)
     assert common_lines(df) == {xxhash.xxh64_intdigest(x.encode(), LINE_SEED) for x in want}
-    assert "Footer of all." in want and not want & set(copied.split("\n"))
+    assert "Footer of all." in want and not want & set(copied.split("\n")) and not want & set(song.split("\n"))
     assert common_lines(df.limit(0)) == frozenset()
 
 
+def test_refrain_stays_and_footer_goes(spark):
+    """Sixty documents, one with a refrain of thirty times, all with a footer."""
+    r = random.Random(5)
+    line = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(9)) + "."
+    plain = ["\n".join([line() for _ in range(12)] + ["Our footer stands here."]) for _ in range(59)]
+    song = "\n".join(x for _ in range(30) for x in (line(), "This is the refrain of it.")) + "\nOur footer stands here."
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*plain, song])], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in clean_lines(df).collect()}
+    assert got[59]["kept"] and got[59]["cleaned"].count("refrain") == 30
+    assert all(x["n_lines_removed"] == 1 and "footer" not in x["cleaned"] for x in got.values())
+
+
 def test_whole_table_of_common_lines(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    want = brute_common([r["text"] for r in docs.select("text").collect()])
+    want = brute_common([tuple(r) for r in docs.select("doc_id", "text").collect()])
     assert want and common_lines(docs) == {xxhash.xxh64_intdigest(x.encode(), LINE_SEED) for x in want}
 
 
