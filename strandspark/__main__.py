@@ -25,6 +25,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{x}", required=True)
         for x in optional:
             p.add_argument(f"--{x}")
+        p.add_argument("--threads", type=int, default=0, help="cores of a session on this machine; a cluster has its own")
+        p.add_argument("--temp_dir", default="", help="folder for tables between steps, shared by driver and executors")
         for f in fields(config) if config else ():
             default = f.default if f.default is not MISSING else f.default_factory()
             if isinstance(default, bool):
@@ -44,7 +46,12 @@ def main(argv: list[str] | None = None) -> None:
     from strandspark.sources import writers
 
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.getOrCreate()
+    session = SparkSession.builder
+    if args.threads:
+        session = session.config("spark.master", f"local[{args.threads}]")
+    if args.temp_dir:
+        session = session.config("spark.checkpoint.dir", args.temp_dir)
+    spark = session.getOrCreate()
     kind = PROGRAMS[args.program][0]
     config = kind(**{f.name: getattr(args, f.name) for f in fields(kind)}) if kind else None
     if args.program == "phase":

@@ -40,11 +40,19 @@ class PhaseConfig:
     output_read_ids: bool = False
     output_network: str | None = None
     haplo_count_bam_exclude: tuple[int, ...] = field(default_factory=tuple)
+    #: Write the annotated variant file.
+    write_vcf: bool = True
+    #: Each contig by itself: noise rate and score cutoff are the contig's own.
+    process_slow: bool = False
     #: 'global' or 'contig': rows over which the noise rate and the score cutoff are taken.
     noise_scope: str = "global"
     #: Bug-compatible block merging and insertion lookup.
     compat: bool = False
 
+    @property
+    def by_contig(self) -> bool:
+        return self.process_slow or self.noise_scope == "contig"
+
 
 @dataclass(frozen=True)
 class GeneConfig:

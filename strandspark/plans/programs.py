@@ -28,17 +28,21 @@ def read_alignments(spark: SparkSession, paths: list[str], sites: DataFrame | No
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
-def observations(spark: SparkSession, sams: list[str], sites: DataFrame, config: PhaseConfig) -> DataFrame:
-    """Allele observations of all files, after the read filters and score cutoffs."""
-    reads = read_alignments(spark, sams, sites)
-    n = len(sams)
+def filtered(reads: DataFrame, config: PhaseConfig, n: int) -> DataFrame:
+    """Reads of ``n`` files that pass each file's filters."""
     limits = list(zip(range(n), per_bam(config.mapq, n, "mapq"), [bool(x) for x in per_bam(config.paired_end, n, "paired_end")], per_bam(config.isize, n, "isize")))
-    reads = reads.join(F.broadcast(spark.createDataFrame(limits, "bam int, least_mapq int, paired boolean, most_isize int")), "bam")  # one row a file
+    reads = reads.join(F.broadcast(reads.sparkSession.createDataFrame(limits, "bam int, least_mapq int, paired boolean, most_isize int")), "bam")  # one row a file
     flag, mapq = F.col("flag"), F.col("mapq")
     ok = F.when(F.col("paired"), observe.read_filter(flag, mapq, F.col("least_mapq"), True, config.remove_dups)).otherwise(observe.read_filter(flag, mapq, F.col("least_mapq"), False, config.remove_dups))
     ok = ok & ((F.col("most_isize") == 0) | (F.abs("tlen") <= F.col("most_isize")))
-    obs = observe.observe(reads.where(ok).drop("least_mapq", "paired", "most_isize"), sites, config.baseq, rebase=not config.compat)
-    by = ["bam", "contig"] if config.noise_scope == "contig" else ["bam"]
+    return reads.where(ok).drop("least_mapq", "paired", "most_isize")
+
+
+def observations(spark: SparkSession, sams: list[str], sites: DataFrame, config: PhaseConfig) -> DataFrame:
+    """Allele observations of all files, after the read filters and score cutoffs."""
+    reads = read_alignments(spark, sams, sites)
+    obs = observe.observe(filtered(reads, config, len(sams)), sites, config.baseq, rebase=not config.compat)
+    by = ["bam", "contig"] if config.by_contig else ["bam"]
     return written(edges.keep_scores(obs, config.as_q_cutoff, by), "observations")
 
 
@@ -49,7 +53,7 @@ def phase_reads(spark: SparkSession, vcf_path: str, sams: list[str], config: Pha
     bed = lambda p: readers.read_bed(spark, p) if p else None
     sites = written(variants.het_sites(vcf, config, bed(blacklist), bed(count_blacklist)), "sites")
     obs = observations(spark, sams, sites, config)
-    by = ["contig"] if config.noise_scope == "contig" else []
+    by = ["contig"] if config.by_contig else []
     tests = written(edges.pair_tests(obs, sites, by=by), "tests")
     alive = written(edges.surviving(tests, config.cc_threshold), "edges")
     if not config.unphased_vars:
@@ -94,10 +98,10 @@ def run_metrics(vcf: DataFrame, sites: DataFrame, obs: DataFrame, phased: DataFr
 
 def write_phasing(spark: SparkSession, tables: dict[str, DataFrame], vcf_path: str, out: str, config: PhaseConfig) -> None:
     for name, df in tables.items():
-        if name == "vcf":
+        if name == "vcf" and config.write_vcf:
             head = vcf_annotate.header_lines(readers.vcf_comments(spark, vcf_path), readers.vcf_header(spark, vcf_path), config.sample, config)
             writers.write_lines(df, head, f"{out}.vcf")
-        else:
+        elif name != "vcf":
             writers.write_tsv(df, f"{out}.{name}.txt")
 
 

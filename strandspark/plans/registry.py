@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandspark.plans import core_queries, study_queries
+from strandspark.plans import core_queries, file_queries, study_queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return core_queries.QUERIES | study_queries.QUERIES
+    return core_queries.QUERIES | study_queries.QUERIES | file_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return core_queries.SQL | study_queries.SQL
+    return core_queries.SQL | study_queries.SQL | file_queries.SQL

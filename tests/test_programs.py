@@ -217,3 +217,53 @@ def test_stream(run, spark, tmp_path):
     seen = []
     S.collect_observations(reads, sites, f"{tmp_path}/obs", f"{tmp_path}/c1", lambda df: seen.append(df.count())).awaitTermination(120)
     assert len(seen) == 2 and seen[-1] == observe(readers.read_sam(spark, [str(folder / "a.sam")]), sites).count()
+
+
+def _stream_files(folder, lines, parts, seed):
+    """Reads in files of ``parts`` stretches of the coordinate order (shuffled, with a seed)."""
+    head = [x for x in lines if x[0] == "@"]
+    body = sorted((x for x in lines if x[0] != "@"), key=lambda x: (x.split("\t")[2], int(x.split("\t")[3])))
+    step = -(-len(body) // parts)
+    files = ["".join(head + body[k : k + step]) for k in range(0, len(body), step)]
+    if seed:
+        random.Random(seed).shuffle(files)
+    folder.mkdir()
+    return files
+
+
+@pytest.mark.parametrize("seed", [0, 4])
+def test_incremental_stream_equals_batch(run, spark, tmp_path, seed):
+    """Sorted files: final counts and contigs come as the reads move on, with bounded state.
+    Shuffled ones: with a wait that covers them, the same at the end."""
+    import os
+
+    from strandspark.operators import variants
+    from strandspark.operators.observe import observe
+    from strandspark.streaming import observations as S
+
+    folder, _, config, t = run
+    lines = (folder / "a.sam").read_text().splitlines(keepends=True)
+    sites = variants.het_sites(readers.read_vcf(spark, str(folder / "in.vcf"), "S1"), config).cache()
+    files = _stream_files(tmp_path / "in", lines, 4, seed)
+    for i, text in enumerate(files):
+        (tmp_path / "in" / f"{i}.sam").write_text(text)
+        os.utime(tmp_path / "in" / f"{i}.sam", (1_000_000 + i, 1_000_000 + i))
+    S.write_end(spark, f"{tmp_path}/in")
+    reads = S.read_stream(spark, f"{tmp_path}/in", 1)
+    whole = observe(readers.read_sam(spark, [str(folder / "a.sam")]), sites)
+
+    if not seed:
+        q = S.final_counts(reads, sites, ["1", "2"], 1000).writeStream.format("memory").queryName("final").outputMode("append").option("checkpointLocation", f"{tmp_path}/c0").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        got = [tuple(r) for r in spark.table("final").select("variant_id", "cls", "reads").collect()]
+        want = sorted((r["variant_id"], r["cls"], r["n"]) for r in whole.where("cls < 2").groupBy("variant_id", "cls").agg(F.count_distinct("read_id").alias("n")).collect())
+        assert sorted(got) == want
+        rows = [p["stateOperators"][-1]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        assert rows and max(rows) < sum(n for *_, n in want) and rows[-1] <= 2  # what lies behind is dropped
+
+    out = f"{tmp_path}/phase"
+    S.phase_as_contigs_close(reads, sites, ["1", "2"], out, f"{tmp_path}/c1", PhaseConfig(sample="S1"), wait=0 if not seed else 9).awaitTermination(300)
+    cols = ["contig", "part", "variant_id", "idx", "hap_a"]
+    phased = spark.read.parquet(f"{out}/phased").withColumn("contig", F.col("contig").cast("string"))
+    assert sorted(map(tuple, phased.select(*cols).collect())) == sorted(map(tuple, S.phase_observations(whole, sites, PhaseConfig(sample="S1")).select(*cols).collect()))
+    assert not (tmp_path / "phase" / "late").exists() and not list((tmp_path / "phase" / "open").glob("batch=*/contig=[12]"))
