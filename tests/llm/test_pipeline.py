@@ -68,7 +68,7 @@ def test_stages_keep_columns(spark, docs, no_docs):
 
 
 def test_stages_with_awkward_column_names(spark, docs):
-    names = ["doc_id", "text", "lang", "source", "n_chars", "__span_key", "_span_key", "_key", "a.b", "c`d", "node", "root"]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "__span_key", "_span_key", "_key", "a.b", "c d", "node", "root"]
     d = docs.select("doc_id", "text", "lang", "source", "n_chars", *["k"] * 7).toDF(*names)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, d, "")
