@@ -67,14 +67,14 @@ def test_phase_takes_either_way(spark, cases):
 def test_a_very_large_block(spark):
     """Fragments stay small whatever the block; its phase is found again."""
     r = random.Random(2)
-    n = 20_000
+    n = 6_000
     edges = random_block(r, n, 0.01, 3)
     e = spark.createDataFrame([("c", "b", *x) for x in edges], "contig string, block string, ia int, ib int, config int")
     nodes = spark.range(n).select(F.lit("c").alias("contig"), F.lit("b").alias("block"), F.col("id").cast("int").alias("idx"))
-    got = splitting.phase_large(nodes, e, chunk=5000).orderBy("idx").collect()
+    got = splitting.phase_large(nodes, e, chunk=1500).orderBy("idx").collect()
     want = [(at, at + i, int(x)) for at, c in phasing.phase_block(n, edges) for i, x in enumerate(c)]
     assert [(x["at"], x["idx"], x["hap_a"]) for x in got] == want
-    cuts = [0, *(x["at"] for x in splitting.cut_points(nodes, e, 15, 5000).orderBy("at").collect()), n]
+    cuts = [0, *(x["at"] for x in splitting.cut_points(nodes, e, 15, 1500).orderBy("at").collect()), n]
     assert max(b - a for a, b in zip(cuts, cuts[1:])) <= 15
 
 
