@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strandspark.llm.simhash import LOWER
 from strandspark.llm.substrings import keep_held, bitmap_of, holds
-from strandspark.llm.texts import free_name, map_texts, quoted
+from strandspark.llm.texts import free_name, map_texts, plain_names, quoted, renamed
 from strandspark.operators.graph import components
 from strandspark.runtime import fewer, written
 
@@ -183,6 +183,7 @@ def copy_links(texts: DataFrame, n: int) -> DataFrame:
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of alike texts, with all its columns."""
+    names, docs = docs.columns, plain_names(docs)
     key = text_key(F.col(text_col))
     n = docs.count()
     root = components(copy_links(docs.select(key.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), n))
@@ -201,4 +202,5 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest, own = keep_held(own, name, held, False), keep_held(own, name, held)
     at = F.col(id_col).eqNullSafe(named["id"]) & (F.col(name) == named["key"])
     once = own.join(named.where("once"), at, "left_semi").groupBy(id_col, name).agg(F.first(F.struct(*quoted(docs.columns))).alias("row"))
-    return rest.select(*quoted(docs.columns)).unionByName(own.join(named, at, "left_anti").select(*quoted(docs.columns))).unionByName(once.select("row.*"))
+    out = rest.select(*quoted(docs.columns)).unionByName(own.join(named, at, "left_anti").select(*quoted(docs.columns))).unionByName(once.select("row.*"))
+    return renamed(out, names)

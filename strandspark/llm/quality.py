@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.texts import ROWS, WORD, map_texts, words
+from strandspark.llm.texts import ROWS, WORD, map_texts, plain_names, renamed, words
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -185,6 +185,7 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: LineRules = LineRules(), id_col: str = "doc_id") -> DataFrame:
     """The kept documents with all their columns, without the lines that fail;
     ``chars_col``, where there is one, is the new text's number of characters."""
+    names, docs = docs.columns, plain_names(docs)
     by = docs.sparkSession.sparkContext.broadcast(Judge(rules, common_lines(docs, text_col, rules, id_col)))
 
     def run(it):
@@ -200,4 +201,4 @@ def keep_clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_char
                     b = b.set_column(c, b.schema.field(c), pa.array([len(r[9]) if r[7] else n for r, n in zip(rows, old)], b.schema.field(c).type))
                 yield b.filter(pa.array([r[6] for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return renamed(docs.mapInArrow(run, docs.schema), names)

@@ -41,7 +41,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.texts import ROWS, free_name, map_texts, quoted, words
+from strandspark.llm.texts import ROWS, free_name, map_texts, plain_names, quoted, renamed, words
 from strandspark.runtime import fewer, forget, written
 
 WINDOW = 35
@@ -308,8 +308,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The documents with n_words, n_removed, kept_words (kept words joined by one
     space) and kept_text (the text with its own white space) in new columns
     ``sub_n_words``, ``sub_n_removed``, ``sub_kept_words``, ``sub_kept_text``."""
-    names = ("sub_n_words", "sub_n_removed", "sub_kept_words", "sub_kept_text")
-    docs = docs.select(*quoted([c for c in docs.columns if c not in names]))
+    own = ("sub_n_words", "sub_n_removed", "sub_kept_words", "sub_kept_text")
+    docs = docs.select(*quoted([c for c in docs.columns if c not in own]))
+    names, docs = docs.columns, plain_names(docs)
 
     def build(b: pa.RecordBatch, texts: list, marks: list) -> pa.RecordBatch:
         n, lost, kept, left = [], [], [], []
@@ -319,19 +320,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             lost.append(0 if gone is None else int(gone.sum()))
             kept.append((b" ".join(w) if gone is None else b" ".join([x for x, g in zip(w, gone) if not g])).decode())
             left.append(without(text, gone) if lost[-1] else text)
-        for name, v, kind in zip(names, (n, lost, kept, left), (pa.int64(), pa.int64(), pa.string(), pa.string())):
+        for name, v, kind in zip(own, (n, lost, kept, left), (pa.int64(), pa.int64(), pa.string(), pa.string())):
             b = b.append_column(name, pa.array(v, kind))
         return b
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     spans = repeated_spans(docs, id_col, text_col, window, first)
-    return _cut(docs, spans, id_col, text_col, build, fields + ", sub_n_words long, sub_n_removed long, sub_kept_words string, sub_kept_text string")
+    out = _cut(docs, spans, id_col, text_col, build, fields + ", sub_n_words long, sub_n_removed long, sub_kept_words string, sub_kept_text string")
+    return renamed(out, [*names, *own])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", window: int = WINDOW, first: int = FIRST) -> DataFrame:
     """The documents with the columns that they have, and texts without repeated windows;
     ``chars_col``, where there is one, is the new text's number of characters."""
 
+    names, docs = docs.columns, plain_names(docs)
+
     def build(b: pa.RecordBatch, texts: list, marks: list) -> pa.RecordBatch:
         cut = {}
         for i, (text, s) in enumerate(zip(texts, marks)):
@@ -345,7 +349,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 b = b.set_column(k, b.schema.field(k), pa.array([len(cut[i]) if i in cut else n for i, n in enumerate(old)], b.schema.field(k).type))
         return b
 
-    return _cut(docs, repeated_spans(docs, id_col, text_col, window, first), id_col, text_col, build, docs.schema)
+    return renamed(_cut(docs, repeated_spans(docs, id_col, text_col, window, first), id_col, text_col, build, docs.schema), names)
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, first: int = FIRST) -> DataFrame:

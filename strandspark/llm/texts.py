@@ -50,3 +50,16 @@ def free_name(columns: list[str], name: str) -> str:
 def quoted(columns: list[str]) -> list[Column]:
     """Columns by name, whatever characters it has."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with other names for columns whose own has a dot or a backtick, which steps in Python
+    cannot take; as it is where there are none. :func:`renamed` gives the old names back."""
+    out: list[str] = []
+    for c in df.columns:
+        out.append(free_name([*df.columns, *out], "column") if "." in c or "`" in c else c)
+    return renamed(df, out)
+
+
+def renamed(df: DataFrame, names: list[str]) -> DataFrame:
+    return df if df.columns == names else df.toDF(*names)
