@@ -24,12 +24,16 @@ base AS (
   SELECT r, doc_id, ws, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM w),
-lines AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
-lw AS (SELECT r, doc_id, line, pos, regexp_extract_all(line, '{WORD}') AS ws, len(regexp_extract_all(regexp_replace(line, '(?s)^.*[{MARKS}]', ''), '{WORD}')) AS left_open FROM lines),
-near AS (SELECT doc_id, line, lag(line) OVER w AS before, lead(line) OVER w AS after FROM lw WHERE len(ws) > 0 WINDOW w AS (PARTITION BY r ORDER BY pos)),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+lw AS (SELECT r, line, pos, regexp_extract_all(line, '{WORD}') AS ws, len(regexp_extract_all(regexp_replace(line, '(?s)^.*[{MARKS}]', ''), '{WORD}')) AS left_open FROM lines),
+t AS (SELECT row_number() OVER () AS x, text FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+tl AS (SELECT DISTINCT x, line, md5(line) AS h FROM (SELECT x, unnest(string_split(text, chr(10))) AS line FROM t) WHERE len(regexp_extract_all(line, '{WORD}')) > 0),
+met AS (
+  SELECT line, coalesce(CASE WHEN h = min(h) OVER w THEN nth_value(h, 2) OVER w ELSE min(h) OVER w END, '') AS company
+  FROM tl WINDOW w AS (PARTITION BY x ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 common AS (
-  SELECT line FROM (SELECT DISTINCT line, doc FROM (SELECT line, coalesce(CAST(min(doc_id) AS VARCHAR), '') AS doc FROM near GROUP BY line, before, after)) GROUP BY line
-  HAVING count(*) >= {R.common_least} AND 100 * count(*) >= {R.common_percent} * (SELECT count(*) FROM documents)),
+  SELECT line FROM met GROUP BY line
+  HAVING count(*) >= {R.common_least} AND 100 * count(DISTINCT company) >= {R.company_percent} * count(*)),
 ll AS (
   SELECT r, len(ws) AS n, row_number() OVER (PARTITION BY r, line ORDER BY pos) > 1 AS dup,
     100 * len(list_filter(ws, lambda x: x IN ({SEPARATORS}))) > {R.max_separator_percent} * len(ws)

@@ -1,11 +1,13 @@
+import hashlib
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from strandspark.llm.quality import LINE_SEED, Judge, LineRules, clean_lines, common_lines, judge, keep_clean
+from strandspark.llm.quality import LINE_SEED, Judge, LineRules, clean_lines, common_lines, judge, keep_clean, signed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -53,37 +55,61 @@ def test_empty(no_docs):
     assert clean_lines(no_docs).collect() == [] and keep_clean(no_docs).collect() == []
 
 
-def brute_common(docs, rules=LineRules()):
-    """``docs``: (id, text). A line's neighbours count by their first document each."""
-    first = {}
-    for i, t in docs:
-        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
-        for before, x, after in zip([None, *lines], lines, [*lines[1:], None]):
-            old = first.setdefault((x, before, after), i)
-            first[x, before, after] = old if i is None else i if old is None else min(i, old)
-    found = defaultdict(set)
-    for (x, _, _), i in first.items():
-        found[x].add(i)
-    return {x for x, v in found.items() if len(v) >= rules.common_least and 100 * len(v) >= rules.common_percent * len(docs)}
+def hashed(lines):
+    return {signed(xxhash.xxh64_intdigest(x.encode(), LINE_SEED)) for x in lines}
+
+
+def found(docs, rules=LineRules()):
+    return {r["line"] for r in common_lines(docs, rules=rules).collect()}
+
+
+def brute_common(texts, rules=LineRules()):
+    """A line's texts, each known by its smallest other line in the order of the MD5."""
+    company = {}
+    for t in {t for t in texts if t is not None}:
+        lines = sorted((hashlib.md5(x.encode()).hexdigest(), x) for x in {x for x in t.split("\n") if WORD.search(x)})
+        for h, x in lines:
+            company.setdefault(x, []).append(next((g for g, _ in lines if g != h), None))
+    return {x for x, v in company.items() if len(v) >= rules.common_least and 100 * len(set(v)) >= rules.company_percent * len(v)}
 
 
 def test_common_lines_against_brute_force(spark):
-    """A line of many documents is boilerplate; the lines of a text with many copies, exact
+    """A line of many unlike texts is boilerplate; the lines of a text with many copies, exact
     or near, are not, nor is a refrain inside one text or its copies."""
     r = random.Random(3)
     line = lambda n: " ".join(r.choices(["ab", "cd", "ef", "gh"], k=n)) + "."
     texts = ["\n".join([line(9), "Footer of all.", " \t", line(8)]) for _ in range(60)]
-    copied = "\n".join(line(9) for _ in range(6))
-    texts += [copied] * 200 + [copied.replace("ab", "xy", i % 7) for i in range(100)]
+    copied = [line(9) for _ in range(6)]
+    texts += ["\n".join(copied)] * 200 + ["\n".join([*copied[: i % 6], f"one {i}", *copied[i % 6 + 1 :]]) for i in range(300)]
     texts += [None, "", "\n\n", "Footer of all."] + ["x.\nHead\n" * (i + 1) for i in range(19)]
     song = "\n".join(x for _ in range(40) for x in (line(8), "And this is the refrain of the song."))
     texts += [song, song, song]
-    docs = [(i if i % 50 else None, t) for i, t in enumerate(texts)]
-    df = spark.createDataFrame([(*d, 1, "z") for d in docs], "doc_id long, text string, line int, between string").repartition(4)
-    want = brute_common(docs)
-    assert common_lines(df) == {xxhash.xxh64_intdigest(x.encode(), LINE_SEED) for x in want}
-    assert "Footer of all." in want and not want & set(copied.split("\n")) and not want & set(song.split("\n"))
-    assert common_lines(df.limit(0)) == frozenset()
+    df = spark.createDataFrame([(i if i % 50 else None, t, 1, "z") for i, t in enumerate(texts)], "doc_id long, text string, line int, k1 string").repartition(4)
+    want = brute_common(texts)
+    assert found(df) == hashed(want)
+    assert "Footer of all." in want and not want & set(copied) and not want & set(song.split("\n"))
+    assert found(df.limit(0)) == set()
+
+
+@pytest.mark.parametrize("n", [500, 3000])
+def test_small_footer_is_found_at_any_size(spark, n):
+    """Fifty documents have a footer, whatever the size of the table."""
+    r = random.Random(n)
+    line = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(9)) + "."
+    rows = [(i, "\n".join([*(line() for _ in range(7)), *(["A small site."] if i < 50 else [])])) for i in range(n)]
+    got = clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_lines_removed > 0").collect()
+    assert {x["doc_id"]: (x["n_lines_removed"], x["kept"]) for x in got} == {i: (1, True) for i in range(50)}
+
+
+def test_joined_lines_give_the_same_results(spark):
+    """Beyond ``most_broadcast`` the common lines are joined."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("common", F.lit(1)).withColumn("_k1", F.lit("x"))
+    docs = docs.unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
+    joined = LineRules(most_broadcast=0)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(clean_lines(docs, rules=joined)) == rows(clean_lines(docs))
+    assert rows(keep_clean(docs, rules=joined)) == rows(keep_clean(docs))
+    assert keep_clean(docs, rules=joined).columns == docs.columns
 
 
 def test_refrain_stays_and_footer_goes(spark):
@@ -100,8 +126,8 @@ def test_refrain_stays_and_footer_goes(spark):
 
 def test_whole_table_of_common_lines(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    want = brute_common([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    assert want and common_lines(docs) == {xxhash.xxh64_intdigest(x.encode(), LINE_SEED) for x in want}
+    want = brute_common([r["text"] for r in docs.select("text").collect()])
+    assert want and found(docs) == hashed(want)
 
 
 W = "one two three four five six seven eight nine"
@@ -113,7 +139,7 @@ W = "one two three four five six seven eight nine"
     ("Alle Rechte vorbehalten.", True), ("Tous droits r\u00e9serv\u00e9s", True), ("(c) the footer", True), ("the footer", False),
 ])
 def test_rules_of_lines(line, fails):
-    by = Judge(LineRules(), frozenset({xxhash.xxh64_intdigest("(c) the footer".encode(), LINE_SEED)}))
+    by = Judge(LineRules(), frozenset(hashed(["(c) the footer"])))
     assert by.fails(line.encode(), line.encode().split()) == fails
 
 
