@@ -5,6 +5,12 @@ character n-grams (one to three characters), and a text gets the language whose
 codeword has the least loss-weighted distance to the bits' margins. A text whose
 two best codewords are close is flagged as ambiguous.
 
+Codewords differ in ``least_distance`` bits or more, so two wrong bits can be corrected: beside
+a bit of each language's own come balanced splits, drawn until the code is that wide, about twice the
+logarithm of the number of languages. No split comes twice, so up to four languages only have the
+distance that all splits give (4 for four). A bit's loss weighs by how well its classifier does
+on rows that it was not fitted on.
+
 The fit takes a bounded sample of labelled rows: of at most ``max_languages``
 languages (those with most rows; ties: first in code point order) one row, the one with the
 smallest hash, of each of ``max_rows / languages`` hash buckets. Their feature vectors, no
@@ -42,9 +48,11 @@ class LanguageConfig:
     dims: int = 4096
     max_rows: int = 2048
     max_languages: int = 256
-    #: Code bits beyond one per language.
-    extra_bits: int = 6
+    #: Bits in which any two codewords differ at least, if that many languages allow it.
+    least_distance: int = 5
     steps: int = 300
+    #: Steps of the two fits on half of the rows that the bits' weights come from.
+    trial_steps: int = 100
     rate: float = 0.5
     l2: float = 1e-4
     #: Probability margin under which a prediction is flagged.
@@ -71,17 +79,30 @@ def features(text: str, dims: int) -> np.ndarray:
     return x / norm if norm else x
 
 
-def codewords(n: int, extra: int, seed: int) -> np.ndarray:
-    """(n, bits) of -1 and 1: one bit per language, then random balanced splits."""
+#: Splits drawn for each column of the code; the one that separates most pairs of close codewords is taken.
+DRAWN = 32
+
+
+def codewords(n: int, distance: int, seed: int) -> np.ndarray:
+    """(n, bits) of -1 and 1: one bit per language, then balanced splits until any two rows
+    differ in ``distance`` bits, or no new split is found."""
     if n == 1:
         return np.ones((1, 1), np.float32)
-    own = 2 * np.eye(n, dtype=np.float32) - 1
+    code = 2 * np.eye(n, dtype=np.float32) - 1
     rng = np.random.default_rng(seed)
-    cols = []
-    while n > 2 and len(cols) < extra:
-        c = np.where(rng.permutation(n) < (n + 1) // 2, 1, -1).astype(np.float32)
-        cols.append(c)
-    return np.hstack([own, np.stack(cols, 1)]) if cols else own
+    have: set[bytes] = {(c * c[0]).tobytes() for c in code.T}
+    while (close := np.triu((code.shape[1] - code @ code.T) / 2 < distance, 1)).any():
+        best, most = None, 0
+        for _ in range(DRAWN):
+            c = np.where(rng.permutation(n) < (n + 1) // 2, 1, -1).astype(np.float32)
+            parted = int((close & (c[:, None] != c[None])).sum())
+            if parted > most and (c * c[0]).tobytes() not in have:
+                best, most = c, parted
+        if best is None:
+            break
+        have.add((best * best[0]).tobytes())
+        code = np.hstack([code, best[:, None]])
+    return code
 
 
 @dataclass(frozen=True)
@@ -89,13 +110,15 @@ class LanguageModel:
     languages: list[str]
     code: np.ndarray
     weights: np.ndarray
+    #: What each bit's loss counts in decoding.
+    trust: np.ndarray
     config: LanguageConfig
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(best language, probability) from (rows, bits) margins, by logistic loss."""
         if not len(self.languages):
             return np.full(len(margins), -1), np.zeros(len(margins))
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]).sum(2)
+        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]) @ self.trust
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
         return p.argmax(1), p
@@ -110,24 +133,49 @@ class LanguageModel:
 
 
 def train(x: np.ndarray, y: list[str], config: LanguageConfig) -> LanguageModel:
-    """One logistic classifier per code bit, by full-batch gradient steps with momentum;
-    languages weigh the same whatever their number of rows."""
+    """One logistic classifier per code bit; languages weigh the same whatever their number of rows."""
     languages = sorted(set(y))
     if not languages:
-        return LanguageModel([], np.zeros((0, 1), np.float32), np.zeros((config.dims + 1, 1), np.float32), config)
-    code = codewords(len(languages), config.extra_bits, config.seed)
+        return LanguageModel([], np.zeros((0, 1), np.float32), np.zeros((config.dims + 1, 1), np.float32), np.ones(1), config)
+    code = codewords(len(languages), config.least_distance, config.seed)
     at = np.array([languages.index(v) for v in y])
-    t = code[at]
-    share = (1 / np.bincount(at, minlength=len(languages)))[at].astype(np.float32)[:, None]
-    share /= share.sum()
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    return LanguageModel(languages, code, _bits(x, at, code, config, config.steps), _trust(x, at, code, config), config)
+
+
+def _shares(at: np.ndarray) -> np.ndarray:
+    """Weights of the rows: languages count the same."""
+    share = (1 / np.bincount(at))[at].astype(np.float32)[:, None]
+    return share / share.sum()
+
+
+def _trust(x: np.ndarray, at: np.ndarray, code: np.ndarray, config: LanguageConfig) -> np.ndarray:
+    """Weights of the bits, 1 on average: the part of a coin's loss that a classifier fitted on one half of
+    each language's rows saves on the other half; at least a twentieth."""
+    order = np.argsort(at, kind="stable")
+    nth = np.empty(len(at), np.int64)
+    nth[order] = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+    odd = nth % 2 == 1
+    if len(np.unique(at[odd])) < len(code):  # a language of one row leaves nothing to judge by
+        return np.ones(code.shape[1])
+    lost = np.zeros(code.shape[1])
+    for own, other in ((odd, ~odd), (~odd, odd)):
+        margins = code[at[other]] * (x[other] @ _bits(x[own], at[own], code, config, config.trial_steps))
+        lost += (np.logaddexp(0, -margins.astype(np.float64)) * _shares(at[other])).sum(0) / 2
+    saved = np.maximum(0.05, 1 - lost / np.log(2))
+    return saved / saved.mean()
+
+
+def _bits(x: np.ndarray, at: np.ndarray, code: np.ndarray, config: LanguageConfig, steps: int) -> np.ndarray:
+    """One column of weights per code bit, by full-batch gradient steps with momentum."""
+    t, share = code[at], _shares(at)
     w = np.zeros((x.shape[1], code.shape[1]), np.float32)
     v = np.zeros_like(w)
-    for _ in range(config.steps):
+    for _ in range(steps):
         g = x.T @ (-t * share / (1 + np.exp(np.clip(t * (x @ w), -30, 30)))) + config.l2 * w
         v = 0.9 * v - config.rate * 10 * g
         w += v
-    return LanguageModel(languages, code, w, config)
+    return w
 
 
 def fit(docs: DataFrame, trainable: Column, config: LanguageConfig = LanguageConfig()) -> LanguageModel:

@@ -35,10 +35,39 @@ def test_awkward_rows(docs, no_docs, spark):
     assert predict(no_docs.withColumn("held_out", F.lit(False)), model).collect() == []
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 7])
-def test_codewords_differ(n):
-    code = codewords(n, 6, 1)
-    assert len({tuple(x) for x in code}) == n
+@pytest.mark.parametrize("n,least", [(1, 0), (2, 2), (3, 2), (4, 4), (5, 5), (6, 5), (7, 5), (20, 5), (97, 5), (256, 5)])
+def test_codewords_differ(n, least):
+    code = codewords(n, 5, 1)
+    apart = ((code.shape[1] - code @ code.T) / 2)[~np.eye(n, dtype=bool)]
+    assert n == 1 or apart.min() >= least
+    assert len({tuple(c * c[0]) for c in code.T}) == (code.shape[1] if n > 2 else 1)
+    assert code.shape[1] <= n + 4 + 3 * math.log2(n)
+
+
+@pytest.mark.parametrize("n", [5, 20, 256])
+def test_wrong_bits_are_corrected(n):
+    """Any two bits may be wrong."""
+    code = codewords(n, 5, 3)
+    bits = code.shape[1]
+    model = LanguageModel([f"l{i:03d}" for i in range(n)], code, np.zeros((1, bits), np.float32), np.ones(bits), LanguageConfig())
+    rng = np.random.default_rng(n)
+    at = np.arange(n).repeat(20)
+    margins = 3.0 * code[at]
+    for row in margins:
+        row[rng.choice(bits, 2, replace=False)] *= -1
+    assert (model.decode(margins)[0] == at).all()
+
+
+def test_bits_weigh_by_their_classifiers():
+    """A bit that cannot be learned counts less; a noisy one is outvoted."""
+    rng = np.random.default_rng(1)
+    at = np.arange(6).repeat(40)
+    x = np.eye(6, 32, dtype=np.float32)[at]
+    x[at < 2] = np.eye(1, 32, dtype=np.float32)  # two languages that look alike
+    x += rng.normal(0, 0.05, x.shape).astype(np.float32)
+    model = train(x, [f"l{i}" for i in at], LanguageConfig(dims=32))
+    assert model.trust.mean() == pytest.approx(1) and max(model.trust[:2]) < min(model.trust[2:6])
+    assert (train(x[::40], [f"l{i}" for i in range(6)], LanguageConfig(dims=32)).trust == 1).all()
 
 
 def test_features_do_not_depend_on_blocks(monkeypatch):
@@ -72,7 +101,7 @@ def brute_predict(model, text):
         return "und", 0.0
     x = [*brute_features(text, model.config.dims), 1.0]
     margins = [sum(a * float(w) for a, w in zip(x, col)) for col in model.weights.T]
-    loss = [sum(math.log1p(math.exp(-float(c) * m)) for c, m in zip(code, margins)) for code in model.code]
+    loss = [sum(w * math.log1p(math.exp(-float(c) * m)) for c, m, w in zip(code, margins, model.trust)) for code in model.code]
     p = [math.exp(min(loss) - v) for v in loss]
     return model.languages[loss.index(min(loss))], max(p) / sum(p)
 
