@@ -5,7 +5,7 @@ ordered by score (ties: leftmost first), and merges the best until none is left;
 symbols that are no piece fall back to their UTF-8 bytes. A merge can only join
 two characters that some piece holds side by side, so a text is first cut where
 no piece does, and the agenda of each distinct segment is worked off once and
-kept (a bounded table per Python worker). Each Arrow batch's new segments are
+kept (a table per Python worker, of bounded bytes; long segments are only kept for the texts at hand). Each Arrow batch's new segments are
 checked against the sentencepiece library, both ways.
 
 Supported: vocabularies with identity normalisation, white space as U+2581, a
@@ -13,8 +13,8 @@ dummy prefix and byte fallback; anything else is refused at load. The vocabulary
 file's path is a parameter; the file must be readable on the executors.
 
 Defined results: a null text is the empty text (begin and end ids only); repeated
-rows are encoded each; empty tables give empty results; other columns are not
-looked at. One pass over the input, no shuffle.
+rows are encoded each; very long texts, and long segments without a space, are encoded whole;
+empty tables give empty results; other columns are not looked at. One pass over the input, no shuffle.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ from strandspark.llm.texts import map_texts
 SPACE = "▁"
 #: Segments up to this length keep their agenda as a list, longer ones as a heap.
 SHORT = 48
+#: Segments over this length are not kept: they hardly come again.
+LONG = 512
+#: Bytes of a kept segment beside those of its text and ids: two string headers and a table's entry.
+ENTRY = 200
 NEVER = float("-inf")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -40,11 +44,11 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class PieceModel:
     """A merge-type vocabulary with its segment table."""
 
-    def __init__(self, path: str, checked: bool = True, kept: int = 200_000):
+    def __init__(self, path: str, checked: bool = True, most_bytes: int = 48 << 20):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.checked, self.most = checked, kept
+        self.checked, self.most = checked, most_bytes
         n = sp.get_piece_size()
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
@@ -75,6 +79,9 @@ class PieceModel:
         #: Packed ids by segment; and the bytes of those that don't decode to themselves.
         self.table: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
+        #: Bytes of the kept segments, and the long ones of the texts at hand.
+        self.size = 0
+        self.passing: list[str] = []
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment (with plain spaces), by the agenda."""
@@ -125,16 +132,29 @@ class PieceModel:
     def segments(self, text: str) -> list[str]:
         return self.cut(" " + text.replace(SPACE, " ")) if text else []
 
+    def _bytes(self, segment: str) -> int:
+        """Of a kept segment, at most: its characters, its ids and, where it is odd, its surface."""
+        return 8 * len(segment) + len(self.table[segment]) + ENTRY
+
     def learn(self, needed: set[str]) -> None:
         """Have all these segments in the table, new ones checked against the library."""
+        for s in self.passing:
+            del self.table[s]
+            self.odd.pop(s, None)
+        self.passing = []
         new = list(needed.difference(self.table))
-        if new and len(self.table) + len(new) > self.most:
+        if new and self.size > self.most:
             # What the texts at hand use stays: mostly the frequent segments.
             self.table = {s: self.table[s] for s in needed.intersection(self.table)}
             self.odd = {s: self.odd[s] for s in needed.intersection(self.odd)}
+            self.size = sum(self._bytes(s) for s in self.table)
         for s in new:
             ids = self.merge(s)
             self.table[s] = array("I", ids).tobytes()
+            if len(s) > LONG:
+                self.passing.append(s)
+            else:
+                self.size += self._bytes(s)
             surface = b"".join([self.surface[i] for i in ids])
             if surface != s.encode():
                 self.odd[s] = surface

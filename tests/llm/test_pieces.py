@@ -40,9 +40,22 @@ def test_long_segments_use_the_heap(m):
 
 
 def test_full_table_is_cleared(m):
-    small = PieceModel(vocabulary(), kept=20)
-    for text in ("the cat sat on the mat and looked at it for a while", "entirely other words come here now, more than the table holds at once " * 3):
+    small = PieceModel(vocabulary(), most_bytes=2000)
+    for text in ("the cat sat on the mat and looked at it for a while", "entirely other words come here now, more than the table holds at once " * 3, "a \u2581 b"):
         assert small.encode(text) == m.library.encode(text, add_bos=True, add_eos=True)
+        assert small.size == sum(map(small._bytes, small.table))
+    assert len(small.table) < 20
+
+
+def test_long_segments_are_not_kept(m):
+    """Texts without a space of 20,000 characters; one comes twice."""
+    small = PieceModel(vocabulary())
+    for k in (1, 2, 2, 3):
+        text = "xy" * 10_000 + str(k) + " end"
+        assert small.encode(text) == m.library.encode(text, add_bos=True, add_eos=True)
+        assert len(small.passing) == 1
+    small.encode("end")
+    assert small.passing == [] and all(len(s) < 10 for s in small.table) and small.size < 5000
 
 
 def test_wrong_merge_is_noticed():
