@@ -20,7 +20,9 @@ Texts are never shuffled: a bitmap of bounded size picks those whose sets are ne
 Defined results: a text shorter than a shingle is one shingle, and texts without a
 word are copies of each other; null is the empty text. Of a component the row with
 the smallest id stays, one without an id only where none has one. Rows that repeat
-an id and a text are copies as well.
+an id and a text are copies as well. Very long texts are sketched whole, a block of shingles at a
+time; an empty table gives an empty one; other columns, whatever their names, are kept and
+not looked at.
 """
 
 from __future__ import annotations
