@@ -5,6 +5,11 @@ quality rules -> near-dedup -> substring dedup -> source mix -> SentencePiece
 Every stage takes what its predecessor left, as a written table. The first four
 return the columns of ``documents``; the last returns the digests of the tokens.
 Where a stage changes a text, ``n_chars`` follows it.
+
+Defined results: null and empty texts have no words and go in the first stage; a null id
+is kept as it is and comes after all others in ties; repeated rows are copies and one stays; very
+long texts are taken whole; an empty table gives an empty result; further columns, whatever
+their names, are carried to the last stage, which returns digests only.
 """
 
 from __future__ import annotations
