@@ -9,10 +9,10 @@ from strandspark.llm.mixing import mix
 from strandspark.llm.pieces import PieceModel
 from strandspark.llm.q_mixing import BUDGET, EPOCHS, SEED, WEIGHTS
 from strandspark.llm.q_pieces import vocabulary
-from strandspark.llm.quality import LINE_SEED, Judge, LineRules, judge
+from strandspark.llm.quality import Judge, LineRules, judge
 from strandspark.llm.substrings import without
 from tests.llm.test_near_copies import brute_kept
-from tests.llm.test_quality import brute_common
+from tests.llm.test_quality import brute_common, hashed
 from tests.llm.test_substrings import WORD
 
 
@@ -36,7 +36,7 @@ def test_run(spark):
 
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    by = Judge(LineRules(), frozenset(xxhash.xxh64_intdigest(x.encode(), LINE_SEED) for x in brute_common([(r["doc_id"], r["text"]) for r in rows])))
+    by = Judge(LineRules(), frozenset(hashed(brute_common([r["text"] for r in rows]))))
     docs = []
     for r in rows:
         j = judge(r["text"], by)
