@@ -25,3 +25,9 @@ def test_codes_are_counted_without_pairs(spark):
     want = Counter(x[-1] for x in brute_pairs(gw, pg))
     assert {x["read_backed"]: x["n"] for x in compound.code_counts(g, p).collect()} == want and len(want) == 3
 
+
+def test_pairing_has_tasks_by_cells(spark):
+    """A few KB of variants make many pairs; they are not left to one or two tasks."""
+    v = spark.range(600).select(F.concat(F.lit("g"), F.col("id") % 10).alias("gene"), F.col("id").cast("string").alias("variant"))
+    at = compound._pairs(v, ["gene"], 30).select(F.spark_partition_id().alias("i")).groupBy("i").count().collect()
+    assert len(at) >= 12 and sum(r["count"] for r in at) == 10 * 60 * 59 // 2
