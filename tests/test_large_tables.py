@@ -31,3 +31,15 @@ def test_pairing_has_tasks_by_cells(spark):
     v = spark.range(600).select(F.concat(F.lit("g"), F.col("id") % 10).alias("gene"), F.col("id").cast("string").alias("variant"))
     at = compound._pairs(v, ["gene"], 30).select(F.spark_partition_id().alias("i")).groupBy("i").count().collect()
     assert len(at) >= 12 and sum(r["count"] for r in at) == 10 * 60 * 59 // 2
+
+
+def test_stretches_of_an_open_block_are_no_concordant_block(spark, monkeypatch):
+    """Two triangles, one of which no assignment satisfies, joined by one edge: cut at the edge, one stretch has all its edges."""
+    from strandspark.plans import core_queries
+
+    e = [(0, 1, 0), (1, 2, 0), (0, 2, 0), (2, 3, 0), (3, 4, 0), (4, 5, 0), (3, 5, 1), (10, 11, 1)]
+    rows = [("c", f"{a:02d}", a, f"{b:02d}", b, x) for a, b, x in e]
+    edges = spark.createDataFrame(rows, "contig string, variant_a string, pos_a long, variant_b string, pos_b long, config int")
+    monkeypatch.setattr(core_queries.Case, "edges", lambda self: edges)
+    got = core_queries.concordant_blocks(spark, "/root/testdata/sf0.001").collect()
+    assert [(r["contig"], r["block"], r["hap_a"], r["hap_b"]) for r in got] == [("c", "10", "01", "10")]
