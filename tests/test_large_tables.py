@@ -43,3 +43,16 @@ def test_stretches_of_an_open_block_are_no_concordant_block(spark, monkeypatch):
     monkeypatch.setattr(core_queries.Case, "edges", lambda self: edges)
     got = core_queries.concordant_blocks(spark, "/root/testdata/sf0.001").collect()
     assert [(r["contig"], r["block"], r["hap_a"], r["hap_b"]) for r in got] == [("c", "10", "01", "10")]
+
+
+def test_effects_without_resampling_are_the_same(spark):
+    from strandspark.config import CisConfig
+    from strandspark.plans.study_queries import cohort
+    from strandspark.operators import cis_effect
+
+    rows, pairs = cohort(spark, "/root/testdata/sf0.001")
+    full = cis_effect.effects(rows, pairs).toPandas()
+    slim = cis_effect.effects(rows, pairs, CisConfig(bs=0), lists=False).toPandas()
+    same = ["gene", "var_id", "var_het_n", "var_hom_n", "het_hom_pvalue", "het_median", "het_abs_median", "hom_median", "hom_abs_median"]
+    assert len(full) and full[same].equals(slim[same]) and slim["het_low"].isna().all() and not full["het_low"].isna().all()
+    assert "het_afcs" in full and "het_afcs" not in slim
