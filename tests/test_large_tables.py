@@ -56,3 +56,14 @@ def test_effects_without_resampling_are_the_same(spark):
     same = ["gene", "var_id", "var_het_n", "var_hom_n", "het_hom_pvalue", "het_median", "het_abs_median", "hom_median", "hom_abs_median"]
     assert len(full) and full[same].equals(slim[same]) and slim["het_low"].isna().all() and not full["het_low"].isna().all()
     assert "het_afcs" in full and "het_afcs" not in slim
+
+
+def test_cells_in_places(spark):
+    """Cells of a wide row are laid out in one pass over those that are there."""
+    from strandspark.plans.file_queries import in_places
+
+    r = random.Random(1)
+    for n in (1, 2, 50):
+        own = {i: f"c{i}" for i in r.sample(range(n), (n + 1) // 2)}
+        df = spark.createDataFrame([(sorted(own.items()),)], "m array<struct<place:int,cell:string>>")
+        assert df.select(in_places("m", "./.", n)).first()[0] == "\t".join(own.get(i, "./.") for i in range(n))
