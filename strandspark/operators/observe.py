@@ -50,7 +50,7 @@ def occupied(sites: DataFrame) -> Column:
     return F.coalesce(start.isNotNull() & ((last - first > 1) | hit(first) | hit(last)), F.lit(False))
 
 
-def observe(reads: DataFrame, variants: DataFrame, baseq: int = 10, rebase: bool = True, width: int = intervals.BIN) -> DataFrame:
+def observe(reads: DataFrame, variants: DataFrame, baseq: int = 10, rebase: bool = True, width: int = intervals.BIN, tasks: int | None = None) -> DataFrame:
     """Alleles of variants in reads: contig, read_id, bam, variant_id, pos, allele, as_score, cls.
 
     ``reads``: qname, rname, pos, cigar, seq, qual, as_score, bam; ``variants``: contig,
@@ -63,9 +63,27 @@ def observe(reads: DataFrame, variants: DataFrame, baseq: int = 10, rebase: bool
     seg = seg.select("bam", "read_id", "contig", "as_score", (F.col("read_pos") + F.col("s.off_start")).alias("seg_start"), F.col("s.pseudo").alias("pseudo"), F.col("s.ins").alias("ins"))
     seg = seg.withColumn("seg_end", F.col("seg_start") + F.length("pseudo"))
     sites = variants.select("contig", "variant_id", "pos", "ref_len", "alleles", (F.col("pos") + 1).alias("after"))
-    pairs = intervals.overlaps(seg, sites, ["contig"], "seg_start", "seg_end", "pos", "after", width, F.col("pos") + F.col("ref_len") <= F.col("seg_end"))
+    pairs = intervals.overlaps(seg, sites, ["contig"], "seg_start", "seg_end", "pos", "after", width, F.col("pos") + F.col("ref_len") <= F.col("seg_end"), tasks)
     allele = allele_at(F.col("pseudo"), F.col("ins"), (F.col("pos") - F.col("seg_start")).cast("int"), F.col("ref_len").cast("int"))
     out = pairs.withColumn("allele", allele).where(F.col("allele").isNotNull())
     at = F.array_position("alleles", F.col("allele"))
     cls = F.when(at > 0, (at - 1).cast("int")).otherwise(2)
-    return out.select("contig", "read_id", "bam", "variant_id", "pos", "allele", "as_score", cls.alias("cls"))
+    return out.select("contig", "read_id", "bam", "variant_id", "pos", "allele", "as_score", cls.alias("cls"), *(["_bin"] if tasks else []))
+
+
+#: Reads of one task where alleles are counted.
+READS_PER_TASK = 200_000
+
+
+def allele_reads(reads: DataFrame, variants: DataFrame, width: int = intervals.BIN) -> DataFrame:
+    """(contig, variant_id, pos, bam, allele, cls, seen, reads): observations and distinct reads of
+    every allele of a variant in a file.
+
+    All observations of a variant are in the task of its bin, so they are counted where they are
+    made; what is shuffled are reads and sites, not observations.
+    """
+    fewest = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    obs = observe(reads.withColumn("as_score", F.lit(None).cast("int")), variants, width=width, tasks=max(fewest, reads.count() // READS_PER_TASK))
+    allele = ["contig", "variant_id", "pos", "bam", "allele", "cls"]
+    per_read = obs.groupBy("_bin", *allele, "read_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_read.groupBy("_bin", *allele).agg(F.sum("n").alias("seen"), F.count("read_id").alias("reads")).drop("_bin")
