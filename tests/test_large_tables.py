@@ -67,3 +67,45 @@ def test_cells_in_places(spark):
         own = {i: f"c{i}" for i in r.sample(range(n), (n + 1) // 2)}
         df = spark.createDataFrame([(sorted(own.items()),)], "m array<struct<place:int,cell:string>>")
         assert df.select(in_places("m", "./.", n)).first()[0] == "\t".join(own.get(i, "./.") for i in range(n))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_reads_need_no_join(spark):
+    """Rows are dealt by read once; counts are what is shuffled after that."""
+    from strandspark.operators import edges
+
+    rows = [("c", 1, "a", 1, 0), ("c", 1, "b", 2, 1), ("c", 1, "b", 2, 2), ("c", 2, "a", 1, 0), ("c", None, "a", 1, 0), ("c", None, "b", 2, 0), ("d", 3, "x", 5, 1), ("d", 3, "y", 5, 1)]
+    got = edges.pair_cells(spark.createDataFrame(rows, "contig string, read_id long, variant_id string, pos long, cls int"))
+    assert "Join" not in _plan(got) and _plan(got).count("Exchange hashpartitioning") == 2
+    cells = {(r["variant_a"], r["variant_b"]): {k: n for k, n in r.asDict().items() if k[0] == "c" and k != "contig" and n} for r in got.collect()}
+    assert cells == {("a", "b"): {"c01": 1, "c02": 1}, ("x", "y"): {"c11": 1}}
+
+
+def test_numbering_takes_its_rows_once(spark):
+    from strandspark.operators.scans import numbered
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(it):
+        for pdf in it:
+            seen.add(len(pdf))
+            yield pdf
+
+    got = numbered(spark.range(500).mapInPandas(look, "id long"), "n", "id").collect()
+    assert all(r["n"] == r["id"] for r in got) and seen.value == 500
+
+
+def test_observations_are_not_shuffled(spark):
+    from strandspark.operators import observe
+
+    reads = spark.createDataFrame([(q, "c", 10 * (i % 7) + 1, i % 2, "20M", "ACGTT" * 4, "I" * 20) for i in range(60) for q in (f"r{i // 2}",)], "qname string, rname string, pos long, bam int, cigar string, seq string, qual string")
+    sites = spark.createDataFrame([("c", f"s{p}", p, 1, ["A", "C"]) for p in range(3, 90, 4)], "contig string, variant_id string, pos long, ref_len int, alleles array<string>")
+    got = observe.allele_reads(reads, sites, 16)
+    assert _plan(got).count("Exchange hashpartitioning") + _plan(got).count("REPARTITION_BY_NUM") <= 4 and "Exchange hashpartitioning(read_id" not in _plan(got) and "variant_id#" not in "".join(x for x in _plan(got).split("\n") if "Exchange" in x)
+    obs = observe.observe(reads.withColumn("as_score", F.lit(1)), sites, width=16)
+    by = ["contig", "variant_id", "pos", "bam", "allele", "cls"]
+    want = obs.groupBy(*by).agg(F.count(F.lit(1)).alias("seen"), F.count_distinct("read_id").alias("reads"))
+    assert got.count() and sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
