@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandspark.operators import edges, haplotypes, phasing
+from strandspark.operators import compound, edges, haplotypes, phasing
 
 
 def plan(df) -> str:
@@ -80,3 +80,11 @@ def test_cuts_skip_levels_without_points():
             longest = max(b - a for a, b in zip(cuts, cuts[1:]))
             level += 1
         assert phasing.split_points(n, e, most) == sorted(chosen)
+
+
+def test_copies_of_a_variant_do_not_grow_with_its_gene(spark):
+    """A gene of many buckets' size: a bounded number of copies on both sides, and still all pairs."""
+    v = spark.range(400).select(F.lit("g").alias("gene"), F.col("id").cast("string").alias("variant"))
+    left, right = compound._cells(v, 4)
+    assert left.count() + right.count() <= 400 * (compound.MOST_BUCKETS + 1)
+    assert compound._pairs(v, ["gene"], 4).count() == 400 * 399 // 2
