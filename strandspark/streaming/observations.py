@@ -25,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from strandspark.config import PhaseConfig
 from strandspark.operators import edges, phasing
 from strandspark.operators.observe import observe
+from strandspark.runtime import written
 from strandspark.sources.readers import sam_columns
 
 #: The contig after all others; its one read ends a stream.
@@ -92,7 +93,7 @@ def phase_observations(obs: DataFrame, sites: DataFrame, config: PhaseConfig) ->
     """Phased variants of the contigs of ``obs``; noise and score cutoffs are each contig's own."""
     kept = edges.keep_scores(obs, config.as_q_cutoff, ["bam", "contig"])
     alive = edges.surviving(edges.pair_tests(kept, sites, by=["contig"]), config.cc_threshold)
-    return phasing.phase(alive, phasing.blocks_of(alive), config.max_block_size, config.compat)
+    return phasing.phase(alive, written(phasing.blocks_of(alive), "blocks"), config.max_block_size, config.compat)
 
 
 def phase_as_contigs_close(reads: DataFrame, sites: DataFrame, contigs: list[str], path: str, checkpoint: str, config: PhaseConfig = PhaseConfig(), wait: int = 0) -> StreamingQuery:

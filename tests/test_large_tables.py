@@ -109,3 +109,60 @@ def test_observations_are_not_shuffled(spark):
     by = ["contig", "variant_id", "pos", "bam", "allele", "cls"]
     want = obs.groupBy(*by).agg(F.count(F.lit(1)).alias("seen"), F.count_distinct("read_id").alias("reads"))
     assert got.count() and sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_near_components_need_no_rounds(spark, monkeypatch):
+    """Chains of 40 nodes, each within its contig: their edges are stars when they are first written."""
+    from strandspark.operators import graph
+
+    rows = [(f"c{c}", f"c{c}:{i + 1:02d}", f"c{c}:{i:02d}") for c in range(30) for i in range(39)]
+    random.Random(3).shuffle(rows)
+    made = []
+    monkeypatch.setattr(graph, "written", lambda df, name, write=graph.written: made.append(name) or write(df, name))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 20)
+    try:  # batches end where a contig does
+        got = graph.components(spark.createDataFrame(rows, "contig string, u string, v string").repartition(4), near=["contig"], batch=50).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((x["node"], x["root"]) for x in got) == sorted((f"c{c}:{i:02d}", f"c{c}:00") for c in range(30) for i in range(40))
+    assert made == ["edges"]
+
+
+def test_components_over_small_batches(spark):
+    """What batches and contigs leave apart is joined by the rounds, with the same roots."""
+    from strandspark.operators import graph
+
+    r = random.Random(5)
+    rows = [(f"c{r.randint(0, 2)}", f"é{a:03d}", f"é{b:03d}") for a, b in ((r.randint(0, 299), r.randint(0, 299)) for _ in range(260))]
+    least = {x: x for _, u, v in rows if u != v for x in (u, v)}
+    for _ in range(300):
+        for _, u, v in rows:
+            if u != v:
+                least[u] = least[v] = min(least[u], least[v])
+    df = spark.createDataFrame(rows, "contig string, u string, v string")
+    for batch in (1, 7, 1000):
+        got = graph.components(df, ["contig"], batch).collect()
+        assert len(got) == len(least) and {x["node"]: x["root"] for x in got} == least, batch
+
+
+def test_large_blocks_are_phased_in_few_steps(spark, monkeypatch):
+    """Many concordant blocks, none as one row: tables written do not grow with the longest block, and open steps are left out."""
+    from strandspark.operators import graph, phasing, splitting
+
+    rows = [("c", f"v{100 * b + i:05d}", 100 * b + i, f"v{100 * b + i + 1:05d}", 100 * b + i + 1, (b + i) % 2) for b in range(5) for i in range(40)]
+    edges = spark.createDataFrame(rows, "contig string, variant_a string, pos_a long, variant_b string, pos_b long, config int").cache()
+    made = []
+    for m in (graph, phasing, splitting):
+        monkeypatch.setattr(m, "written", lambda df, name, write=m.written: made.append(name) or write(df, name))
+    out = phasing.phase(edges, phasing.blocks_of(edges).cache(), large=0)
+    assert len(made) <= 8, made
+    got = {(x["part"], x["idx"]): x["hap_a"] for x in out.collect()}
+    want = {}
+    for b in range(5):
+        hap = 0
+        for i in range(41):
+            want[(f"v{100 * b:05d}", i)] = hap
+            hap ^= (b + i) % 2
+    assert got == want
