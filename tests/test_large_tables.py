@@ -33,6 +33,14 @@ def test_pairing_has_tasks_by_cells(spark):
     assert len(at) >= 12 and sum(r["count"] for r in at) == 10 * 60 * 59 // 2
 
 
+def test_pairs_are_made_as_they_are_returned(spark):
+    """Both orders of a pair come from the join; nothing is copied or turned after it, and pairs of different blocks carry no genotypes."""
+    g = spark.createDataFrame([("g", f"v{i}", [i % 2, 1]) for i in range(20)], "gene string, variant_id string, alleles array<int>")
+    p = spark.createDataFrame([("g", f"v{i}", [1, i % 2], i // 4) for i in range(0, 20, 2)], "gene string, variant_id string, alleles array<int>, block int")
+    top = _plan(compound.gene_pairs(g, p, per_cell=7)).split("Exchange")[0]
+    assert "Generate" not in top and "Join" in top and "g0_a" not in top
+
+
 def test_stretches_of_an_open_block_are_no_concordant_block(spark, monkeypatch):
     """Two triangles, one of which no assignment satisfies, joined by one edge: cut at the edge, one stretch has all its edges."""
     from strandspark.plans import core_queries
