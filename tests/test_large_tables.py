@@ -174,3 +174,24 @@ def test_large_blocks_are_phased_in_few_steps(spark, monkeypatch):
             want[(f"v{100 * b:05d}", i)] = hap
             hap ^= (b + i) % 2
     assert got == want
+
+
+def test_cohort_files_grow_with_the_genotypes(spark, tmp_path, monkeypatch):
+    """Samples with no genotype near a site have no cell there; every file is whole, and its cells go by its own header."""
+    from strandspark.plans import file_queries
+    from strandspark.sources import readers
+
+    rows = [("1", 100 * i, f"v{i}", "A", "C", f"I{n}", ("0|1", "1|0", "0/1")[(i + n) % 3]) for i in range(60) for n in range(5 * i, 5 * i + 8)]
+    gt = spark.createDataFrame(rows, "contig string, pos long, id string, ref string, alt string, vcf_sample string, gt string")
+    monkeypatch.setattr(file_queries, "PER_FILE", 4)
+    entries = F.array_sort(F.collect_list(F.struct("place", F.col("gt").alias("cell")))).alias("m")
+    pattern = file_queries._cohort_vcf(gt, entries, f"{tmp_path}/vcf")
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("f")).collect()
+    cells = sum(x["value"].count("\t") - 8 for x in lines if x["value"][0] != "#")
+    assert len({x["f"] for x in lines}) == 15 and cells == 60 * 23  # 18,480 in one file of all sites
+    for f in {x["f"] for x in lines}:
+        own = [x["value"] for x in lines if x["f"] == f]
+        assert own[0].startswith("##") and own[1].startswith("#CHROM") and len(own) == 6
+    for phased in (False, True):
+        got = sorted(map(tuple, readers.read_genotypes(spark, pattern, phased_only=phased).where("gt <> './.'").collect()))
+        assert got == sorted(x for x in rows if not phased or "|" in x[-1])
