@@ -195,3 +195,18 @@ def test_cohort_files_grow_with_the_genotypes(spark, tmp_path, monkeypatch):
     for phased in (False, True):
         got = sorted(map(tuple, readers.read_genotypes(spark, pattern, phased_only=phased).where("gt <> './.'").collect()))
         assert got == sorted(x for x in rows if not phased or "|" in x[-1])
+
+
+def test_stretches_are_distinct_before_they_are_paired(spark):
+    """Features and bans have the rows of their SQL, without a row for each supplier and stretch."""
+    import duckdb
+
+    from strandspark.plans.adapters import duck, view
+
+    c, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    c.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{sf}/supplier.parquet')")
+    for name in ("features", "bans"):
+        df = view(spark, sf, name)
+        want = c.execute(duck(name))
+        assert [x[0] for x in want.description] == df.columns and sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+        assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
