@@ -71,6 +71,18 @@ def observe(reads: DataFrame, variants: DataFrame, baseq: int = 10, rebase: bool
     return out.select("contig", "read_id", "bam", "variant_id", "pos", "allele", "as_score", cls.alias("cls"), *(["_bin"] if tasks else []))
 
 
+#: Sites of a bin that a read is held against, and the narrowest bins made for that.
+PER_BIN, NARROW = 8, 256
+
+
+def bin_width(sites: DataFrame) -> int:
+    """Width of bins that hold about ``PER_BIN`` sites where these are dense: a read is held against all
+    sites of its bins, so with bins of one width work would grow with their density."""
+    n = F.col("count").cast("double")
+    met = sites.groupBy("contig", F.floor(F.col("pos") / intervals.BIN)).count().agg(F.sum(n * n) / F.sum(n)).first()[0] or 1
+    return max(NARROW, min(intervals.BIN, int(intervals.BIN * PER_BIN / met)))
+
+
 #: Reads of one task where alleles are counted.
 READS_PER_TASK = 200_000
 

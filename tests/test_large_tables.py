@@ -210,3 +210,23 @@ def test_stretches_are_distinct_before_they_are_paired(spark):
         want = c.execute(duck(name))
         assert [x[0] for x in want.description] == df.columns and sorted(map(tuple, df.collect())) == sorted(want.fetchall())
         assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_reads_meet_few_sites_where_these_are_dense(spark, tmp_path, monkeypatch):
+    """Bins are narrow where sites are dense, with the same observations."""
+    from strandspark.config import PhaseConfig
+    from strandspark.operators import observe
+    from strandspark.plans import programs
+
+    far = spark.createDataFrame([("c", f"s{i}", 5000 * i) for i in range(40)], "contig string, variant_id string, pos long")
+    assert observe.bin_width(far) == observe.intervals.BIN and observe.bin_width(far.limit(0)) == observe.intervals.BIN
+    sites = spark.createDataFrame([("c", f"s{p}", p, 1, ["A", "C"]) for p in range(3, 8000, 20)], "contig string, variant_id string, pos long, ref_len int, alleles array<string>")
+    lines = ["\t".join([f"r{i}", "99", "c", str(37 * i % 7900 + 1), "60", "300M", "=", "1", "9", "ACGTT" * 60, "I" * 300, "AS:i:9"]) for i in range(200)]
+    (tmp_path / "a.sam").write_text("\n".join(lines) + "\n")
+    config, widths, own = PhaseConfig(mapq="0", as_q_cutoff=0.0), [], observe.observe
+    monkeypatch.setattr(observe, "observe", lambda *a, width=observe.intervals.BIN, **b: widths.append(width) or own(*a, width=width, **b))
+    got = programs.observations(spark, [f"{tmp_path}/a.sam"], sites, config)
+    assert widths and widths[0] <= 512
+    monkeypatch.setattr(observe, "bin_width", lambda sites: observe.intervals.BIN, raising=False)
+    want = programs.observations(spark, [f"{tmp_path}/a.sam"], sites, config)
+    assert got.count() > 1000 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
